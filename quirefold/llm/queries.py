@@ -3,8 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import decontam, langid, quality, sharding, toxicity
-from quirefold.llm.common import held_out
+from quirefold.llm import decontam, langid, packing, quality, sharding, tokenfiles, toxicity
+from quirefold.llm.common import held_out, scratch
 from quirefold.llm.oracles import ORACLES as ORACLES
 
 N_SHARDS = 24
@@ -22,6 +22,18 @@ def op1_sharding(spark, d):
     )
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_token_files(spark, d):
+    path = scratch(spark, "token-file")
+    tokenfiles.write(_table(spark, d, "documents"), path, _tokenizer(), end_id=2)
+    return tokenfiles.read(spark, path, with_ids=False)
+
+
 def op3_langid(spark, d):
     docs = _table(spark, d, "documents")
     profiles = langid.train(docs.where(~held_out(4)).select("text", "lang"))
@@ -45,10 +57,16 @@ def op7_toxicity(spark, d):
     return toxicity.score(docs.withColumn("held_out", held_out(4)), model).drop("text")
 
 
+def op10_packing(spark, d):
+    return packing.pack(_table(spark, d, "documents"), _tokenizer(), end_id=1)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_token_files": op2_token_files,
     "op3_langid": op3_langid,
     "op4_decontam": op4_decontam,
     "op5_quality": op5_quality,
     "op7_toxicity": op7_toxicity,
+    "op10_packing": op10_packing,
 }
