@@ -75,6 +75,11 @@ class Encoder:
         if len(self.cache) > CACHE:
             self.cache = {b"": b""}
         cache, words = self.cache, [t.replace(b"\n", b" ").split(b" ") for t in texts]
-        new = list(set(chain.from_iterable(words)).difference(cache))
+        got = [list(map(cache.get, w)) for w in words]
+        missing = [[i for i, g in enumerate(x) if g is None] for x in got]
+        new = list({w[i] for w, m in zip(words, missing, strict=True) for i in m})
         cache.update(zip(new, self.encode_words(new), strict=True))
-        return [np.frombuffer(b"".join(map(cache.__getitem__, w)), self.kind) for w in words]
+        for w, g, m in zip(words, got, missing, strict=True):
+            for i in m:
+                g[i] = cache[w[i]]
+        return [np.frombuffer(b"".join(g), self.kind) for g in got]
