@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import decontam, langid, lm, packing, quality, sharding, tokenfiles, toxicity
+from quirefold.llm import decontam, langid, lm, packing, quality, sharding, suffixes, tokenfiles, toxicity
 from quirefold.llm.common import held_out, scratch
 from quirefold.llm.oracles import ORACLES as ORACLES
 
@@ -61,6 +61,10 @@ def op8_lm(spark, d):
     return lm.score(_table(spark, d, "documents").select("doc_id", held_out(7).alias("held_out"), "text"))
 
 
+def op9_suffix_dedup(spark, d):
+    return suffixes.dedup(_table(spark, d, "documents").select("doc_id", "text"))
+
+
 def op10_packing(spark, d):
     return packing.pack(_table(spark, d, "documents"), _tokenizer(), end_id=1)
 
@@ -73,5 +77,6 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op7_toxicity": op7_toxicity,
     "op8_lm": op8_lm,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_packing": op10_packing,
 }
