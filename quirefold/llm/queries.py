@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import decontam, langid, lm, packing, quality, sharding, suffixes, tokenfiles, toxicity
+from quirefold.llm import decontam, langid, lm, neardup, packing, quality, sharding, suffixes, tokenfiles, toxicity
 from quirefold.llm.common import held_out, scratch
 from quirefold.llm.oracles import ORACLES as ORACLES
 
@@ -50,6 +50,10 @@ def op5_quality(spark, d):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_neardup(spark, d):
+    return neardup.classes(_table(spark, d, "documents"))
+
+
 def op7_toxicity(spark, d):
     docs, labels = _table(spark, d, "documents").select("doc_id", "text"), _table(spark, d, "labels")
     learn = ~held_out(4)
@@ -75,6 +79,7 @@ QUERIES = {
     "op3_langid": op3_langid,
     "op4_decontam": op4_decontam,
     "op5_quality": op5_quality,
+    "op6_neardup": op6_neardup,
     "op7_toxicity": op7_toxicity,
     "op8_lm": op8_lm,
     "op9_suffix_dedup": op9_suffix_dedup,
