@@ -15,9 +15,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import batch, stored
+from quirefold.llm.common import batch, release, stored
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 U64 = np.uint64
 _ZSTD = "zstd"
 
@@ -119,6 +119,8 @@ def corpus_counts(blocks: DataFrame, keys_of: KeyMaker, slices: int) -> DataFram
                 rows = [(s, block, pack_keys(keys[a:z]), pack_counts(counts[a:z])) for s, (a, z) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if z > a]
                 if rows:
                     yield batch(kinds, list(zip(*rows, strict=True)))
+                del rows, keys, counts
+                release()
 
     out = pa.schema([("block", pa.int64()), ("slice", pa.int32()), ("totals", pa.binary()), ("distinct", pa.int64()), ("total", pa.int64()), ("even", pa.int64()), ("even_total", pa.int64())])
 
@@ -128,7 +130,11 @@ def corpus_counts(blocks: DataFrame, keys_of: KeyMaker, slices: int) -> DataFram
         counts = [unpack_counts(c) for c in table["counts"].to_pylist()]
         blocks_ = table["block"].to_pylist()
         flat = np.concatenate(parts)
-        distinct, at = np.unique(flat, return_inverse=True)
+        order = np.argsort(flat)
+        ranked = flat[order]
+        first = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+        distinct, at = ranked[first], np.empty(len(flat), np.int64)
+        at[order] = np.cumsum(first) - 1
         sums = np.bincount(at, np.concatenate(counts), len(distinct)).astype(np.int64)
         used = sums > 0
         even = used & (distinct & U64(1) == 0)
@@ -174,6 +180,9 @@ def with_replies(blocks: DataFrame, replies: DataFrame, use: Callable[[int, pa.T
     """use(block, documents, rows of replies) for each block."""
 
     def run(key, left, right):
-        return use(key[0].as_py(), unpack(left["payload"][0].as_py()), right)
+        try:
+            return use(key[0].as_py(), unpack(left["payload"][0].as_py()), right)
+        finally:
+            release()
 
     return blocks.select("block", "payload").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, schema)

@@ -1,5 +1,7 @@
 """What several operators share: scratch folders, Arrow helpers, word hashing."""
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text that one numpy pass handles; a longer document makes a pass of its own.
-PASS_BYTES = 1 << 20
+PASS_BYTES = 1 << 17
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -51,6 +53,13 @@ def raw_text(name: str = "text") -> Column:
     return F.col(name).cast("binary")
 
 
+def release() -> None:
+    """Gives freed memory back to the system; a worker that is used again keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def binaries(col) -> list[bytes]:
     """Null reads as empty."""
     return [x or b"" for x in col.to_pylist()]
@@ -81,7 +90,7 @@ def powers(base: int, n: int) -> np.ndarray:
     if p is None or len(p) < n:
         p = np.ones(1, U64)
         step = U64(base)
-        while len(p) < max(n, PASS_BYTES + 4096):
+        while len(p) < max(n, 2 * PASS_BYTES):
             p = np.concatenate([p, p * step])
             step = U64(int(step) ** 2 % (1 << 64))
         _pow[base] = p
@@ -101,6 +110,26 @@ def mix(h: np.ndarray) -> np.ndarray:
 BYTE_VALUE = mix(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Distinct values, ascending, by sorting."""
+    s = np.sort(x)
+    return s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
+
+
+def distinct_counts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    s = np.sort(x)
+    at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.empty(0, np.int64)
+    return s[at], np.diff(np.append(at, len(s)))
+
+
+def places(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Place of each x in ascending keys; sorted first, which keeps the search in cache."""
+    order = np.argsort(x)
+    out = np.empty(len(x), np.int64)
+    out[order] = np.searchsorted(keys, x[order])
+    return out
+
+
 def table(separators: bytes, lower: bool = True) -> np.ndarray:
     """Byte to byte: 0 for separators, A-Z to a-z; others stay, bytes of non-ASCII too."""
     t = np.arange(256, dtype=np.uint8)

@@ -111,7 +111,8 @@ def hits(texts: list[bytes], index: Index) -> list[tuple[int, np.ndarray, set[in
     if len(index.prints) and n >= SPAN:
         g = grams(w.hash, K)
         at = winnow(g)  # a window over two texts only adds fingerprints
-        at = at[np.isin(g[at], index.prints)] if len(at) else at
+        near = np.minimum(np.searchsorted(index.prints, g[at]), len(index.prints) - 1)
+        at = at[index.prints[near] == g[at]]
         doc = np.searchsorted(first, at, "right") - 1
         seen: dict[tuple, int] = {}
         pos, idx = _pairs(index.prints, g[at])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quirefold.llm.blocks import corpus_counts, in_blocks, reply, slices_for, stats, with_replies
-from quirefold.llm.common import BLANK_WORDS, Words, binaries, mix, raw_text, runs
+from quirefold.llm.common import BLANK_WORDS, Words, binaries, distinct, distinct_counts, mix, places, raw_text, runs
 
 K = 50.0
 U64 = np.uint64
@@ -52,8 +52,8 @@ def keys_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     seq, sizes = tokens(binaries(table["raw"]))
     learn = np.repeat(~np.asarray(table["held_out"]), sizes)
     two = bigrams(seq)
-    keys = np.unique(np.concatenate([seq, two]))
-    known, n = np.unique(np.concatenate([seq[learn], two[learn]]), return_counts=True)
+    keys = distinct(np.concatenate([seq, two]))
+    known, n = distinct_counts(np.concatenate([seq[learn], two[learn]]))
     counts = np.zeros(len(keys), np.int64)
     counts[np.searchsorted(keys, known)] = n
     return keys, counts
@@ -67,7 +67,7 @@ class Automaton:
         self.floor = n_train + n_types + 1
 
     def count(self, keys: np.ndarray) -> np.ndarray:
-        return self.totals[np.searchsorted(self.keys, keys)]
+        return self.totals[places(self.keys, keys)]
 
     def walk(self, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per token: its count, the root arc's weight, the weight of the arcs taken.
@@ -97,7 +97,7 @@ def score(docs: DataFrame, k: float = K) -> DataFrame:
 
     def use(_, table, answers):
         seq, sizes = tokens(binaries(table["raw"]))
-        keys = np.unique(np.concatenate([seq, bigrams(seq)]))
+        keys = distinct(np.concatenate([seq, bigrams(seq)]))
         c, root, weight = Automaton(keys, reply(answers), n_train, n_types, k).walk(seq)
         at = np.cumsum(sizes) - sizes
         add = lambda x: np.add.reduceat(x, at) if len(at) else np.empty(0)

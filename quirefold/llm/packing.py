@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import batch, binaries, raw_text, runs, stored
+from quirefold.llm.common import batch, binaries, distinct, raw_text, runs, stored
 from quirefold.llm.tokens import encoder
 
 WINDOW = 2048
@@ -34,7 +34,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         end = np.array([end_id], wide).tobytes()
         for b in batches:
             names, texts = b["doc_id"].to_pylist(), binaries(b["raw"])
-            for lo, hi in runs(texts):
+            for lo, hi in runs(texts, 1 << 19):
                 ids = [x.astype(wide, copy=False).tobytes() + end for x in enc.ids(texts[lo:hi])]
                 yield batch(kinds, [np.arange(row, row + hi - lo), names[lo:hi], ids])
                 row += hi - lo
@@ -58,7 +58,7 @@ def statistics(tokens: DataFrame, width: np.dtype) -> tuple[np.ndarray, np.ndarr
             for raw in b["ids"].to_pylist():
                 x = np.frombuffer(raw, width)
                 docs, total = docs + 1, total + len(x)
-                u = np.unique(x)
+                u = distinct(x)
                 if int(u[-1]) >= len(df):
                     df = np.concatenate([df, np.zeros(max(1 << 16, int(u[-1]) + 1 - len(df)), np.int64)])
                 df[u] += 1

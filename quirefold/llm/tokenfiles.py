@@ -43,7 +43,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_tokens:
         size = 0
         for b in batches:
             doc_ids, texts = b["doc_id"].to_pylist(), binaries(b["raw"])
-            for lo, hi in runs(texts):
+            for lo, hi in runs(texts, 1 << 19):
                 for d, x in zip(doc_ids[lo:hi], enc.ids(texts[lo:hi]), strict=True):
                     names.append(d)
                     ids.append(x)
