@@ -19,9 +19,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from quirefold.llm.blocks import corpus_counts, in_blocks, reply, slices_for, with_replies
-from quirefold.llm.common import BASE, BYTE_VALUE, INVERSE, batch, binaries, mix, powers, raw_text, runs, stored
+from quirefold.llm.common import BASE, BYTE_VALUE, INVERSE, batch, binaries, distinct, distinct_counts, mix, places, powers, raw_text, release, runs, stored
 
 SPAN = 100
 ANCHOR = 40
@@ -29,7 +30,7 @@ U64 = np.uint64
 #: Bits of the hash that order anchors; the others hold the place, up to 1 GB in one pass.
 PLACE_BITS = U64(30)
 #: Bytes of segments that a bucket sorts at a time, whole leading tokens at least.
-SORT_BYTES = 4 << 20
+SORT_BYTES = 1 << 20
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -83,7 +84,7 @@ def segments(texts: list[bytes], span: int = SPAN, anchor: int = ANCHOR) -> tupl
 
 
 def keys_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(segments(binaries(table["raw"]))[3], return_counts=True)
+    return distinct_counts(segments(binaries(table["raw"]))[3])
 
 
 #: A row of a bucket: a segment with its bytes, or one whose suffixes all occur before in its block.
@@ -100,8 +101,8 @@ def candidates(blocks: DataFrame, counts: DataFrame) -> DataFrame:
     def use(block, table, answers):
         texts = binaries(table["raw"])
         text, start, n, key = segments(texts)
-        keys = np.unique(key)
-        twice = reply(answers)[np.searchsorted(keys, key)] > 1 if len(keys) else np.zeros(0, bool)
+        keys = distinct(key)
+        twice = reply(answers)[places(keys, key)] > 1 if len(keys) else np.zeros(0, bool)
         text, start, n, key = text[twice], start[twice], n[twice], key[twice]
         seen, data = set(), []
         for t, a, k in zip(text.tolist(), start.tolist(), n.tolist(), strict=True):
@@ -219,6 +220,7 @@ def sort_buckets(rows: DataFrame) -> DataFrame:
                 yield batch(kinds, list(zip(*out, strict=True)))
         if held and (out := solve(held, True)):
             yield batch(kinds, list(zip(*out, strict=True)))
+        release()
 
     ranged = rows.repartitionByRange("lead", "doc_id", "block", "text", "start").sortWithinPartitions("lead", "doc_id", "block", "text", "start")
     return ranged.mapInArrow(run, RUNS)
@@ -244,31 +246,34 @@ def cut(text: bytes, start: np.ndarray, n: np.ndarray, span: int = SPAN) -> tupl
     return np.frombuffer(text, np.uint8)[~covered].tobytes(), spans
 
 
-def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """docs (doc_id, text) → doc_id and RESULT, and with_text ``kept`` (binary).
+def dedup(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
+    """docs (doc_id, text, ...) → the columns ``keep`` and RESULT, and with_text ``kept`` (binary).
 
-    Null texts count as empty, and so give the digest of no bytes. Of rows with one
-    doc_id the order is that of the input. Texts below SPAN bytes lose nothing. What is
-    left is bytes: a cut may fall inside a character.
+    Null texts count as empty, and so give the digest of no bytes; their ``kept`` is null. Of
+    rows with one doc_id the order is that of the input, and a null id comes first. Texts below
+    SPAN bytes lose nothing. What is left is bytes: a cut may fall inside a character.
     """
-    blocks = in_blocks(docs.select("doc_id", raw_text().alias("raw")))
+    rest = [F.col(c).alias(f"_{c}") for c in keep]
+    blocks = in_blocks(docs.select("doc_id", raw_text().alias("raw"), *rest))
     counts = corpus_counts(blocks, keys_of, slices_for(blocks, each=1))
     gone = across_boundaries(stored(sort_buckets(candidates(blocks, counts)), "repeats"))
-    kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * with_text
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
+    kinds = [pa.int64()] * 3 + [pa.string()] + [pa.binary()] * with_text
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
+    schema = StructType(docs.select(*keep).schema.fields + _parse_datatype_string(RESULT + ", kept binary" * with_text).fields)
 
     def use(_, table, runs_):
         texts = binaries(table["raw"])
+        null = table["raw"].is_null().to_pylist()
         which = runs_["text"].to_numpy()
         order = np.argsort(which, kind="stable")
         start, n = runs_["start"].to_numpy()[order], runs_["n"].to_numpy()[order]
         edge = np.searchsorted(which[order], np.arange(len(texts) + 1))
         out = []
-        for i, (d, t) in enumerate(zip(table["doc_id"].to_pylist(), texts, strict=True)):
+        for i, t in enumerate(texts):
             a, z = edge[i], edge[i + 1]
             kept, spans = cut(t, start[a:z], n[a:z]) if z > a else (t, 0)
-            out.append((d, len(t), len(t) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept)[: len(names)])
+            out.append((len(t), len(t) - len(kept), spans, hashlib.sha256(kept).hexdigest(), None if null[i] else kept)[: len(names)])
         cols = list(zip(*out, strict=True)) or [[] for _ in names]
-        return pa.table([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=names)
+        return pa.table([*(table[f"_{c}"] for c in keep), *(pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True))], names=[*keep, *names])
 
-    return with_replies(blocks, gone, use, f"doc_id long, {RESULT}" + ", kept binary" * with_text)
+    return with_replies(blocks, gone, use, schema)
