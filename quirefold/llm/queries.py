@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quirefold.llm import decontam, langid, lm, neardup, packing, quality, sharding, suffixes, tokenfiles, toxicity
 from quirefold.llm.common import held_out, scratch
 from quirefold.llm.oracles import ORACLES as ORACLES
@@ -84,4 +85,5 @@ QUERIES = {
     "op8_lm": op8_lm,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_packing": op10_packing,
+    "pipeline": corpus_pipeline.run,
 }
