@@ -27,6 +27,7 @@ from quirefold.llm.common import BASE, BYTE_VALUE, INVERSE, batch, binaries, dis
 SPAN = 100
 ANCHOR = 40
 U64 = np.uint64
+OTHER = 0xD1342543DE82EF95
 #: Bits of the hash that order anchors; the others hold the place, up to 1 GB in one pass.
 PLACE_BITS = U64(30)
 #: Bytes of segments that a bucket sorts at a time, whole leading tokens at least.
@@ -78,7 +79,7 @@ def segments(texts: list[bytes], span: int = SPAN, anchor: int = ANCHOR) -> tupl
         out[0].append(text[start] + lo)
         out[1].append(start - (end - sizes)[text[start]])
         out[2].append(stop - start)
-        out[3].append(h[at[start]])
+        out[3].append(mix(h[at[start]]))  # the least hashes are no even spread
     kinds = (np.int64, np.int64, np.int64, U64)
     return tuple(np.concatenate(x) if x else np.empty(0, k) for x, k in zip(out, kinds, strict=True))
 
@@ -89,7 +90,7 @@ def keys_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 #: A row of a bucket: a segment with its bytes, or one whose suffixes all occur before in its block.
 ROWS = "lead long, doc_id long, block long, text int, start long, n long, bytes binary"
-RUNS = "lead long, block long, text int, start long, n long, part int, edge binary"
+RUNS = "lead long, block long, text int, start long, n long, part int, edge boolean, one long, two long"
 
 
 def candidates(blocks: DataFrame, counts: DataFrame) -> DataFrame:
@@ -175,10 +176,22 @@ def repeated(lead: np.ndarray, n: np.ndarray, data: list[bytes]) -> np.ndarray:
     return out
 
 
+def window_hashes(buf: np.ndarray, at: np.ndarray, base: int, inverse: int, span: int = SPAN) -> np.ndarray:
+    value = BYTE_VALUE[buf]
+    value *= powers(base, len(buf))
+    total = np.concatenate([np.zeros(1, U64), np.cumsum(value, dtype=U64)])
+    h = total[at + span] - total[at]
+    h *= powers(inverse, len(buf))[at]
+    return mix(h).view(np.int64)
+
+
 def sort_buckets(rows: DataFrame) -> DataFrame:
     """Runs of repeated suffixes. Rows with ``edge``: suffixes new in their bucket, of its
-    first or last leading token, as a digest to be compared with other buckets'."""
-    kinds = pa.schema([("lead", pa.int64()), ("block", pa.int64()), ("text", pa.int32()), ("start", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("edge", pa.binary())])
+    first or last leading token, with 128 bits of hash to be compared with other buckets'."""
+    kinds = pa.schema(
+        [("lead", pa.int64()), ("block", pa.int64()), ("text", pa.int32()), ("start", pa.int64()), ("n", pa.int64()), ("part", pa.int32())]
+        + [("edge", pa.bool_()), ("one", pa.int64()), ("two", pa.int64())]
+    )
 
     def run(batches):
         part = TaskContext.get().partitionId()
@@ -186,44 +199,56 @@ def sort_buckets(rows: DataFrame) -> DataFrame:
         first_lead = None
         size = 0
 
-        def solve(rows, last):
-            lead = np.array([r[0] for r in rows], np.int64)
-            n = np.array([r[4] for r in rows], np.int64)
-            data = [r[5] for r in rows]
+        def made(lead, block, text, start, n, edge, one=None, two=None):
+            k = len(lead)
+            none = np.zeros(k, np.int64)
+            cols = [lead, block, text, start, n, np.full(k, part), np.full(k, edge), none if one is None else one, none if two is None else two]
+            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, kinds, strict=True)], schema=kinds)
+
+        def solve(last):
+            lead, block, text, start, n = (np.array(c, np.int64) for c in list(zip(*held, strict=True))[:5])
+            data = [r[5] for r in held]
             dup = repeated(lead, n, data)
-            out = []
-            lo = 0
-            for r in rows:
-                d = dup[lo : lo + r[4]]
-                lo += r[4]
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], d.astype(np.int8), [0]])))
-                out += [(r[0], r[1], r[2], r[3] + a, z - a, part, None) for a, z in edge.reshape(-1, 2).tolist()]
-                if r[0] == first_lead or (last and r[0] == rows[-1][0]):
-                    out += [(r[0], r[1], r[2], r[3] + j, 1, part, hashlib.blake2b(r[5][j : j + SPAN], digest_size=16).digest()) for j in np.flatnonzero(~d).tolist()]
-            return out
+            seg = np.repeat(np.arange(len(n)), n)
+            first = np.cumsum(n) - n
+            new = np.ones(len(seg), bool)
+            new[1:] = seg[1:] != seg[:-1]
+            opens = dup & (new | ~np.concatenate([[False], dup[:-1]]))
+            closes = dup & (np.concatenate([new[1:], [True]]) | ~np.concatenate([dup[1:], [False]]))
+            a, z = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+            s = seg[a]
+            if len(a):
+                yield made(lead[s], block[s], text[s], start[s] + a - first[s], z - a, False)
+            rim = (lead == first_lead) | ((lead == lead[-1]) if last else False)
+            w = np.flatnonzero(rim[seg] & ~dup)
+            if len(w):
+                s = seg[w]
+                sizes = np.fromiter(map(len, data), np.int64, len(data))
+                at = (np.cumsum(sizes) - sizes)[s] + w - first[s]
+                buf = np.frombuffer(b"".join(data), np.uint8)
+                yield made(lead[s], block[s], text[s], start[s] + w - first[s], np.ones(len(w), np.int64), True, window_hashes(buf, at, BASE, INVERSE), window_hashes(buf, at, OTHER, pow(OTHER, -1, 1 << 64)))
 
         for b in batches:
-            out = []
+            known = b.filter(b["bytes"].is_null())
+            if len(known):
+                yield made(*(known[c].to_numpy() for c in ("lead", "block", "text", "start", "n")), False)
             cols = [b[c].to_pylist() for c in ("lead", "block", "text", "start", "n", "bytes")]
             for r in zip(*cols, strict=True):
                 if r[5] is None:
-                    out.append((*r[:5], part, None))
                     continue
                 if first_lead is None:
                     first_lead = r[0]
                 if size > SORT_BYTES and held[-1][0] != r[0]:
-                    out += solve(held, False)
+                    yield from solve(False)
                     held, size = [], 0
                 held.append(r)
                 size += len(r[5])
-            if out:
-                yield batch(kinds, list(zip(*out, strict=True)))
-        if held and (out := solve(held, True)):
-            yield batch(kinds, list(zip(*out, strict=True)))
+        if held:
+            yield from solve(True)
         release()
 
-    ranged = rows.repartitionByRange("lead", "doc_id", "block", "text", "start").sortWithinPartitions("lead", "doc_id", "block", "text", "start")
-    return ranged.mapInArrow(run, RUNS)
+    order = ("lead", "doc_id", "block", "text", "start")
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, RUNS)
 
 
 def across_boundaries(found: DataFrame) -> DataFrame:
@@ -231,9 +256,9 @@ def across_boundaries(found: DataFrame) -> DataFrame:
 
     A bucket has each such suffix once, so a digest has a row a bucket at most.
     """
-    first = F.min("part").over(Window.partitionBy("lead", "edge"))
-    edges = found.where("edge is not null").withColumn("first", first).where("part > first")
-    return found.where("edge is null").select("block", "text", "start", "n").unionByName(edges.select("block", "text", "start", "n"))
+    first = F.min("part").over(Window.partitionBy("lead", "one", "two"))
+    edges = found.where("edge").withColumn("first", first).where("part > first")
+    return found.where("not edge").select("block", "text", "start", "n").unionByName(edges.select("block", "text", "start", "n"))
 
 
 def cut(text: bytes, start: np.ndarray, n: np.ndarray, span: int = SPAN) -> tuple[bytes, int]:
