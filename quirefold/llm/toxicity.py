@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import binaries, raw_text
+from quirefold.llm.common import binaries, raw_text, tidy
 from quirefold.llm.langid import SPACE, letter_table
 
 ORDERS = (3, 4, 5)
@@ -48,8 +48,11 @@ def features(text: bytes, seen: np.ndarray) -> np.ndarray:
     return f[seen[f] == order]
 
 
-def fit(texts: list[bytes], toxic: np.ndarray, prior: float, epochs: int = 8, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights by bin (ratio times coefficient) and the intercept, shifted to ``prior``."""
+def fit(texts: list[bytes], toxic: np.ndarray, prior: float, epochs: int = 8, least_steps: int = 500, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights by bin (ratio times coefficient) and the intercept, shifted to ``prior``.
+
+    Batches have 128 texts; few texts are gone over more often, for ``least_steps`` batches.
+    """
     seen = np.zeros(1 << BITS, np.int32)
     rows = [features(t, seen) for t in texts]
     counts = np.zeros((2, 1 << BITS), np.int32)
@@ -67,8 +70,9 @@ def fit(texts: list[bytes], toxic: np.ndarray, prior: float, epochs: int = 8, l2
     w = np.full(len(used), 0.05, np.float64)
     b, m, v, mb, vb, step = 0.0, np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0, 0
     order = np.random.default_rng(7)
-    for _ in range(epochs):
-        for part in np.array_split(order.permutation(len(rows)), max(1, len(rows) // 128)):
+    parts = max(1, len(rows) // 128)
+    for _ in range(max(epochs, -(-least_steps // parts))):
+        for part in np.array_split(order.permutation(len(rows)), parts):
             sizes = np.array([len(rows[i]) for i in part])
             idx = np.concatenate([rows[i] for i in part]) if len(part) else np.empty(0, np.int32)
             owner = np.repeat(np.arange(len(part)), sizes)
@@ -116,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ot
         w, b0 = fit([texts[i][1] for i in order], np.array([y[i] for i in order], np.float64), prior)
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([b0], pa.float64())], names=["w", "b"])
 
-    row = sample.repartition(1).mapInArrow(run, "w binary, b double").first()
+    row = sample.repartition(1).mapInArrow(tidy(run), "w binary, b double").first()
     return np.frombuffer(bytes(row.w), np.float32), row.b
 
 
@@ -137,4 +141,4 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = T
                 names=[*keep, "score", "predicted"],
             )
 
-    return docs.select(*keep, raw_text().alias("_raw")).mapInArrow(run, schema)
+    return docs.select(*keep, raw_text().alias("_raw")).mapInArrow(tidy(run), schema)
