@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import batch, release, stored
+from quirefold.llm.common import batch, release, stored, tidy
 
 BLOCK_BYTES = 8 << 20
 U64 = np.uint64
@@ -65,7 +65,7 @@ def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         if parts:
             yield close()
 
-    return stored(docs.mapInArrow(run, "block long, n_rows long, payload binary"), "blocks")
+    return stored(docs.mapInArrow(tidy(run), "block long, n_rows long, payload binary"), "blocks")
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -152,7 +152,7 @@ def corpus_counts(blocks: DataFrame, keys_of: KeyMaker, slices: int) -> DataFram
             schema=out,
         )
 
-    sent = blocks.select("block", "payload").mapInArrow(send, "slice int, block long, keys binary, counts binary")
+    sent = blocks.select("block", "payload").mapInArrow(tidy(send), "slice int, block long, keys binary, counts binary")
     answered = sent.groupBy("slice").applyInArrow(add, "block long, slice int, totals binary, distinct long, total long, even long, even_total long")
     return stored(answered, "counts")
 

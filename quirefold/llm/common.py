@@ -60,6 +60,25 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: Rows of an Arrow batch that a task turns into Python objects at a time.
+SLICE_ROWS = 1000
+
+
+def tidy(run):
+    """A function of Arrow batches that sees them in slices and leaves no memory behind."""
+
+    def sliced(batches):
+        for b in batches:
+            for lo in range(0, len(b), SLICE_ROWS):
+                yield b.slice(lo, SLICE_ROWS)
+
+    def tidied(batches):
+        yield from run(sliced(batches))
+        release()
+
+    return tidied
+
+
 def binaries(col) -> list[bytes]:
     """Null reads as empty."""
     return [x or b"" for x in col.to_pylist()]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import ITEM_WORDS, Words, binaries, grams, raw_text, runs
+from quirefold.llm.common import binaries, grams, ITEM_WORDS, raw_text, runs, tidy, Words
 
 SPAN = 13
 K = 5
@@ -184,7 +184,7 @@ def _scan(docs: DataFrame, keep: list[str], index: Index, whole: bool) -> DataFr
             names = [f.name for f in schema.fields]
             yield pa.RecordBatch.from_arrays([b[c] for c in keep] + [pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-    return docs.select(*keep, raw_text().alias("_raw")).mapInArrow(run, schema)
+    return docs.select(*keep, raw_text().alias("_raw")).mapInArrow(tidy(run), schema)
 
 
 def verdict(n_words: int, n_hit: int, items: list[str]) -> tuple:

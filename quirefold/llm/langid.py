@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import batch, binaries, raw_text
+from quirefold.llm.common import batch, binaries, raw_text, tidy
 
 PROFILE = 400
 ORDERS = (1, 2, 3)
@@ -80,7 +80,7 @@ def train(docs: DataFrame, size: int = PROFILE) -> dict[str, np.ndarray]:
     number of languages is that of the labels in use, not of documents.
     """
     rows = docs.where("lang is not null and text is not null").select("lang", raw_text().alias("raw"))
-    counts = rows.mapInArrow(count_by_lang, "lang string, gram long, n long")
+    counts = rows.mapInArrow(tidy(count_by_lang), "lang string, gram long, n long")
     total = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = total.withColumn("r", F.row_number().over(w)).where(F.col("r") <= size)
@@ -131,4 +131,4 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFIL
             out = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*cols, *out], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, raw_text().alias("_raw")).mapInArrow(run, schema)
+    return docs.select(*keep, raw_text().alias("_raw")).mapInArrow(tidy(run), schema)

@@ -15,8 +15,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import batch, binaries, distinct, raw_text, runs, stored
-from quirefold.llm.tokens import encoder
+from quirefold.llm.common import batch, binaries, distinct, raw_text, runs, stored, tidy
+from quirefold.llm.tokens import Encoder
 
 WINDOW = 2048
 SHARD_DOCS = 1024
@@ -29,7 +29,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     kinds = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
-        enc, row = encoder(tokenizer), TaskContext.get().partitionId() << 33
+        enc, row = Encoder(tokenizer), TaskContext.get().partitionId() << 33
         wide = np.dtype(np.uint16) if max(enc.vocabulary, end_id + 1) <= 1 << 16 else np.dtype(np.uint32)
         end = np.array([end_id], wide).tobytes()
         for b in batches:
@@ -39,12 +39,12 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 yield batch(kinds, [np.arange(row, row + hi - lo), names[lo:hi], ids])
                 row += hi - lo
 
-    rows = docs.select("doc_id", raw_text().alias("raw")).mapInArrow(run, "row long, doc_id long, ids binary")
+    rows = docs.select("doc_id", raw_text().alias("raw")).mapInArrow(tidy(run), "row long, doc_id long, ids binary")
     return stored(rows, "tokens")
 
 
 def id_width(tokenizer: str, end_id: int) -> np.dtype:
-    return np.dtype(np.uint16 if max(encoder(tokenizer).vocabulary, end_id + 1) <= 1 << 16 else np.uint32)
+    return np.dtype(np.uint16 if max(Encoder(tokenizer).vocabulary, end_id + 1) <= 1 << 16 else np.uint32)
 
 
 def statistics(tokens: DataFrame, width: np.dtype) -> tuple[np.ndarray, np.ndarray, int, float]:
@@ -65,7 +65,7 @@ def statistics(tokens: DataFrame, width: np.dtype) -> tuple[np.ndarray, np.ndarr
         at = np.flatnonzero(df)
         yield batch(kinds, [np.concatenate([at, [-1, -2]]), np.concatenate([df[at], [docs, total]])])
 
-    found = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    found = tokens.select("ids").mapInArrow(tidy(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     got = {r.id: r.n for r in found.collect()}
     docs, total = got.pop(-1, 0), got.pop(-2, 0)
     ids = np.array(sorted(got), np.int64)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from quirefold.llm.blocks import corpus_counts, in_blocks, reply, slices_for, with_replies
-from quirefold.llm.common import BASE, BYTE_VALUE, INVERSE, batch, binaries, distinct, distinct_counts, mix, places, powers, raw_text, release, runs, stored
+from quirefold.llm.common import BASE, batch, binaries, BYTE_VALUE, distinct, distinct_counts, INVERSE, mix, places, powers, raw_text, runs, stored, tidy
 
 SPAN = 100
 ANCHOR = 40
@@ -245,10 +245,9 @@ def sort_buckets(rows: DataFrame) -> DataFrame:
                 size += len(r[5])
         if held:
             yield from solve(True)
-        release()
 
     order = ("lead", "doc_id", "block", "text", "start")
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, RUNS)
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(tidy(run), RUNS)
 
 
 def across_boundaries(found: DataFrame) -> DataFrame:

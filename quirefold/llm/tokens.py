@@ -6,18 +6,10 @@ from itertools import chain
 
 import numpy as np
 
-#: Words that a worker's cache holds before it starts anew; about 200 bytes each.
-CACHE = 800_000
+#: Words that a task's cache holds before it starts anew; about 200 bytes each.
+CACHE = 500_000
 #: A word of its own that stands between the words of a joined batch.
 MARK = "\x01"
-_encoders: dict[str, "Encoder"] = {}
-
-
-def encoder(path: str) -> "Encoder":
-    """One encoder a worker process, with its cache."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
 
 
 class Encoder:
