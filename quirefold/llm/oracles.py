@@ -1,6 +1,9 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
+from quirefold.llm.langid import PROFILE
+from quirefold.llm.lm import K
 from quirefold.llm.quality import RULES, STOP_WORDS
+from quirefold.llm.suffixes import SPAN
 
 _STOP = ", ".join("'" + w + "'" for w in STOP_WORDS)
 _METRIC = {
@@ -45,4 +48,57 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)
 """
 
-ORACLES = {"op4_decontam": DECONTAM, "op5_quality": QUALITY}
+#: crc32 of doc_id as text, bit by bit: a digit enters with the first of its eight steps.
+_CRC = """xor(4294967295, list_reduce(flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+    lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1)), 4294967295::BIGINT))"""
+
+#: Of equal counts the shorter n-gram comes first, then that of lower code points; a blank is below all letters.
+LANGID = f"""
+WITH t AS (SELECT doc_id, lang, {_CRC} % 4 = 2 AS held_out, regexp_replace(' ' || lower(coalesce(text, '')) || ' ', '[^\\p{{L}}]+', ' ', 'g') AS a FROM documents),
+c AS (SELECT doc_id, lang, held_out, string_split(a, '') AS c FROM t),
+z AS (SELECT doc_id, lang, held_out, unnest(list_concat(c, list_transform(list_zip(c[:-2], c[2:]), lambda x: x[1] || x[2]),
+    list_transform(list_zip(c[:-3], c[2:-2], c[3:]), lambda x: x[1] || x[2] || x[3]))) AS g FROM c),
+g AS (SELECT doc_id, lang, held_out, g, count(*) AS n FROM z WHERE g <> ' ' GROUP BY ALL),
+p AS (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY n DESC, len(g), g) - 1 AS r FROM
+    (SELECT lang, g, sum(n) AS n FROM g WHERE NOT held_out AND lang IS NOT NULL GROUP BY ALL) QUALIFY r < {PROFILE}),
+q AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, len(g), g) - 1 AS r FROM g QUALIFY r < {PROFILE}),
+away AS (SELECT doc_id, l.lang AS lang, count(*) AS n, sum(coalesce(abs(p.r - q.r), {PROFILE})) AS d
+    FROM q CROSS JOIN (SELECT DISTINCT lang FROM p) l LEFT JOIN p ON p.lang = l.lang AND p.g = q.g GROUP BY ALL),
+best AS (SELECT * FROM away QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY d, lang) = 1)
+SELECT doc_id, held_out, coalesce(best.lang, 'und') AS lang_pred, coalesce(1 - d::DOUBLE / ({PROFILE} * n), 0) AS score FROM t LEFT JOIN best USING (doc_id)
+"""
+
+#: The empty word stands for the end token, which a text's first word follows.
+LM = f"""
+WITH d AS (SELECT doc_id, {_CRC} % 7 = 2 AS held_out, list_append(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), '') AS t FROM documents),
+k AS (SELECT doc_id, held_out, t[i] AS v, coalesce(t[i - 1], '') AS u FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM d)),
+one AS (SELECT v, count(*) AS c FROM k WHERE NOT held_out GROUP BY v),
+two AS (SELECT u, v, count(*) AS c FROM k WHERE NOT held_out GROUP BY u, v),
+s AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS types FROM one),
+w AS (SELECT doc_id, held_out, n, coalesce(one.c, 0) AS c, coalesce(before.c, 0) AS state, coalesce(two.c, 0) AS arc, (coalesce(one.c, 0) + 1) / (n + types + 1) AS root
+    FROM k CROSS JOIN s LEFT JOIN one ON k.v = one.v LEFT JOIN one AS before ON k.u = before.v LEFT JOIN two ON k.u = two.u AND k.v = two.v)
+SELECT doc_id, held_out, count(*)::BIGINT AS n_tokens, count_if(c > 0)::BIGINT AS n_known, n AS train_tokens, sum(log10(root)) AS base_score,
+    sum(CASE WHEN arc > 0 THEN log10((arc + {K} * root) / (state + {K})) ELSE log10({K} / (state + {K})) + log10(root) END) AS score
+FROM w GROUP BY doc_id, held_out, n
+"""
+
+#: Bytes are pairs of hexadecimal digits; i, a and z count bytes from 1. Strings are taken from
+#: pieces (b) of twice their length, as a long text is slow to index.
+SUFFIXES = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, b, h[2 * {SPAN} * b + 1 : 2 * {SPAN} * (b + 2)] AS x FROM (SELECT *, unnest(range(len(h) // {2 * SPAN} + 1)) AS b FROM d)),
+p AS (SELECT doc_id, {SPAN} * b + j AS i, x[2 * j - 1 : 2 * j + {2 * SPAN - 2}] AS g
+    FROM (SELECT *, unnest(range(1, least({SPAN}, len(x) // 2 - {SPAN - 1}) + 1)) AS j FROM b)),
+r AS (SELECT doc_id, i FROM p QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
+o AS (SELECT *, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {SPAN}, true)::INT AS opens FROM r),
+k AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM o),
+s AS (SELECT doc_id, k, min(i) AS a, max(i) + {SPAN - 1} AS z FROM k GROUP BY doc_id, k),
+e AS (SELECT *, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS y FROM s),
+c AS (SELECT doc_id, count(*) AS n_spans, sum(z - a + 1) AS n_removed, max(z) AS y, string_agg(h[2 * y + 1 : 2 * a - 2], '' ORDER BY a) AS kept
+    FROM e JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+    sha256(unhex(coalesce(kept || h[2 * y + 1 :], h))) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id)
+"""
+
+ORACLES = {"op3_langid": LANGID, "op4_decontam": DECONTAM, "op5_quality": QUALITY, "op8_lm": LM, "op9_suffix_dedup": SUFFIXES}
