@@ -1,4 +1,7 @@
-"""Documents to packed sequences, in five stages; each is stored before the next reads it."""
+"""Documents to packed sequences, in five stages; each is stored before the next reads it.
+
+Columns beyond those of ``documents`` pass through the filters unchanged, whatever their names.
+"""
 
 from collections.abc import Callable
 
@@ -6,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.llm import decontam, langid, neardup, packing, suffixes
-from quirefold.llm.common import held_out, stored
+from quirefold.llm.common import held_out, set_apart, stored
 
 #: Least score of a text that counts as written in one of the learned languages.
 MIN_LANGUAGE_SCORE = 0.25
@@ -15,14 +18,16 @@ END_ID = 1
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known: not ``und``, and near enough to its profile."""
+    docs, named = set_apart(docs)
     profiles = langid.train(docs.where(~held_out(4)).select("text", "lang"))
     judged = langid.predict(docs, profiles)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    return named(judged.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class, that of least id."""
-    return neardup.keep_one(docs)
+    docs, named = set_apart(docs)
+    return named(neardup.keep_one(docs))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,17 +36,19 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A character that a cut splits goes whole. A document that is nothing but repeats stays,
     with an empty text.
     """
+    docs, named = set_apart(docs)
     cut = suffixes.dedup(docs, tuple(c for c in docs.columns if c != "text"), with_text=True)
     whole = F.make_valid_utf8(F.col("kept").cast("string"))
     # an invalid byte of a split character reads as U+FFFD, which the input's own are not
     text = F.when((F.col("n_removed") == 0) | F.is_valid_utf8(F.col("kept").cast("string")), whole).otherwise(F.replace(whole, F.lit("\ufffd"), F.lit("")))
-    return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return named(cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontam.annotate(docs, items).where(~F.col("contaminated")).select(*docs.columns)
+    docs, named = set_apart(docs)
+    return named(decontam.annotate(docs, items).where(~F.col("contaminated")))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

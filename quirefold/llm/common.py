@@ -3,7 +3,7 @@
 import contextlib
 import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def set_apart(docs: DataFrame, own: tuple[str, ...] = ("doc_id", "text", "lang", "n_chars")) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs whose columns but ``own`` have names that clash with no operator's, and a
+    function that gives the first names back to all columns of docs and drops all others."""
+    first = docs.columns
+    apart = [c if c in own else f"extra_{i}" for i, c in enumerate(first)]
+    return docs.toDF(*apart), lambda df: df.select(*[F.col(a).alias(c) for a, c in zip(apart, first, strict=True)])
+
+
 def crc_remainder(doc_id: str | Column, m: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id) % m
 

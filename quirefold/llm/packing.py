@@ -19,7 +19,8 @@ from quirefold.llm.common import batch, binaries, distinct, raw_text, runs, stor
 from quirefold.llm.tokens import Encoder
 
 WINDOW = 2048
-SHARD_DOCS = 1024
+#: An index shard has about so many documents, and about so many tokens where documents are long.
+SHARD_DOCS, SHARD_TOKENS = 1024, 1 << 22
 K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -159,7 +160,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, sha
     idf = np.zeros(int(ids[-1]) + 1 if len(ids) else 1)
     idf[ids] = np.maximum(0, np.log((n - df + 0.5) / (df + 0.5)))
     shared = spark.sparkContext.broadcast(idf)
-    shards = max(1, -(-n // shard_docs))
+    shards = max(1, -(-n // shard_docs), int(n * mean) // SHARD_TOKENS)
     kinds = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
 
     def run(key, table):

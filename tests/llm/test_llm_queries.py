@@ -56,6 +56,21 @@ def test_pipeline(spark):
             assert docs.columns == columns
             assert docs.where(F.col("n_chars") != F.length("text")).count() == 0
     assert "sequence_id" in docs.columns
+
+
+def test_extra_columns_pass_through(spark):
+    extra = ["score", "lang_pred", "contaminated", "n_words", "n_removed", "n_bytes", "kept", "_raw", "_text", "__key", "node", "p", "r", "extra_9", "Kept_Sha256"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40").withColumns({c: F.concat(F.lit(c), "doc_id") for c in extra})
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, SF), name)
+        assert docs.columns == columns
+    wrong = [F.col(c) != F.concat(F.lit(c), "doc_id") for c in extra]
+    assert docs.count() > 0
+    assert docs.where(F.greatest(*[w.cast("int") for w in wrong]) > 0).count() == 0
+
+
+def test_registered_pipeline(spark):
     assert QUERIES["pipeline"](spark, SF).count() > 0
 
 
