@@ -10,6 +10,11 @@ import numpy as np
 CACHE = 500_000
 #: A word of its own that stands between the words of a joined batch.
 MARK = "\x01"
+#: Fixed value: a split pattern where a run of letters ends before ASCII punctuation.
+LETTER_RUNS = {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+_LETTER, _PUNCTUATION = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[97:123] = True
+_PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 
 class Encoder:
@@ -17,7 +22,8 @@ class Encoder:
 
     A tokenizer that replaces white space by a blank and drops it between words gives
     a text the ids of its parts between blanks and newlines; each distinct part is
-    encoded once. Any other tokenizer encodes whole texts.
+    encoded once. Of one that lowers case and ends words at punctuation, parts that differ in
+    no more than that are one. Any other tokenizer encodes whole texts.
     """
 
     def __init__(self, path: str):
@@ -33,6 +39,9 @@ class Encoder:
         drops = bool(splits) and splits[0]["behavior"] == "Removed" and splits[0]["invert"]
         plain = not any(t["lstrip"] or t["rstrip"] or " " in t["content"] or "\n" in t["content"] for t in spec["added_tokens"])
         self.by_words = replaces and drops and plain
+        self.special = [t["content"].lower().encode() for t in spec["added_tokens"]]
+        lowers = norm.get("type") == "Sequence" and norm["normalizers"][-1:] == [{"type": "Lowercase"}]
+        self.by_letters = self.by_words and lowers and splits[0].get("pattern") == LETTER_RUNS
         self.kind = np.dtype(np.uint16 if self.vocabulary <= 1 << 16 else np.uint32)
         self.cache: dict[bytes, bytes] = {b"": b""}
         self.mark = self.encode_all([MARK])[0] if self.by_words else []
@@ -41,6 +50,17 @@ class Encoder:
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
 
+    def apart(self, text: bytes) -> bytes:
+        """A text of the same ids with fewer distinct words: lower case, and a blank between
+        a letter and the punctuation after it. A text that may spell an added token or
+        compose a letter with a mark (U+0300 to U+037F) stays as it is."""
+        low = text.lower()
+        if b"\xcc" in low or b"\xcd" in low or any(s in low for s in self.special):
+            return text
+        a = np.frombuffer(low, np.uint8)
+        at = np.flatnonzero(_LETTER[a[:-1]] & _PUNCTUATION[a[1:]]) + 1
+        return np.insert(a, at, 32).tobytes() if len(at) else low
+
     def encode_all(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -66,6 +86,8 @@ class Encoder:
             return [np.array(x, self.kind) for x in self.encode_all([t.decode("utf-8", "replace") for t in texts])]
         if len(self.cache) > CACHE:
             self.cache = {b"": b""}
+        if self.by_letters:
+            texts = [self.apart(t) for t in texts]
         cache, words = self.cache, [t.replace(b"\n", b" ").split(b" ") for t in texts]
         got = [list(map(cache.get, w)) for w in words]
         missing = [[i for i, g in enumerate(x) if g is None] for x in got]
