@@ -65,7 +65,16 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word, from texts of many words with marks between them."""
+        """Ids of each word. One of plain lower-case letters is itself to the model; others go
+        through the whole tokenizer in texts of many words with marks between them."""
+        if self.by_letters:
+            plain = [w.isalpha() and w.islower() for w in words]
+            others = iter(self.encode_joined([w for w, p in zip(words, plain, strict=True) if not p]))
+            merge = self.tokenizer.model.tokenize
+            return [np.array([t.id for t in merge(w.decode())], self.kind).tobytes() if p else next(others) for w, p in zip(words, plain, strict=True)]
+        return self.encode_joined(words)
+
+    def encode_joined(self, words: list[bytes]) -> list[bytes]:
         out: list[bytes] = []
         for i in range(0, len(words), 4096):
             part = [w.decode("utf-8", "replace") for w in words[i : i + 4096]]
