@@ -121,6 +121,19 @@ def test_words_encode_as_texts(texts):
     assert [x.tolist() for x in e.ids([t.encode() for t in texts])] == whole(texts)
 
 
+#: Marks that compose, contractions, added tokens, punctuation beside letters, odd blanks.
+ODD = ["J", "\u030c", "I", "\u0307", "\u0130", "\u03a3", "'", "s", "'LL", "don", "!", ".", "\u2026", "<|endoftext|>", "<|ENDOFTEXT|>", "<", "|>", "\u0338", " ", "\n", "\x01", "1", "\u00c9", "\u65e5", "\x85", "\x00"]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(ODD), max_size=12).map("".join), max_size=20))
+def test_odd_words_encode_as_texts(texts):
+    assert [x.tolist() for x in ODD_ENCODER.ids([t.encode() for t in texts])] == [e.ids for e in ODD_ENCODER.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+ODD_ENCODER = Encoder(TOKENIZER)
+
+
 def test_token_files(spark, docs, none, tmp_path):
     tokenfiles.write(docs, str(tmp_path / "f"), TOKENIZER, 2, block_tokens=5000)
     rows = tokenfiles.read(spark, str(tmp_path / "f")).orderBy("start").collect()
