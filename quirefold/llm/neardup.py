@@ -11,10 +11,11 @@ Within a band's bucket each node is first compared with the bucket's least node.
 the links found leave a bucket in several components, its other pairs across components
 follow. In a bucket of at most SMALL nodes they are joined pair by pair. The nodes of a
 larger one are dealt into groups of about TILE, and each two groups meet in a task of
-their own, which returns links only as far as they join components; a bucket of more
-than LARGE nodes is first split by the nodes' other bands. So no bucket has a cap and
-none is held in one task. The work in a large bucket that stays in several components
-grows with the square of its nodes.
+their own, which returns links only as far as they join components. In a bucket of more
+than LARGE nodes those that share another band too are compared before that, which only
+joins components early: what then is in several components is compared as a whole. So no
+bucket has a cap and none is held in one task. The work in a large bucket that stays in
+several components grows with the square of its nodes.
 """
 
 import hashlib
@@ -33,7 +34,6 @@ BANDS, ROWS = 12, 3
 IDF_BITS = 18
 POOL_BITS = 16
 SMALL, TILE, LARGE = 32, 128, 4096
-SPLITS = 2
 U64 = np.uint64
 
 
@@ -231,12 +231,11 @@ def verified(pairs: DataFrame, vecs: DataFrame, least: float) -> DataFrame:
     return stored(pairs.join(b, "b").join(a, "a").select("a", "b", "va", "vb").mapInArrow(tidy(run), "a binary, b binary"), "links")
 
 
-def _open(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Labels of linked nodes, and the buckets whose nodes are in several components."""
-    labels = components(links)
-    at = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def _open(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members, with labels, of the buckets whose nodes are in several components."""
+    at = members.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = at.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).where("x <> y")
-    return labels, at.join(several.select("bucket", "size"), "bucket")
+    return at.join(several.select("bucket", "size"), "bucket")
 
 
 def near_links(signatures: DataFrame, docs: DataFrame, idf: np.ndarray, least: float = SIMILARITY) -> DataFrame:
@@ -253,28 +252,24 @@ def near_links(signatures: DataFrame, docs: DataFrame, idf: np.ndarray, least: f
     links = verified(star, vecs, least)
     members = members.select("bucket", "node", "bands")
 
-    _, opened = _open(members, links)
-    opened = stored(opened, "open").withColumn("whole", F.lit(False))
-    for _ in range(SPLITS):
-        # a bucket whose nodes agree in all bands can't be split
-        large = opened.where((F.col("size") > LARGE) & ~F.col("whole"))
-        if large.isEmpty():
-            break
-        parts = large.select("bucket", "size", "node", "bands", "label", F.explode("bands").alias("key"))
-        keys = parts.groupBy("bucket", "key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"), F.first("size").alias("size"))
-        one_part = keys.groupBy("bucket").agg((F.min("n") == F.first("size")).alias("whole"))
-        smaller = keys.where("n < size and n > 1 and x <> y").select("bucket", "key", "n")
-        parts = parts.join(smaller, ["bucket", "key"]).select(
-            F.xxhash64("bucket", "key").alias("bucket"), "node", "bands", "label", F.col("n").alias("size"), F.lit(False).alias("whole")
-        )
-        stuck = large.drop("whole").join(one_part.where("whole"), "bucket")
-        rest = opened.where((F.col("size") <= LARGE) | F.col("whole"))
-        opened = stored(rest.unionByName(parts).unionByName(stuck.select(*opened.columns)), "open")
+    opened = stored(_open(members, links), "open")
+    large = opened.where(F.col("size") > LARGE)
+    if not large.isEmpty():
+        parts = large.select("bucket", "node", "label", F.explode("bands").alias("key"))
+        keys = parts.groupBy("bucket", "key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"))
+        smaller = keys.where((F.col("n") <= LARGE) & (F.col("x") != F.col("y"))).select("bucket", "key", "n")
+        parts = parts.join(smaller, ["bucket", "key"]).select(F.xxhash64("bucket", "key").alias("bucket"), "node", "label", F.col("n").alias("size"))
+        links = stored(links.unionByName(compared(parts, vecs, least)), "links")
+        opened = stored(_open(members, links), "open")
+    return stored(links.unionByName(compared(opened, vecs, least)), "links")
+
+
+def compared(opened: DataFrame, vecs: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between nodes of different labels of each bucket, whatever its size."""
     one, two = (opened.where(F.col("size") <= SMALL).select("bucket", F.col("node").alias(n), F.col("label").alias(f"l{n}")) for n in "ab")
     pairs = one.join(two, "bucket").where("a < b and la <> lb").select("a", "b").distinct()
-    more = verified(pairs, vecs, least)
     tiled = tile_links(opened.where(F.col("size") > SMALL).select("bucket", "size", "node", "label"), vecs, least)
-    return stored(links.unionByName(more).unionByName(tiled), "links")
+    return verified(pairs, vecs, least).unionByName(tiled)
 
 
 def overlaps(vecs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:

@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quirefold.llm import decontam, langid, lm, neardup, packing, quality, rangecoder, sharding, suffixes, tokenfiles, toxicity
@@ -289,6 +290,29 @@ def test_near_duplicates(spark, docs, none, monkeypatch):
     assert neardup.keep_one(none).count() == 0
 
 
+def test_large_bucket_is_compared_whole(spark, monkeypatch):
+    """Two groups of near copies meet in one bucket; no two nodes share another band."""
+    rows = []
+    for g in range(2):
+        words = [f"g{g}v{i}" for i in range(120)]
+        rows += [(10 * g + k, " ".join([*words[: 20 * k], f"new{k}", *words[20 * k + 1 :]])) for k in range(6)]
+    docs = table(spark, rows).select("doc_id", "text")
+    idf = neardup.idf_table(docs)
+    own = [F.col("doc_id") * 100 + k for k in range(1, neardup.BANDS)]
+    signatures = neardup.signed(docs, idf).withColumn("bands", F.array(F.lit(1).cast("long"), *own))
+    name = {r.node: r.doc_id for r in signatures.collect()}
+    top = brute_classes(rows)
+    for small in (32, 1):
+        monkeypatch.setattr(neardup, "SMALL", small)
+        monkeypatch.setattr(neardup, "TILE", 4)
+        monkeypatch.setattr(neardup, "LARGE", 5)
+        classes = {i: {i} for i, _ in rows}
+        for r in neardup.near_links(signatures, docs, idf).collect():
+            both = classes[name[r.a]] | classes[name[r.b]]
+            classes |= dict.fromkeys(both, both)
+        assert [rows.index(next(x for x in rows if x[0] == min(classes[i]))) for i, _ in rows] == top
+
+
 def test_sampling_estimates_weighted_jaccard():
     rng = np.random.default_rng(3)
     key = np.sort(rng.integers(0, 1 << 63, 400, dtype=np.int64).astype(np.uint64))
