@@ -192,13 +192,13 @@ def stored_vectors(docs: DataFrame, nodes: DataFrame, idf: np.ndarray) -> DataFr
 
 
 def pack_vector(key: np.ndarray, weight: np.ndarray) -> bytes:
-    """Upper 32 bits of each hash, ascending, then half-precision weights."""
-    return (key >> U64(32)).astype("<u4").tobytes() + weight.clip(max=65000).astype("<f2").tobytes()
+    """Upper 32 bits of each hash, ascending, then single-precision weights."""
+    return (key >> U64(32)).astype("<u4").tobytes() + weight.astype("<f4").tobytes()
 
 
 def unpack_vector(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(data) // 6
-    return np.frombuffer(data, "<u4", n), np.frombuffer(data, "<f2", n, 4 * n).astype(np.float64)
+    n = len(data) // 8
+    return np.frombuffer(data, "<u4", n), np.frombuffer(data, "<f4", n, 4 * n).astype(np.float64)
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:

@@ -332,6 +332,16 @@ def test_sampling_estimates_weighted_jaccard():
     assert abs(hits / n - want) < 0.06
 
 
+def test_weights_of_long_repetitions_are_whole():
+    idf = np.full(1 << neardup.IDF_BITS, 13, np.float32)
+    line = b"one line of seven words and again\n"
+    two = [neardup.vectors(Words([line * n], ITEM_WORDS), idf) for n in (10_000, 20_000)]
+    a, b = (neardup.unpack_vector(neardup.pack_vector(key, weight)) for _, key, weight in two)
+    assert abs(neardup.weighted_jaccard(a, b) - 0.5) < 1e-3
+    common = neardup.overlaps([a, b])
+    assert abs(common[0, 1] / common[1, 1] - 0.5) < 1e-3
+
+
 def test_overlaps_by_hand():
     rng = np.random.default_rng(5)
     vecs = []
