@@ -173,7 +173,7 @@ def _scan(docs: DataFrame, keep: list[str], index: Index, whole: bool) -> DataFr
             texts, out = binaries(b["_raw"]), []
             for lo, hi in runs(texts):
                 for n, spans, items in hits(texts[lo:hi], shared.value):
-                    names = sorted(str(shared.value.ids[i]) for i in items)
+                    names = sorted({str(shared.value.ids[i]) for i in items})
                     out.append(verdict(n, covered(spans), names) if whole else (n, [{"a": int(x), "b": int(y)} for x, y in spans], names))
             cols = list(zip(*out, strict=True)) if out else [[] for _ in extra.split(", ")]
             if whole:

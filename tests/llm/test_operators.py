@@ -229,6 +229,15 @@ def test_decontamination(spark, docs, none, block_bytes):
     assert decontam.annotate(docs, frame.where("false")).where("n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 5])
+def test_rows_of_one_item_id_count_once(spark, block_bytes):
+    items = [(20, "red apple"), (20, "green pear"), (3, "blue plum")]
+    text = "a red apple, a green pear and a blue plum"
+    got = decontam.annotate(table(spark, [(1, text)]), spark.createDataFrame(items, "item_id long, text string"), block_bytes)
+    assert tuple(got.select("n_words", "n_hit", "n_items", "items_sha256", "contaminated").first()) == decontam_brute(text, items)
+    assert got.first().n_items == 2
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=60), st.lists(st.sampled_from("abc"), max_size=60))
 def test_winnowing_finds_every_window(doc, item):
