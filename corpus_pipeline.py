@@ -38,9 +38,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     docs, named = set_apart(docs)
     cut = suffixes.dedup(docs, tuple(c for c in docs.columns if c != "text"), with_text=True)
-    whole = F.make_valid_utf8(F.col("kept").cast("string"))
-    # an invalid byte of a split character reads as U+FFFD, which the input's own are not
-    text = F.when((F.col("n_removed") == 0) | F.is_valid_utf8(F.col("kept").cast("string")), whole).otherwise(F.replace(whole, F.lit("\ufffd"), F.lit("")))
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
     return named(cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")))
 
 

@@ -260,22 +260,35 @@ def across_boundaries(found: DataFrame) -> DataFrame:
     return found.where("not edge").select("block", "text", "start", "n").unionByName(edges.select("block", "text", "start", "n"))
 
 
-def cut(text: bytes, start: np.ndarray, n: np.ndarray, span: int = SPAN) -> tuple[bytes, int]:
-    """The text without the bytes that the repeated suffixes cover; maximal removed runs."""
+def split_too(buf: np.ndarray, covered: np.ndarray) -> np.ndarray:
+    """``covered``, with the other bytes of characters that it splits; no byte else."""
+    at = np.arange(len(buf))
+    lead = np.maximum.accumulate(np.where((buf & 0xC0) != 0x80, at, 0))
+    first = buf[lead]
+    size = 1 + (first >= 0xC0) + (first >= 0xE0).astype(np.int64) + (first >= 0xF0)
+    char = np.cumsum((lead == at) | (at - lead >= size)) - 1
+    return (np.bincount(char, covered) > 0)[char]
+
+
+def cut(text: bytes, start: np.ndarray, n: np.ndarray, span: int = SPAN) -> tuple[bytes, int, bytes]:
+    """The text without the bytes that the repeated suffixes cover; maximal removed runs;
+    the text without the characters of which they cover a byte."""
     gone = np.zeros(len(text) + 1, np.int64)
     np.add.at(gone, start, 1)
     np.add.at(gone, start + n + span - 1, -1)
     covered = np.cumsum(gone)[:-1] > 0
     spans = int((covered & ~np.concatenate([[False], covered[:-1]])).sum())
-    return np.frombuffer(text, np.uint8)[~covered].tobytes(), spans
+    buf = np.frombuffer(text, np.uint8)
+    return buf[~covered].tobytes(), spans, buf[~split_too(buf, covered)].tobytes()
 
 
 def dedup(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
-    """docs (doc_id, text, ...) → the columns ``keep`` and RESULT, and with_text ``kept`` (binary).
+    """docs (doc_id, text, ...) → the columns ``keep`` and RESULT, and with_text ``kept`` (binary),
+    which also lacks the rest of characters that a cut splits; RESULT counts without them.
 
     Null texts count as empty, and so give the digest of no bytes; their ``kept`` is null. Of
     rows with one doc_id the order is that of the input, and a null id comes first. Texts below
-    SPAN bytes lose nothing. What is left is bytes: a cut may fall inside a character.
+    SPAN bytes lose nothing. RESULT is of bytes: a cut may fall inside a character.
     """
     rest = [F.col(c).alias(f"_{c}") for c in keep]
     blocks = in_blocks(docs.select("doc_id", raw_text().alias("raw"), *rest))
@@ -295,8 +308,8 @@ def dedup(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), with_text: bool
         out = []
         for i, t in enumerate(texts):
             a, z = edge[i], edge[i + 1]
-            kept, spans = cut(t, start[a:z], n[a:z]) if z > a else (t, 0)
-            out.append((len(t), len(t) - len(kept), spans, hashlib.sha256(kept).hexdigest(), None if null[i] else kept)[: len(names)])
+            kept, spans, chars = cut(t, start[a:z], n[a:z]) if z > a else (t, 0, t)
+            out.append((len(t), len(t) - len(kept), spans, hashlib.sha256(kept).hexdigest(), None if null[i] else chars)[: len(names)])
         cols = list(zip(*out, strict=True)) or [[] for _ in names]
         return pa.table([*(table[f"_{c}"] for c in keep), *(pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True))], names=[*keep, *names])
 

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -430,6 +431,19 @@ def test_suffix_dedup(spark, docs, none, monkeypatch, sort_bytes):
     assert suffixes.dedup(none).count() == 0
 
 
+def test_cuts_leave_replacement_characters(spark):
+    """The repeat starts inside a character (of equal last bytes) and ends inside one (of equal first bytes)."""
+    passage = "".join(f"{i}," for i in range(100, 140))
+    rows = [(1, "\ufffd one é" + passage + "Ä tail"), (2, "\ufffd two \u0269" + passage + "Ç end \ufffd\ufffd")]
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, table(spark, rows), "").collect()}
+    assert got == {1: rows[0][1], 2: "\ufffd two  end \ufffd\ufffd"}
+    for text in (b"a\x80\x80\x80b", b"\x80\xe6\x97", "日本".encode()):
+        buf = np.frombuffer(text, np.uint8)
+        for k in range(len(buf)):
+            assert suffixes.split_too(buf, np.arange(len(buf)) == k)[k]
+    assert suffixes.split_too(np.frombuffer(b"a\x80\x80b", np.uint8), np.array([1, 0, 0, 0], bool)).tolist() == [True, False, False, False]
+
+
 def test_multikey_sort():
     rng = np.random.default_rng(4)
     buf = rng.integers(97, 99, 3000).astype(np.uint8)
