@@ -1,27 +1,40 @@
-"""Connected components by least labels with pointer jumping, each round stored."""
+"""Connected components by contraction: each round hands a graph of fewer nodes on."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import stored
+from quirefold.llm.common import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges (a, b), either direction, → node, label: the least node of its component.
+    """edges (a, b), either direction, → node, label: one node of its component.
 
-    A round takes the least label of a node's neighbours, then the label's own label, so
-    the rounds grow with the logarithm of a component's width. Neighbours are
-    aggregated before each shuffle; nothing is collected but a count.
+    In a round each node that has a lesser neighbour moves to the least of them, and the edges
+    between nodes that differ after that are the next round's. Nodes should be digests, so
+    that runs of descending neighbours stay short: then a share of the nodes goes in each round,
+    and all rounds together read little more than the first. Moves are put together
+    from the last round to the first. Neighbours are aggregated before each shuffle; nothing
+    is collected but whether edges are left. Loops give their node itself; no edges, no rows.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = stored(both, "edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    rest = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    moves = []
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        least = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        jumped = least.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("top", "label")).alias("label"))
-        done = stored(jumped, "labels")
-        if done.where("old <> label").isEmpty():
-            return labels
-        labels = done.select("node", "label")
+        up = stored(rest.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")), "moves")
+        moves.append(up)
+        moved = rest
+        for end in "ab":
+            to = up.where("up < node").select(F.col("node").alias(end), F.col("up").alias("to"))
+            moved = moved.join(to, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+        left = stored(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        discard(rest)
+        if left.isEmpty():
+            break
+        rest = left
+    found = moves[-1].select("node", F.col("up").alias("label"))
+    for up in reversed(moves[:-1]):
+        later = found.select(F.col("node").alias("up"), "label")
+        found = up.join(later, "up", "left").select("node", F.coalesce("label", "up").alias("label")).unionByName(found)
+    tops = found.select(F.col("label").alias("node"), "label")
+    out = stored(found.unionByName(tops).distinct(), "labels")
+    discard(left, *moves)
+    return out

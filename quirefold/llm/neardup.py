@@ -7,15 +7,15 @@ idf of its words. Document frequencies cover all documents; words are hashed to
 broadcast. Texts with equal words are one node. Samples are banded; nodes that
 share a band are compared by the weighted Jaccard similarity of their vectors.
 
-Within a band's bucket each node is first compared with the bucket's least node. If
-the links found leave a bucket in several components, its other pairs across components
-follow. In a bucket of at most SMALL nodes they are joined pair by pair. The nodes of a
-larger one are dealt into groups of about TILE, and each two groups meet in a task of
-their own, which returns links only as far as they join components. In a bucket of more
-than LARGE nodes those that share another band too are compared before that, which only
-joins components early: what then is in several components is compared as a whole. So no
-bucket has a cap and none is held in one task. The work in a large bucket that stays in
-several components grows with the square of its nodes.
+The head of a band's bucket is the node whose buckets are largest in sum: in a group of near
+copies that is one near their common origin. First each node is compared with the heads of
+its buckets, as many pairs as there are members. Where the links found leave a bucket in
+several components, its pairs across components follow; the members of its largest
+component, its home, aren't compared with each other. In a bucket of at most SMALL nodes the
+pairs are joined. A larger one is dealt into groups of a bounded number of nodes and bytes,
+and each two groups meet in a task of their own, which returns links only as far as they join
+components. So no bucket has a cap and none is held in one task. The work in such a bucket
+grows with its nodes times those of them that are outside its home.
 """
 
 import hashlib
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import batch, binaries, distinct, grams, ITEM_WORDS, mix, raw_text, runs, stored, tidy, Words
+from quirefold.llm.common import batch, binaries, discard, distinct, grams, ITEM_WORDS, mix, raw_text, runs, stored, tidy, Words
 from quirefold.llm.components import components
 
 SHINGLE = 5
@@ -33,7 +33,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 12, 3
 IDF_BITS = 18
 POOL_BITS = 16
-SMALL, TILE, LARGE = 32, 128, 4096
+#: Nodes of a bucket whose pairs are joined; nodes and bytes of vectors in a group of a larger one, on average.
+SMALL, TILE, TILE_BYTES = 32, 128, 8 << 20
 U64 = np.uint64
 
 
@@ -149,9 +150,9 @@ def row_key() -> Column:
 
 
 def signed(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """doc_id, row_key, node (digest of the words), bands; stored."""
+    """doc_id, row_key, node (digest of the words), bands, shingles (distinct ones); stored."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
-    kinds = pa.schema([("doc_id", pa.int64()), ("row_key", pa.string()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    kinds = pa.schema([("doc_id", pa.int64()), ("row_key", pa.string()), ("node", pa.binary()), ("bands", pa.list_(pa.int64())), ("shingles", pa.int64())])
 
     def run(batches):
         sampler = Sampler()
@@ -159,36 +160,31 @@ def signed(docs: DataFrame, idf: np.ndarray) -> DataFrame:
             texts, names, row_keys = binaries(b["raw"]), b["doc_id"], b["row_key"]
             for lo, hi in runs(texts):
                 w = Words(texts[lo:hi], ITEM_WORDS)
-                bands = sampler.bands(*vectors(w, shared.value), hi - lo)
+                own, key, weight = vectors(w, shared.value)
+                bands = sampler.bands(own, key, weight, hi - lo)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
-                yield batch(kinds, [names.slice(lo, hi - lo), row_keys.slice(lo, hi - lo), pa.array(digests(w), pa.binary()), lists])
+                yield batch(kinds, [names.slice(lo, hi - lo), row_keys.slice(lo, hi - lo), pa.array(digests(w), pa.binary()), lists, pa.array(np.bincount(own, minlength=hi - lo))])
 
     rows = docs.select("doc_id", row_key().alias("row_key"), raw_text().alias("raw"))
-    return stored(rows.mapInArrow(tidy(run), "doc_id long, row_key string, node binary, bands array<long>"), "signed")
+    return stored(rows.mapInArrow(tidy(run), "doc_id long, row_key string, node binary, bands array<long>, shingles long"), "signed")
 
 
 def stored_vectors(docs: DataFrame, nodes: DataFrame, idf: np.ndarray) -> DataFrame:
-    """node, vec for the given (node, doc_id): a text is found by its id and known by its words."""
+    """node, vec for the given (node, row_key), one row a node."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
     kinds = pa.schema([("node", pa.binary()), ("vec", pa.binary())])
 
     def run(batches):
         for b in batches:
-            texts, nodes_ = binaries(b["raw"]), b["node"].to_pylist()
-            out = []
+            texts, nodes_ = binaries(b["raw"]), b["node"]
             for lo, hi in runs(texts):
-                w = Words(texts[lo:hi], ITEM_WORDS)
-                own, key, weight = vectors(w, shared.value)
+                own, key, weight = vectors(Words(texts[lo:hi], ITEM_WORDS), shared.value)
                 edge = np.searchsorted(own, np.arange(hi - lo + 1))
-                for i, d in enumerate(digests(w)):
-                    if d == nodes_[lo + i]:
-                        out.append((d, pack_vector(key[edge[i] : edge[i + 1]], weight[edge[i] : edge[i + 1]])))
-            if out:
-                yield batch(kinds, list(zip(*out, strict=True)))
+                vecs = [pack_vector(key[x:y], weight[x:y]) for x, y in zip(edge[:-1], edge[1:], strict=True)]
+                yield batch(kinds, [nodes_.slice(lo, hi - lo), vecs])
 
-    wanted = nodes.select("node", F.col("doc_id").alias("_id"))
-    rows = docs.select("doc_id", raw_text().alias("raw")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "raw")
-    return stored(rows.mapInArrow(tidy(run), "node binary, vec binary"), "vectors").dropDuplicates(["node"])
+    rows = docs.select(row_key().alias("row_key"), raw_text().alias("raw")).join(nodes.select("node", "row_key"), "row_key").select("node", "raw")
+    return stored(rows.mapInArrow(tidy(run), "node binary, vec binary").dropDuplicates(["node"]), "vectors")
 
 
 def pack_vector(key: np.ndarray, weight: np.ndarray) -> bytes:
@@ -232,44 +228,50 @@ def verified(pairs: DataFrame, vecs: DataFrame, least: float) -> DataFrame:
 
 
 def _open(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members, with labels, of the buckets whose nodes are in several components."""
-    at = members.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    several = at.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).where("x <> y")
-    return at.join(several.select("bucket", "size"), "bucket")
+    """Members of the buckets whose nodes are in several components: bucket, node, shingles,
+    label, and of the bucket size, home (the label of most nodes), n_home and bytes."""
+    labels = components(links)
+    at = stored(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    discard(labels)
+    parts = at.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("shingles").alias("s"))
+    most = F.max(F.struct("n", "label"))
+    several = parts.groupBy("bucket").agg(F.count("*").alias("x"), F.sum("n").alias("size"), (8 * F.sum("s")).alias("bytes"), most.alias("m")).where("x > 1")
+    opened = stored(at.join(several.select("bucket", "size", "bytes", F.col("m.label").alias("home"), F.col("m.n").alias("n_home")), "bucket"), "open")
+    discard(at)
+    return opened
+
+
+def bucketed(signatures: DataFrame) -> DataFrame:
+    """Members of the buckets of two nodes or more: bucket, node, row_key, shingles, head; stored."""
+    nodes = signatures.groupBy("node").agg(*[F.min(c).alias(c) for c in ("row_key", "bands", "shingles")])
+    banded = nodes.select("node", "row_key", "shingles", F.posexplode("bands").alias("band", "key"))
+    banded = banded.select(F.xxhash64("band", "key").alias("bucket"), "node", "row_key", "shingles")
+    sizes = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = stored(banded.join(sizes, "bucket"), "members")
+    popular = members.groupBy("node").agg(F.sum("size").alias("popular"))
+    heads = members.select("bucket", "node").join(popular, "node").groupBy("bucket").agg(F.max(F.struct("popular", "node"))["node"].alias("head"))
+    out = stored(members.join(heads, "bucket").select("bucket", "node", "row_key", "shingles", "head"), "members")
+    discard(members)
+    return out
 
 
 def near_links(signatures: DataFrame, docs: DataFrame, idf: np.ndarray, least: float = SIMILARITY) -> DataFrame:
-    """node pairs of ``least`` similarity or more that hold the components together."""
-    nodes = signatures.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("bands").alias("bands"))
-    banded = nodes.select("node", "doc_id", "bands", F.posexplode("bands").alias("band", "key")).select(
-        F.xxhash64("band", "key").alias("bucket"), "node", "doc_id", "bands"
-    )
-    heads = banded.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1")
-    members = stored(banded.join(heads, "bucket"), "members")
-    used = members.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    vecs = stored_vectors(docs, used, idf)
-    star = members.where("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    links = verified(star, vecs, least)
-    members = members.select("bucket", "node", "bands")
-
-    opened = stored(_open(members, links), "open")
-    large = opened.where(F.col("size") > LARGE)
-    if not large.isEmpty():
-        parts = large.select("bucket", "node", "label", F.explode("bands").alias("key"))
-        keys = parts.groupBy("bucket", "key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"))
-        smaller = keys.where((F.col("n") <= LARGE) & (F.col("x") != F.col("y"))).select("bucket", "key", "n")
-        parts = parts.join(smaller, ["bucket", "key"]).select(F.xxhash64("bucket", "key").alias("bucket"), "node", "label", F.col("n").alias("size"))
-        links = stored(links.unionByName(compared(parts, vecs, least)), "links")
-        opened = stored(_open(members, links), "open")
-    return stored(links.unionByName(compared(opened, vecs, least)), "links")
+    """node pairs of ``least`` similarity or more that hold the components together; stored."""
+    members = bucketed(signatures)
+    vecs = stored_vectors(docs, members.groupBy("node").agg(F.min("row_key").alias("row_key")), idf)
+    star = members.where("head <> node").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
+    first = verified(star, vecs, least)
+    opened = _open(members.select("bucket", "node", "shingles"), first)
+    links = stored(first.unionByName(compared(opened, vecs, least)).distinct(), "links")
+    discard(members, vecs, first, opened)
+    return links
 
 
 def compared(opened: DataFrame, vecs: DataFrame, least: float) -> DataFrame:
     """Links (a, b) between nodes of different labels of each bucket, whatever its size."""
     one, two = (opened.where(F.col("size") <= SMALL).select("bucket", F.col("node").alias(n), F.col("label").alias(f"l{n}")) for n in "ab")
     pairs = one.join(two, "bucket").where("a < b and la <> lb").select("a", "b").distinct()
-    tiled = tile_links(opened.where(F.col("size") > SMALL).select("bucket", "size", "node", "label"), vecs, least)
-    return verified(pairs, vecs, least).unionByName(tiled)
+    return verified(pairs, vecs, least).unionByName(tile_links(opened.where(F.col("size") > SMALL), vecs, least))
 
 
 def overlaps(vecs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -304,11 +306,17 @@ def overlaps(vecs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 
 
 def tile_links(members: DataFrame, vecs: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) between nodes of a bucket with different labels, found tile by tile."""
+    """Links (a, b) between nodes of a bucket with different labels, found tile by tile.
+
+    Groups below ``rest`` hold nodes outside the bucket's home, those from there on the home's.
+    """
     kinds = pa.schema([("a", pa.binary()), ("b", pa.binary())])
-    groups = F.ceil(F.col("size") / TILE).cast("int")
-    dealt = members.withColumn("groups", groups).withColumn("g", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("groups") - 1))
+    n_of = lambda n: F.ceil(F.greatest(n / TILE, F.col("bytes") * n / F.col("size") / TILE_BYTES)).cast("int")
+    rest, home = n_of(F.col("size") - F.col("n_home")), n_of(F.col("n_home"))
+    at_home = F.col("label") == F.col("home")
+    dealt = members.withColumns({"rest": rest, "all": rest + home, "in": F.xxhash64("node")})
+    dealt = dealt.withColumn("g", F.when(at_home, F.col("rest") + F.pmod("in", F.col("all") - F.col("rest"))).otherwise(F.pmod("in", F.col("rest"))).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.when(at_home, F.col("rest")).otherwise(F.col("all")) - 1))
     tiles = dealt.select("bucket", "node", "label", "g", other.alias("h")).select(
         "bucket", F.least("g", "h").alias("i"), F.greatest("g", "h").alias("j"), "node", "label"
     )
@@ -355,8 +363,8 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     made the classes), one row a document.
 
     Null texts and texts without words are one class. Rows with equal words are one
-    class whatever their number; a class without any id has a null class_id. An empty
-    table gives no rows.
+    class whatever their number; a class without any id has a null class_id. Columns but
+    doc_id and text are not read. An empty table gives no rows.
     """
     signatures, links, labels = _labelled(docs, least)
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
@@ -369,10 +377,13 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The row of least doc_id of each class, all columns. A row without id stays only where
-    its class has no id; of rows with one id and text the least by all columns stays."""
+    its class has no id; of rows with one id and text that whose other columns are least as
+    JSON stays, whatever their types. Null texts and texts without words are one class."""
     signatures, _, labels = _labelled(docs, least)
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key")
     own = signatures.groupBy("node").agg(F.min(place).alias("p")).join(labels, "node")
     stay = own.groupBy("label").agg(F.min("p").alias("p")).select(F.col("p.row_key").alias("__key"))
     found = docs.withColumn("__key", row_key()).join(stay, "__key")
-    return found.groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.to_json(F.struct(*rest)) if rest else F.lit("")
+    return found.groupBy("__key").agg(F.min_by(F.struct(*docs.columns), order).alias("r")).select("r.*")

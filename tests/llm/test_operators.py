@@ -10,12 +10,13 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quirefold.llm import decontam, langid, lm, neardup, packing, quality, rangecoder, sharding, suffixes, tokenfiles, toxicity
+from quirefold.llm.components import components
 from quirefold.llm.common import BLANK_WORDS, ITEM_WORDS, Words
 from quirefold.llm.tokens import Encoder
 
@@ -315,7 +316,7 @@ def test_large_bucket_is_compared_whole(spark, monkeypatch):
     for small in (32, 1):
         monkeypatch.setattr(neardup, "SMALL", small)
         monkeypatch.setattr(neardup, "TILE", 4)
-        monkeypatch.setattr(neardup, "LARGE", 5)
+        monkeypatch.setattr(neardup, "TILE_BYTES", 5000)
         classes = {i: {i} for i, _ in rows}
         for r in neardup.near_links(signatures, docs, idf).collect():
             both = classes[name[r.a]] | classes[name[r.b]]
@@ -323,6 +324,34 @@ def test_large_bucket_is_compared_whole(spark, monkeypatch):
         assert [rows.index(next(x for x in rows if x[0] == min(classes[i]))) for i, _ in rows] == top
 
 
+def test_rows_without_id_or_with_map_columns(spark):
+    """Rows of no id and rows that differ in a map alone: one of each class stays, and texts are fetched once."""
+    rows = [(None, f"{SHARED} number{k // 2}", {"k": str(k)}) for k in range(40)] + [(1, "alone here", {"a": "2"}), (1, "alone here", {"a": "1"}), (1, "other words", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra map<string, string>")
+    kept = neardup.keep_one(docs).collect()
+    assert len(kept) == 3
+    assert {r.text: r.extra for r in kept}["alone here"] == {"a": "1"}
+    idf = neardup.idf_table(docs)
+    signatures = neardup.signed(docs, idf)
+    members = neardup.bucketed(signatures)
+    vecs = neardup.stored_vectors(docs, members.groupBy("node").agg(F.min("row_key").alias("row_key")), idf)
+    assert vecs.count() == members.select("node").distinct().count()
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(pairs=st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=40))
+def test_components(spark, pairs):
+    top = {x: x for p in pairs for x in p}
+    for a, b in pairs:
+        x, y = top[a], top[b]
+        top = {k: min(x, y) if t in (x, y) else t for k, t in top.items()}
+    name = lambda x: hashlib.md5(bytes([x])).digest()
+    edges = spark.createDataFrame([(bytearray(name(a)), bytearray(name(b))) for a, b in pairs], "a binary, b binary")
+    got = {bytes(r.node): bytes(r.label) for r in components(edges).collect()}
+    assert set(got) == {name(x) for x in top}
+    assert all((got[name(x)] == got[name(y)]) == (top[x] == top[y]) for x in top for y in top)
+
+
 def test_sampling_estimates_weighted_jaccard():
     rng = np.random.default_rng(3)
     key = np.sort(rng.integers(0, 1 << 63, 400, dtype=np.int64).astype(np.uint64))
