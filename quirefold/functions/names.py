@@ -56,9 +56,9 @@ def _last_word(c: Column) -> Column:
 
 
 def last_name(author: Column | str) -> Column:
-    """``Last, First`` and ``First Last`` of the first author; none: UnknownAuthor."""
+    """``Last, First`` and ``First Last`` of the first author; none before the comma: UnknownAuthor."""
     first = F.split_part(F.split_part(blank(author), F.lit(","), F.lit(1)), F.lit(" and "), F.lit(1))
-    return F.when(strip(blank(author)) == "", F.lit("UnknownAuthor")).otherwise(sanitize(_last_word(first)))
+    return F.when(strip(first) == "", F.lit("UnknownAuthor")).otherwise(sanitize(_last_word(first)))
 
 
 def legacy_last_name(author: Column | str) -> Column:
@@ -89,7 +89,7 @@ def region_of_zone(zone: Column | str) -> Column:
 
 def duration_text(seconds: Column | str) -> Column:
     s = _c(seconds).cast("long")
-    return F.format_string("%dm %ds", F.expr("1") * F.floor(s / 60), s % 60)
+    return F.format_string("%dm %ds", F.floor(s / 60), s % 60)
 
 
 def session_ids(listing: Column | str) -> Column:

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirefold.sources.scratch import stored
+
 PLAIN_BREAK = "\n\n"
 MARKED_BREAK = "\n\n<!-- CHUNK BREAK -->\n\n"
 
@@ -23,20 +25,22 @@ def first_metadata(meta: Column, order: Column) -> Column:
 def running_number(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """0-based number over the whole table in ``order``, without a one-task window.
 
-    Rows are range-partitioned and sorted; partition counts (one row per
-    partition) give each partition its offset.
+    The rows are range-partitioned, sorted and stored once with their partition and place; both
+    the partitions' counts (one row each) and the numbers come from that table, so they can't
+    differ. Ties follow the hash of all columns that have one (maps have none); they spread over
+    partitions. Nulls come first. An empty table gives no rows.
     """
-    ranged = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_p", F.spark_partition_id())
-    inner = Window.partitionBy("_p").orderBy(*order)
-    counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return (
-        ranged.withColumn("_i", F.row_number().over(inner))
-        .join(offsets, "_p")
-        .withColumn(name, (F.col("_before") + F.col("_i") - 1).cast("long"))
-        .drop("_p", "_i", "_before")
-    )
+    ranked = [F.col(c) for c in order]
+    plain = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    keyed = df.withColumn("__tie", F.xxhash64(*plain))
+    ranged = keyed.repartitionByRange(*ranked, "__tie").sortWithinPartitions(*ranked, "__tie").drop("__tie")
+    at = F.monotonically_increasing_id()  # partition in the upper 31 bits, place in the lower 33
+    rows = stored(ranged.withColumn("__at", at), "ranged").withColumn("__part", F.shiftright("__at", 33))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("__part").agg(F.count("*").alias("__n"))
+    offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    number = F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(F.broadcast(offsets), "__part").select(*df.columns, number.cast("long").alias(name))
 
 
 def rewrite_links(text: Column, pairs: Column) -> Column:

@@ -1,11 +1,11 @@
-"""The manifest: one row per finished chunk. A row's presence is the marker."""
+"""The manifest: one row per finished chunk, with its images. A row's presence is the marker."""
 
 import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MANIFEST = "key string, start_page int, chunk_tag string, text string, meta string, done_at double"
+MANIFEST = "key string, start_page int, chunk_tag string, text string, meta string, images map<string,binary>, done_at double"
 
 
 def tolerant_meta(meta):
@@ -25,14 +25,21 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], MANIFEST)
     rows = spark.read.schema(MANIFEST).parquet(path)
     return rows.groupBy("key", "start_page", "chunk_tag").agg(
-        F.max_by(F.struct("text", "meta"), "done_at").alias("r"), F.max("done_at").alias("done_at")
-    ).select("key", "start_page", "chunk_tag", "r.text", "r.meta", "done_at")
+        F.max_by(F.struct("text", "meta", "images"), "done_at").alias("r"), F.max("done_at").alias("done_at")
+    ).select("key", "start_page", "chunk_tag", "r.text", "r.meta", "r.images", "done_at")
 
 
 def commit(chunks: DataFrame, path: str) -> None:
-    """Appends finished chunks; the write's own commit makes them appear at once."""
-    rows = chunks.withColumn("done_at", F.lit(time.time()))
-    rows.select("key", "start_page", "chunk_tag", "text", "meta", "done_at").write.mode("append").parquet(path)
+    """Appends finished chunks; the write's own commit makes a chunk and its images appear at once.
+    Chunks without a column ``images`` have none."""
+    none = F.lit(None).cast("map<string,binary>")
+    rows = chunks.withColumn("done_at", F.lit(time.time())).withColumn("images", F.col("images") if "images" in chunks.columns else none)
+    rows.select("key", "start_page", "chunk_tag", "text", "meta", "images", "done_at").write.mode("append").parquet(path)
+
+
+def image_rows(chunks: DataFrame, key: str = "key") -> DataFrame:
+    """key, start_page, name, image: one row an image. A chunk without images has none."""
+    return chunks.select(key, "start_page", F.explode("images").alias("name", "image"))
 
 
 def purge(spark: SparkSession, path: str) -> None:

@@ -7,8 +7,10 @@ at a time, with a soft time limit; OCR or layout models attach there.
 
 import signal
 import threading
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
@@ -25,6 +27,25 @@ class Converter(Protocol):
     def __call__(self, pages: list[str]) -> tuple[str, str | None, dict[str, bytes]]: ...
 
 
+#: The converters that this Python worker has set up.
+_ready: dict[str, Converter] = {}
+
+
+@dataclass(frozen=True)
+class Setup:
+    """A converter that each Python worker makes once, as ``factory(**options)``: models load there
+    and are used for all its chunks, and nothing but the factory travels with a task."""
+
+    factory: Callable[..., Converter]
+    options: dict[str, object] = field(default_factory=dict)
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+    def __call__(self, pages: list[str]) -> tuple[str, str | None, dict[str, bytes]]:
+        if self.name not in _ready:
+            _ready[self.name] = self.factory(**self.options)
+        return _ready[self.name](pages)
+
+
 def fallback_text(page_no: Column, raw: Column) -> Column:
     """Raw text under a marker with the 1-based page number."""
     head = F.concat(F.lit("\n\n<!-- PyPDF Fallback: Page "), (page_no + 1).cast("string"), F.lit(" -->\n\n"))

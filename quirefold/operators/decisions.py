@@ -38,22 +38,23 @@ def sync_diff(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "full_outer").select(key, state.alias("state"))
 
 
-#: Paths a workspace never tracks.
+#: Paths below a workspace's base folder that it never tracks.
 IGNORED_PREFIXES = [
-    "ai-sandbox/academic-hub/01-resources/",
-    "ai-sandbox/research/journal-articles/",
-    "ai-sandbox/research/independent-research/notes/",
-    "ai-sandbox/academic-hub/02-academic-notes-code/",
-    "ai-sandbox/personal-website/",
-    "ai-sandbox/research/independent-research/projects/",
+    "academic-hub/01-resources/",
+    "research/journal-articles/",
+    "research/independent-research/notes/",
+    "academic-hub/02-academic-notes-code/",
+    "personal-website/",
+    "research/independent-research/projects/",
 ]
 IGNORED_NAMES = [".env", ".idea", ".DS_Store", "Thumbs.db"]
 
 
-def ignored(path: Column) -> Column:
+def ignored(path: Column, base: str) -> Column:
+    """Paths are relative to the workspace; ``base`` is the folder there that has the prefixes."""
     hit = F.endswith(path, F.lit(".log"))
     for p in IGNORED_PREFIXES:
-        hit = hit | F.startswith(path, F.lit(p))
+        hit = hit | F.startswith(path, F.lit(f"{base}/{p}"))
     return hit | F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, IGNORED_NAMES)))
 
 

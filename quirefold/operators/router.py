@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LONG_PAGES = 30
+SAMPLE = 200
 TOC_WORDS = "(?i)contents|chapter|index"
 
 
@@ -20,11 +21,13 @@ def toc_scan(pages: DataFrame, words: str = TOC_WORDS, n: int = LONG_PAGES) -> D
 
 
 def text_layer(pages: DataFrame, key: str) -> DataFrame:
-    """Per book: has it searchable text, and the first page that has some."""
+    """Per book: has it searchable text, the first page that has some, and how that begins."""
     some = F.length(F.trim("body")) > 0
+    first = F.when(some, F.col("page_no"))
     return pages.groupBy(key).agg(
         F.coalesce(F.bool_or(some), F.lit(False)).alias("searchable"),
-        F.min(F.when(some, F.col("page_no"))).cast("long").alias("first_text_page"),
+        F.min(first).cast("long").alias("first_text_page"),
+        F.min_by(F.substring(F.trim("body"), 1, SAMPLE), first).alias("sample"),
     )
 
 
@@ -47,6 +50,27 @@ def split_chapters(pages: DataFrame, key: str, heading: str = r"^#{1,2} ") -> Da
     return pages.withColumn("chapter_no", F.sum(F.col("body").rlike(heading).cast("int")).over(w).cast("int"))
 
 
+def chapter_manifest(pages: DataFrame, key: str, heading: str = r"^#{1,2} ") -> DataFrame:
+    """One row a chapter: key, chapter_no, title (the first line of its first page), first_page,
+    last_page and the text as a piece of its own. Pages before the first heading are chapter 0."""
+    at = split_chapters(pages, key, heading)
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("page_no", F.coalesce("body", F.lit("")).alias("t")))), lambda x: x["t"])
+    title = F.regexp_replace(F.split_part(F.coalesce(F.min_by("body", "page_no"), F.lit("")), F.lit("\n"), F.lit(1)), "^#+ ", "")
+    return at.groupBy(key, "chapter_no").agg(
+        title.alias("title"), F.min("page_no").alias("first_page"), F.max("page_no").alias("last_page"), F.concat_ws("\n", parts).alias("text")
+    )
+
+
+def find_chapters(requests: DataFrame, chapters: DataFrame, key: str) -> DataFrame:
+    """requests (request, key, wanted) with the chapters they mean: that number, or a title that has
+    the wanted words, whatever their case. Joined by book; a request that finds none has a null chapter."""
+    wanted = F.lower(F.trim("wanted"))
+    by_number = F.col("chapter_no").cast("string") == wanted
+    by_title = (wanted != "") & F.contains(F.lower("title"), wanted)
+    hit = requests.join(chapters.select(key, "chapter_no", "title"), key).where(by_number | by_title).select("request", "chapter_no", "title")
+    return requests.join(hit, "request", "left").select("request", key, "wanted", "chapter_no", "title")
+
+
 def compare_extractors(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     same = F.col("a.body").eqNullSafe(F.col("b.body"))
     return a.alias("a").join(b.alias("b"), [key, "page_no"], "full_outer").select(key, "page_no", same.alias("same"))

@@ -18,7 +18,7 @@ BOOKS = ("id int, file string, title string, author string, year string, md stri
     (4, "d.x.pdf", "", "", "", "nothing", "not json"),
     (5, "e.pdf", "", "", "", "## Only <b>Title</b>\n", '{"title":5,"author":"unknown","year":"1980"}'),
     (6, "f.pdf", "", "Ann Lee and Bo Ray", "", "", ""),
-    (7, "(-).pdf", "", "tex", "2003", "", "[1]"),
+    (7, "(-).pdf", "", "tex", "2003", "", "[1]"), (8, "g.pdf", "T", ", Ann", "", "", ""), (9, "h.pdf", "U", " and Bo", "", "", ""),
 ])
 REPOS = ("repo_path string, local_hash string, remote_hash string", [
     ("a", "1", "1"), ("b", "1", "2"), ("c", "1", ""), ("d", "3", "2"),
@@ -31,8 +31,8 @@ SETUPS = ("id int, marker string, checks string", [
     (4, "setup_version=7", "1101111"), (5, "at=x", "1111111"), (6, "", "1111111"),
 ])
 PATHS = ("path string", [
-    ("ai-sandbox/personal-website/a.html",), ("ai-sandbox/readme.md",), ("x/run.log",), (".env",), ("a/.DS_Store",),
-    ("ai-sandbox/research/scripts/a.py",), ("ai-sandbox/research/journal-articles/p.pdf",), ("src/.envrc",),
+    ("base/personal-website/a.html",), ("base/readme.md",), ("x/run.log",), (".env",), ("a/.DS_Store",),
+    ("base/research/scripts/a.py",), ("base/research/journal-articles/p.pdf",), ("src/.envrc",),
 ])
 MOUNTS = ("spec string", [
     ("./:/workspace:rw",), ("./research:/workspace/research:ro",), ("a:b",),
@@ -46,6 +46,22 @@ METAS = ("id int, meta string", [
     (1, '{"a":1}'), (2, "[1]"), (3, '"x"'), (4, "oops"), (5, "{}"), (6, None),
 ])
 
+CONFIGS = ("id int, config string", [
+    (1, '{"chunk_size": 50}'), (2, "[1]"), (3, "oops"), (4, None), (5, '{"chunk_size": "15", "x": 1}'), (6, "{}"), (7, '{"chunk_size": "many"}'),
+])
+CREATED = ("id int, title string, author string, created string", [
+    (1, "\tT ", None, "2001-02-03"), (2, None, " A\n", "not a date"), (3, "T", "A", None), (4, "", "", "1999-12-31"),
+])
+SCOPES = ("id int, scopes string", [
+    (1, "https://x/auth/cloud-platform"), (2, "devstorage.read_only,logging.write"), (3, None), (4, ""), (5, "a;cloud-platform.read-only"),
+])
+REQUESTS = ("request int, page_id int, wanted string", [
+    (1, 3, "2"), (2, 3, "PART 3"), (3, 4, "no such thing"), (4, 5, "part"), (5, 6, ""), (6, 7, "1"), (7, 999999, "1"),
+])
+
+#: The folder that the ignored prefixes stand below.
+BASE = "base"
+
 #: Folders of a workspace.
 SINGLE_DIRS = [
     "academic-hub/02-academic-notes-code/scripts", "research/journal-articles", "research/scripts",

@@ -60,7 +60,7 @@ def last_word(x):
 
 def last_name(x, legacy=False):
     head = f"split_part({x}, ',', -1)" if legacy else f"split_part(split_part({x}, ',', 1), ' and ', 1)"
-    return f"CASE WHEN {strip(x)} = '' THEN 'UnknownAuthor' ELSE {sanitize(last_word(head))} END"
+    return f"CASE WHEN {strip(x if legacy else head)} = '' THEN 'UnknownAuthor' ELSE {sanitize(last_word(head))} END"
 
 
 PAGES = """pages_ AS (SELECT doc_id, unnest(range(0, len(l)))::INT AS page_no, unnest(l) AS body
@@ -145,12 +145,13 @@ ORACLES = {
         WHEN contains(checks, '0') THEN 'fatal' ELSE 'skip' END AS decision FROM {inline.values(inline.SETUPS)}""",
     "sync_diff": """SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'only_left' WHEN d.doc_id IS NULL THEN 'only_right' ELSE 'both' END AS state
         FROM documents d FULL JOIN (SELECT DISTINCT doc_id + 500 AS doc_id FROM labels) l ON d.doc_id = l.doc_id""",
-    "ignored_paths": f"""SELECT path, suffix(path, '.log') OR {" OR ".join(f"starts_with(path, {q(p)})" for p in IGNORED_PREFIXES)}
+    "ignored_paths": f"""SELECT path, suffix(path, '.log') OR {" OR ".join(f"starts_with(path, {q(inline.BASE + '/' + p)})" for p in IGNORED_PREFIXES)}
         OR list_has_any(string_split(path, '/'), [{", ".join(map(q, IGNORED_NAMES))}]) AS ignored, regexp_replace(path, '/[^/]+$', '') AS parent FROM {inline.values(inline.PATHS)}""",
     "long_document_router": f"WITH {BOOKS} SELECT doc_id, n_pages, CASE WHEN n_pages <= 30 THEN 'direct' WHEN doc_id % 2 = 0 THEN 'chapter_file' ELSE 'page_blocks' END AS route FROM books",
     "first_n_pages": f"WITH {PAGES} SELECT doc_id, page_no::BIGINT AS page_no, body FROM pages_ WHERE page_no < 3",
     "toc_scan": f"WITH {PAGES} SELECT doc_id, page_no::BIGINT AS page_no FROM pages_ WHERE page_no < 30 AND regexp_matches(body, '(?i)the the|of the|und der')",
-    "text_layer": f"WITH {PAGES} SELECT doc_id, bool_or(length(trim(body)) > 0) AS searchable, (min(page_no) FILTER (length(trim(body)) > 0))::BIGINT AS first_text_page FROM pages_ GROUP BY doc_id",
+    "text_layer": f"""WITH {PAGES} SELECT doc_id, bool_or(length(trim(body)) > 0) AS searchable, (min(page_no) FILTER (length(trim(body)) > 0))::BIGINT AS first_text_page,
+        arg_min(substring(trim(body), 1, 200), page_no) FILTER (length(trim(body)) > 0) AS sample FROM pages_ GROUP BY doc_id""",
     "outline": f"SELECT page_id, unnest([0, 1])::BIGINT AS pos, unnest([1, 3])::BIGINT AS level, unnest([{H1}, 'Part ' || page_id]) AS title FROM pages",
     "chapters": f"""WITH {PAGES}, c AS (SELECT doc_id, sum(starts_with(body, 'T')::INT) OVER (PARTITION BY doc_id ORDER BY page_no) AS chapter_no FROM pages_)
         SELECT doc_id, chapter_no::BIGINT AS chapter_no, count(*) AS n_pages FROM c GROUP BY ALL""",
@@ -160,4 +161,22 @@ ORACLES = {
         regexp_extract(t, '([a-f0-9]{{6,8}})', 1) AS first_session, regexp_replace(t, '-[^-]*$', '') AS region, regexp_replace(t, '/+$', '') || '/f' AS destination
         FROM {inline.values(inline.TEXTS)}""",
     "manifest_metadata": f"SELECT id, CASE WHEN json_valid(meta) AND json_type(CASE WHEN json_valid(meta) THEN meta END) = 'OBJECT' THEN meta ELSE '{{}}' END AS meta FROM {inline.values(inline.METAS)}",
+    "image_rows": f"""WITH {PLAN}, n AS (SELECT *, unnest(range(1, start_page // 5 % 3 + 1)) AS i FROM plan)
+        SELECT doc_id, start_page, 'pg_' || (start_page + 1) || '_f' || i AS name, 11::INT AS n_bytes FROM n""",
+    "document_heads": "SELECT doc_id, substring(text, 1, 6000) AS head FROM documents",
+    "run_configs": f"""SELECT id, coalesce(TRY_CAST(CASE WHEN json_valid(config) THEN json_extract_string(CASE WHEN json_valid(config) THEN config END, '$.chunk_size') END AS INT), -1) AS chunk_size
+        FROM {inline.values(inline.CONFIGS)}""",
+    "doc_infos": f"""SELECT id, {strip("coalesce(title, '')")} AS title, {strip("coalesce(author, '')")} AS author,
+        coalesce(year(TRY_CAST(created AS DATE))::VARCHAR, '') AS year FROM {inline.values(inline.CREATED)}""",
+    "duration_texts": "SELECT doc_id, printf('%dm %ds', n_chars // 60, n_chars % 60) AS took FROM documents",
+    "book_metadata": "SELECT doc_id, to_json({'doc_id': doc_id, 'source': source, 'n_pages': len(string_split(text, chr(10)))})::VARCHAR AS meta FROM documents",
+    "scopes": f"SELECT id, contains(coalesce(scopes, ''), 'cloud-platform') AS allowed FROM {inline.values(inline.SCOPES)}",
+    "chapter_manifest": f"""WITH {PAGES}, c AS (SELECT *, sum(starts_with(body, 'T')::INT) OVER (PARTITION BY doc_id ORDER BY page_no) AS chapter_no FROM pages_)
+        SELECT doc_id, chapter_no::BIGINT AS chapter_no, min(page_no)::BIGINT AS first_page, max(page_no)::BIGINT AS last_page,
+        regexp_replace(arg_min(body, page_no), '^#+ ', '') AS title, string_agg(body, chr(10) ORDER BY page_no) AS text FROM c GROUP BY doc_id, chapter_no""",
+    "chapter_requests": f"""WITH h AS (SELECT page_id, unnest([1, 2])::BIGINT AS chapter_no, unnest([{H1}, 'Part ' || page_id]) AS title FROM pages),
+        r AS (SELECT *, lower(trim(wanted)) AS w FROM {inline.values(inline.REQUESTS)})
+        SELECT request, r.page_id, wanted, coalesce(chapter_no, -1)::BIGINT AS chapter_no, title FROM r LEFT JOIN h ON r.page_id = h.page_id AND (chapter_no::VARCHAR = w OR (w <> '' AND contains(lower(title), w)))""",
+    "extractors": f"""WITH {PAGES}, b AS (SELECT doc_id, page_no, CASE WHEN length(body) > 900 THEN substring(body, 2) ELSE body END AS body FROM pages_ WHERE body <> '')
+        SELECT a.doc_id, a.page_no::BIGINT AS page_no, a.body IS NOT DISTINCT FROM b.body AS same FROM pages_ a LEFT JOIN b USING (doc_id, page_no)""",
 }

@@ -3,10 +3,10 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.functions import bib, names
+from quirefold.functions import bib, config, names
 from quirefold.operators import assemble, checkpoint, chunking, convert, decisions, router
 from quirefold.plans import inline
-from quirefold.sources import numbered_folders, sinks, text_pages
+from quirefold.sources import numbered_folders, prefix, sinks, text_pages
 
 SIZE = 5
 #: Simulated failure: a longer page breaks its chunk, a much longer one itself too.
@@ -255,7 +255,7 @@ def sync_diff(spark, d):
 
 
 def ignored_paths(spark, d):
-    return inline.frame(spark, inline.PATHS).select("path", decisions.ignored(F.col("path")).alias("ignored"), decisions.parent(F.col("path")).alias("parent"))
+    return inline.frame(spark, inline.PATHS).select("path", decisions.ignored(F.col("path"), inline.BASE).alias("ignored"), decisions.parent(F.col("path")).alias("parent"))
 
 
 def long_document_router(spark, d):
@@ -312,12 +312,69 @@ def manifest_metadata(spark, d):
     return rows.select("id", checkpoint.tolerant_meta(F.col("meta")).alias("meta"))
 
 
+def image_rows(spark, d):
+    """Each chunk has as many images as its number modulo 3."""
+    numbers = F.when(F.col("start_page") / SIZE % 3 > 0, F.sequence(F.lit(1), (F.col("start_page") / SIZE % 3).cast("int"))).otherwise(F.array().cast("array<int>"))
+    pairs = F.transform(numbers, lambda i: F.struct(names.image_name(F.col("start_page") + 1, F.concat(F.lit("f"), i.cast("string"))), F.col("chunk_tag").cast("binary")))
+    rows = checkpoint.image_rows(_plan(spark, d).withColumn("images", F.map_from_entries(pairs)), "doc_id")
+    return rows.select("doc_id", "start_page", "name", F.length("image").alias("n_bytes"))
+
+
+def document_heads(spark, d):
+    return prefix(_table(spark, d, "documents"), "text").select("doc_id", "head")
+
+
+def run_configs(spark, d):
+    """-1: none that can be read."""
+    return inline.frame(spark, inline.CONFIGS).select("id", F.coalesce(checkpoint.recorded_size(F.col("config")), F.lit(-1)).alias("chunk_size"))
+
+
+def doc_infos(spark, d):
+    info = bib.doc_info(F.col("title"), F.col("author"), F.expr("try_cast(created AS date)"))
+    return inline.frame(spark, inline.CREATED).select("id", info["title"].alias("title"), info["author"].alias("author"), info["year"].alias("year"))
+
+
+def duration_texts(spark, d):
+    return _table(spark, d, "documents").select("doc_id", names.duration_text("n_chars").alias("took"))
+
+
+def book_metadata(spark, d):
+    rows = _table(spark, d, "documents")
+    return rows.select("doc_id", sinks.metadata_json(doc_id=F.col("doc_id"), source=F.col("source"), n_pages=F.size(F.split("text", "\n"))).alias("meta"))
+
+
+def scopes(spark, d):
+    return inline.frame(spark, inline.SCOPES).select("id", config.in_scope(F.col("scopes"), "cloud-platform").alias("allowed"))
+
+
+def chapter_manifest(spark, d):
+    """A page that starts with T opens a chapter."""
+    out = router.chapter_manifest(_pages(spark, d), "doc_id", "^T")
+    return out.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("chapter_no", "first_page", "last_page")], "title", "text")
+
+
+def chapter_requests(spark, d):
+    md = F.concat(F.lit("# "), _h1(), F.lit("\ntext\n### Part "), F.col("page_id").cast("string"))
+    heads = _table(spark, d, "pages").select(F.col("page_id").cast("int").alias("page_id"), F.posexplode(router.outline(md)).alias("pos", "h"))
+    chapters = heads.select("page_id", (F.col("pos") + 1).cast("long").alias("chapter_no"), F.col("h.title").alias("title"))
+    return router.find_chapters(inline.frame(spark, inline.REQUESTS), chapters, "page_id").na.fill(-1, ["chapter_no"])
+
+
+def extractors(spark, d):
+    """A second extractor that loses empty lines and one letter of long ones."""
+    a = _pages(spark, d)
+    body = F.when(F.length("body") > BREAKS_PAGE, F.expr("substring(body, 2)")).otherwise(F.col("body"))
+    b = a.where("body <> ''").withColumn("body", body)
+    return router.compare_extractors(a, b, "doc_id").select("doc_id", F.col("page_no").cast("long").alias("page_no"), "same")
+
+
 NAMES = [
     chunk_plan, chunk_size_pinning, pending_documents, pending_chunks, resume_equivalence, convert_tiers, fallback_text,
     drop_mode, assemble_documents, assemble_conversations, flatten_break_join, first_metadata, sanitize_titles, input_keys,
     heading_title, copyright_fields, descriptive_info, bib_cascade, output_names, overwrite_last_wins, batch_results,
     batch_summary, natural_order, link_numbers, link_rewrite, image_names, workspace_tree, repo_staleness, write_if_absent,
     setup_decision, sync_diff, ignored_paths, long_document_router, first_n_pages, toc_scan, text_layer, outline, chapters,
-    mounts, small_texts, manifest_metadata,
+    mounts, small_texts, manifest_metadata, image_rows, document_heads, run_configs, doc_infos, duration_texts, book_metadata,
+    scopes, chapter_manifest, chapter_requests, extractors,
 ]
 QUERIES = {f.__name__: f for f in NAMES}

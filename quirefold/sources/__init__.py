@@ -1,7 +1,9 @@
 """Scans: batch lists, whole files of any Hadoop file system, pages, archives."""
 
 import io
+import re
 import zipfile
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +12,19 @@ from pyspark.sql import functions as F
 from quirefold.functions.names import input_key
 
 
+#: What may stand before a path: a scheme and slashes in any number.
+SCHEME = "^[a-zA-Z][a-zA-Z0-9+.-]*:/*"
+
+
+def _bare(path: str) -> str:
+    return re.sub(SCHEME, "", path)
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 def batch_list(spark: SparkSession, inputs: list[str]) -> DataFrame:
     rows = list(enumerate(inputs, 1))
     return spark.createDataFrame(rows, "input_ord int, raw_input string").withColumn("input_key", input_key("raw_input"))
@@ -31,6 +46,50 @@ def text_pages(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return docs.select(F.col(key), lines)
 
 
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of some input paths that are files; a batch list is the user's own and short."""
+    conf, found = spark._jsc.hadoopConfiguration(), []
+    for p in dict.fromkeys(paths):
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        fs = at.getFileSystem(conf)
+        if fs.exists(at) and fs.getFileStatus(at).isFile():
+            found.append(p)
+    return found
+
+
+def named_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """raw_input, content of the paths that exist, by the names they were given."""
+    found = existing(spark, paths)
+    if not found:
+        return spark.createDataFrame([], "raw_input string, content binary")
+    given = spark.createDataFrame([(p, _bare(_qualified(spark, p))) for p in found], "raw_input string, _path string")
+    rows = spark.read.format("binaryFile").load(sorted({_qualified(spark, p) for p in found})).withColumn("_path", F.regexp_replace("path", SCHEME, ""))
+    return rows.join(F.broadcast(given), "_path").select("raw_input", "content")
+
+
+def split_pages(files: DataFrame, splitter: Callable[[bytes], list[str]]) -> DataFrame:
+    """raw_input, content → raw_input, page_no, body. ``splitter`` knows the format and is called once a
+    file; a file that it fails on has no pages and so no result, and the others go on."""
+    kinds = pa.schema([("raw_input", pa.string()), ("page_no", pa.int32()), ("body", pa.string())])
+
+    def run(batches):
+        for b in batches:
+            for name, content in zip(b["raw_input"].to_pylist(), b["content"].to_pylist(), strict=True):
+                try:
+                    pages = list(splitter(content or b""))
+                except Exception:  # noqa: BLE001  one unreadable file doesn't sink the batch
+                    continue
+                cols = [[name] * len(pages), list(range(len(pages))), pages]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, kinds, strict=True)], schema=kinds)
+
+    return files.select("raw_input", "content").mapInArrow(run, "raw_input string, page_no int, body string")
+
+
+def form_feeds(content: bytes) -> list[str]:
+    """A splitter for plain text: pages end at form feeds."""
+    return content.decode("utf-8", "replace").split("\f")
+
+
 def prefix(spark_df: DataFrame, text: str, n: int = 6000) -> DataFrame:
     return spark_df.withColumn("head", F.substring(F.col(text), 1, n))
 

@@ -1,5 +1,7 @@
-"""Overwrite-by-key sinks and batch reports."""
+"""Overwrite-by-key sinks, image files and batch reports."""
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,13 +18,35 @@ def write_by_folder(rows: DataFrame, path: str, folder: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(folder).parquet(path)
 
 
+def write_images(rows: DataFrame, root: str) -> DataFrame:
+    """rows (folder, name, image) as files ``root/folder/images/name``, in any store that pyarrow
+    knows → the paths written. A folder without images isn't made; a task that runs again
+    writes the same bytes, and a later image of one name wins. Lazy, as any DataFrame."""
+    kinds = pa.schema([("path", pa.string())])
+
+    def run(batches):
+        fs, base = FileSystem.from_uri(root)
+        for b in batches:
+            paths = []
+            for folder, name, image in zip(*(b[c].to_pylist() for c in ("folder", "name", "image")), strict=True):
+                place = f"{base.rstrip('/')}/{folder}/images/{name}"
+                fs.create_dir(place.rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(place) as out:
+                    out.write(image or b"")
+                paths.append(place)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], schema=kinds)
+
+    return rows.select("folder", "name", "image").mapInArrow(run, "path string")
+
+
 def metadata_json(**fields):
     """Non-ASCII characters stay as they are."""
     return F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]))
 
 
 def batch_results(batch: DataFrame, results: DataFrame, key: str) -> DataFrame:
-    """OK or FAILED per input; an input without result failed. ``position`` is k/N."""
+    """OK or FAILED per input; an input without result failed. ``position`` is k/N; N is one row,
+    counted on the map side and sent to all."""
     ok = results.select(key).distinct().withColumn("_ok", F.lit(True))
     n = batch.agg(F.count("*").alias("_n"))
     return (

@@ -20,8 +20,9 @@ def convert_stream(
     def batch(docs: DataFrame, _: int) -> None:
         pages = text_pages(docs, "key").withColumn("start_page", (F.col("page_no") - F.col("page_no") % size).cast("int"))
         todo = pending(pages, read_manifest(spark, manifest), ["key", "start_page"])
-        done = convert_chunks(todo, converter, size)
-        commit(done.withColumn("chunk_tag", chunk_tag(F.col("start_page"), F.col("start_page") + size)), manifest)
+        ends = todo.groupBy("key", "start_page").agg((F.max("page_no") + 1).alias("end_page"))
+        done = convert_chunks(todo, converter, size).join(ends, ["key", "start_page"])
+        commit(done.withColumn("chunk_tag", chunk_tag("start_page", "end_page")), manifest)
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", state).trigger(availableNow=True).start()

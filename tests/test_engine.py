@@ -7,8 +7,9 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from quirefold.functions import bib, names
+from quirefold.functions import bib, config, names
 from quirefold.operators import assemble, checkpoint, chunking, convert, router
+from quirefold.plans.batch import convert_batch
 from quirefold.sources import batch_list, files, numbered_folders, sinks, text_pages, zip_members
 
 SF = "/root/testdata/sf0.001"
@@ -45,7 +46,7 @@ def test_sanitize(spark, raw, want):
 
 
 @pytest.mark.parametrize(("raw", "want"), [
-    ("Ann Lee", "Lee"), ("Lee, Ann", "Lee"), ("Ann Lee and Bo Ray", "Lee"), ("", "UnknownAuthor"), (" ", "UnknownAuthor"), ("Plato", "Plato"),
+    ("Ann Lee", "Lee"), ("Lee, Ann", "Lee"), ("Ann Lee and Bo Ray", "Lee"), ("", "UnknownAuthor"), (" ", "UnknownAuthor"), ("Plato", "Plato"), (", Ann", "UnknownAuthor"), (" and Bo", "UnknownAuthor"),
 ])
 def test_last_name(spark, raw, want):
     assert one(spark, names.last_name(F.lit(raw))) == want
@@ -199,3 +200,83 @@ def test_stream_converts_each_chunk_once(spark, tmp_path):
         convert_stream(spark, src, "key string, text string", man, state, up, 2).awaitTermination()
     rows = checkpoint.read_manifest(spark, man).collect()
     assert sorted((r.key, r.text) for r in rows) == [("k0", "1|2"), ("k0", "3"), ("k1", "1|2"), ("k1", "3")]
+    assert {r.chunk_tag for r in rows} == {"00000_00002", "00002_00003"}  # those that plan_chunks gives
+
+
+def test_running_number_of_wide_rows(spark, tmp_path):
+    """More rows than one partition holds, written: each number once, in order."""
+    n = 400_000
+    rows = spark.range(n).select((F.col("id") * 7919 % n).alias("k"), F.repeat(F.md5(F.col("id").cast("string")), 8).alias("pad"))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        assemble.running_number(rows, ["k"], "n").write.parquet(str(tmp_path / "n"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    back = spark.read.parquet(str(tmp_path / "n"))
+    assert back.rdd.getNumPartitions() > 1
+    assert (back.count(), back.where("k = n").count()) == (n, n)
+
+
+def test_running_number_of_ties_and_none(spark):
+    rows = spark.createDataFrame([(1, None), (1, None), (None, "x"), (0, "y")], "k int, n0 string")
+    got = assemble.running_number(rows, ["k"], "n").orderBy("n").collect()
+    assert [(r.k, r.n) for r in got] == [(None, 0), (0, 1), (1, 2), (1, 3)]
+    assert assemble.running_number(rows.where("false"), ["k"], "n").count() == 0
+
+
+def test_batch_from_paths_to_report(spark, tmp_path):
+    (tmp_path / "a b.txt").write_text("# Title One\n\u00a9 1990 by Ann Lee\fbad\fp3")
+    (tmp_path / "c.txt").write_text("plain")
+    (tmp_path / "d.txt").write_text("broken")
+
+    def factory(tag):
+        def conv(pages):
+            if "bad" in pages:
+                raise RuntimeError
+            return tag.join(pages), '{"n":1}', {"i.png": b"1"} if len(pages) > 1 or "p3" in pages else {}
+
+        return conv
+
+    def splitter(content):
+        if content == b"broken":
+            raise ValueError
+        return content.decode().split("\f")
+
+    inputs = [str(tmp_path / x) for x in ("a b.txt", "gone.txt", "c.txt", "d.txt")] + [f"file://{tmp_path}/c.txt"]
+    out, man = str(tmp_path / "out"), str(tmp_path / "man")
+    for _ in range(2):  # the second run has nothing to convert
+        report = convert_batch(spark, inputs, out, man, convert.Setup(factory, {"tag": "|"}), splitter, 2).orderBy("input_ord").collect()
+        assert [r.status for r in report] == ["OK", "FAILED", "OK", "FAILED", "OK"]
+        assert spark.read.parquet(man).count() == 3
+    books = {r.folder: r.md for r in spark.read.parquet(f"{out}/books").collect()}
+    assert books == {"Lee_Title_One_1990": "# Title One\n\u00a9 1990 by Ann Lee\n\n\n\n<!-- PyPDF Fallback: Page 2 -->\n\nbad\n\np3", "c": "plain"}
+    assert sorted(str(p.relative_to(out)) for p in (tmp_path / "out").rglob("*.png")) == ["Lee_Title_One_1990/images/pg_3_i.png"]
+
+
+def test_converter_is_set_up_once_a_worker(spark):
+    def factory():
+        made = []
+
+        def conv(pages):
+            made.append(1)
+            return str(len(made)), None, {}
+
+        return conv
+
+    pages = spark.createDataFrame([("a", i, "x") for i in range(40)], "key string, page_no int, body string").coalesce(1)
+    rows = convert.convert_chunks(pages, convert.Setup(factory), 1).collect()
+    assert max(int(r.text) for r in rows) > 1
+
+
+def test_settings():
+    env = config.read_env("# c\nA=1\nB=${A}/${HOME_}x${NO}\nbad\nA=2\n", {"HOME_": "h"})
+    assert env == {"A": "2", "B": "1/hx"}
+    assert config.first_set(None, " ", "p", "q") == "p"
+    assert config.first_set(None, "") is None
+    assert config.options({"a": 1, "b": 2}, {"b": 3}, {"b": 4}) == {"a": 1, "b": 4}
+    with pytest.raises(ValueError, match="c"):
+        config.options({"a": 1}, {"c": 1})
+    config.require(gpu=True)
+    with pytest.raises(RuntimeError, match="gpu"):
+        config.require(gpu=False, disk=True)
