@@ -1,15 +1,18 @@
-"""What several operators share: scratch folders, Arrow helpers, word hashing."""
+"""What several operators share: Arrow helpers, word hashing."""
 
 import contextlib
 import ctypes
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirefold.sources.scratch import discard as discard
+from quirefold.sources.scratch import scratch as scratch
+from quirefold.sources.scratch import stored as stored
+
 U64 = np.uint64
 #: Bytes of text that one numpy pass handles; a longer document makes a pass of its own.
 PASS_BYTES = 1 << 17
@@ -17,36 +20,6 @@ BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared checkpoint folder. Where none is set, a local session gets one
-    of its own; on a cluster, whose executors share no local folder, that is an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="quirefold-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/quirefold/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends there and lost executors lose nothing."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Removes tables that ``stored`` made, once all that was derived from them is stored too."""
-    for df in tables:
-        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def set_apart(docs: DataFrame, own: tuple[str, ...] = ("doc_id", "text", "lang", "n_chars")) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """docs whose columns but ``own`` have names that clash with no operator's, and a
     function that gives the first names back to all columns of docs and drops all others."""
