@@ -28,6 +28,18 @@ def set_apart(docs: DataFrame, own: tuple[str, ...] = ("doc_id", "text", "lang",
     return docs.toDF(*apart), lambda df: df.select(*[F.col(a).alias(c) for a, c in zip(apart, first, strict=True)])
 
 
+def without(docs: DataFrame, *names: str) -> list[str]:
+    """Columns of docs but those of these names, which Spark reads in any case."""
+    return [c for c in docs.columns if c.lower() not in names]
+
+
+def free(docs: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it one that docs doesn't have."""
+    while name.lower() in [c.lower() for c in docs.columns]:
+        name = f"_{name}"
+    return name
+
+
 def crc_remainder(doc_id: str | Column, m: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id) % m
 
@@ -48,6 +60,8 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: Bytes of an Arrow batch where the session sets no bound itself; a longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
 #: Rows of an Arrow batch that a task turns into Python objects at a time.
 SLICE_ROWS = 1000
 
@@ -67,6 +81,18 @@ def tidy(run):
     return tidied
 
 
+def arrow(run, schema):
+    """For ``df.transform``: mapInArrow by ``run``, which sees bounded batches."""
+
+    def mapped(df: DataFrame) -> DataFrame:
+        bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+        if df.sparkSession.conf.get(bound, None) is None:
+            df.sparkSession.conf.set(bound, BATCH_BYTES)
+        return df.mapInArrow(tidy(run), schema)
+
+    return mapped
+
+
 def binaries(col) -> list[bytes]:
     """Null reads as empty."""
     return [x or b"" for x in col.to_pylist()]
@@ -153,6 +179,21 @@ BLANK_WORDS = table(SPACES)
 ITEM_WORDS = table(bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes from start to end of each span."""
+    n = len(data)
+    value = BYTE_VALUE[data]
+    value *= powers(BASE, n)
+    total = np.empty(n + 1, U64)
+    total[0] = 0
+    np.cumsum(value, out=total[1:])
+    h = total[end]
+    h -= total[start]
+    h *= powers(INVERSE, n)[start]
+    h += (end - start).astype(U64)
+    return mix(h)
+
+
 class Words:
     """The words of some texts: start and end bytes, 64-bit hashes, first word of each text."""
 
@@ -167,17 +208,7 @@ class Words:
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         self.text_start = np.concatenate([[1], 1 + np.cumsum(sizes + 1)])
         self.first = np.searchsorted(self.start, self.text_start)
-        n = len(joined)
-        value = BYTE_VALUE[low]
-        value *= powers(BASE, n)
-        total = np.empty(n + 1, U64)
-        total[0] = 0
-        np.cumsum(value, out=total[1:])
-        h = total[self.end]
-        h -= total[self.start]
-        h *= powers(INVERSE, n)[self.start]
-        h += (self.end - self.start).astype(U64)
-        self.hash = mix(h)
+        self.hash = span_hashes(low, self.start, self.end)
         self.bytes = low
 
     def __len__(self):

@@ -25,7 +25,12 @@ ORDER2_BITS = 18
 CONF_BITS = 4
 CONF = 1 << CONF_BITS
 GAIN = 32
+#: A count table of a larger sum is halved, so sums stay below 2**31 in a block of any length.
+FULL = 1 << 30
 ONE = 4096
+#: By confidence, wrong then right: does the candidate stay, and its confidence after that.
+STAYS = np.array([k > 1 for k in range(CONF)] + [k > 0 for k in range(CONF)])
+THEN = np.array([max(k >> 1, 1) for k in range(CONF)] + [min(k + 1, CONF - 1) for k in range(CONF)], np.int32)
 U64 = np.uint64
 LOW_BITS = U64(48)
 LEAST = U64(1) << LOW_BITS
@@ -51,8 +56,11 @@ class Model:
         if self.pending:
             self.count += (GAIN * np.bincount(np.concatenate(self.pending), minlength=self.v)).astype(np.int32)
             self.pending = []
-        self.cum = np.zeros(self.v + 1, np.int32)  # a block's total stays below 2**31
+        self.cum = np.zeros(self.v + 1, np.int32)
         np.cumsum(self.count, out=self.cum[1:])
+        if self.cum[-1] > FULL:
+            self.count = (self.count + 1) >> 1
+            np.cumsum(self.count, out=self.cum[1:])
         self.total = int(self.cum[-1])
 
     def predict(self, n: int) -> None:
@@ -62,9 +70,9 @@ class Model:
         hashed >>= 10
         hashed &= (1 << ORDER2_BITS) - 1
         self.at = [one, hashed]
-        packed = [np.take(t, i) for t, i in zip(self.last, self.at, strict=True)]
-        self.c = [p >> CONF_BITS for p in packed]
-        self.k = [p & (CONF - 1) for p in packed]
+        self.packed = [np.take(t, i) for t, i in zip(self.last, self.at, strict=True)]
+        self.c = [p >> CONF_BITS for p in self.packed]
+        self.k = [p & (CONF - 1) for p in self.packed]
         trust = [ONE * s[CONF:] // (s[:CONF] + s[CONF:]) for s in self.seen]
         for t in trust:
             t[0] = 0
@@ -113,18 +121,17 @@ class Model:
         plain = np.flatnonzero(~(in_a | in_b))
         # below 2**53 and far enough from whole numbers: the division rounds to the right side
         u = (v[plain] / self.w0[plain]).astype(np.int32)
-        x[plain] = np.searchsorted(self.cum, u, "right") - 1
+        order = np.argsort(u)  # ascending searches stay in cache
+        x[plain[order]] = np.searchsorted(self.cum, u[order], "right") - 1
         return x
 
     def update(self, x: np.ndarray, step: int) -> None:
         n = len(x)
-        for c, k, at, last, seen in zip(self.c, self.k, self.at, self.last, self.seen, strict=True):
-            hit = (c == x) & (k > 0)
-            seen += np.bincount(k + CONF * hit, minlength=2 * CONF)
-            half = k >> 1
-            stays = hit | (half > 0)
-            conf = np.where(hit, np.minimum(k + 1, CONF - 1), np.maximum(half, 1))
-            last[at] = (np.where(stays, c, x) << CONF_BITS) | conf
+        fresh = x << CONF_BITS
+        for c, k, p, at, last, seen in zip(self.c, self.k, self.packed, self.at, self.last, self.seen, strict=True):
+            case = k + ((c == x).view(np.int8) << CONF_BITS)
+            seen += np.bincount(case, minlength=2 * CONF)
+            last[at] = np.where(np.take(STAYS, case), p & ~(CONF - 1), fresh) | np.take(THEN, case)
         self.pending.append(x)
         if step < 16 or step % 4 == 3:
             self.rebuild()
@@ -141,6 +148,18 @@ def active(n: int, steps: int, t: int) -> int:
     return max(0, -(-(n - t) // steps))
 
 
+def ready(low: np.ndarray, rng: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lanes whose upper 16 bits are settled, or whose range is too small; their low and range. A
+    range that is small because it lies over a carry is cut there."""
+    open_ = (low ^ (low + rng)) >= LEAST
+    todo = np.flatnonzero(~open_ | (rng < LEAST))
+    a, b = low[todo], rng[todo]
+    over = open_[todo]
+    if over.any():
+        b[over] = (~a[over] + U64(1)) & MASK
+    return todo, a, b
+
+
 def encode(ids: np.ndarray, vocabulary: int) -> tuple[int, int, np.ndarray, np.ndarray]:
     """lanes, steps, words per lane, words of all lanes in order."""
     n = len(ids)
@@ -160,18 +179,16 @@ def encode(ids: np.ndarray, vocabulary: int) -> tuple[int, int, np.ndarray, np.n
         start, width = m.interval(x)
         r = rng[:k] // U64(m.scale)
         lo, ra = low[:k] + r * start.astype(U64), r * width.astype(U64)
-        todo = np.flatnonzero((ra < LEAST) | ((lo ^ (lo + ra)) >> LOW_BITS == 0))
+        todo, a, b = ready(lo, ra)
         while len(todo):
-            a, b = lo[todo], ra[todo]
-            cut = (a ^ (a + b)) >> LOW_BITS != 0  # the range lies over a carry: shorten it
-            b = np.where(cut, (~a + U64(1)) & MASK, b)
             if int(used[todo].max()) >= out.shape[1]:
                 out = np.concatenate([out, np.zeros_like(out)], axis=1)
             out[todo, used[todo]] = (a >> LOW_BITS).astype(np.uint16)
             used[todo] += 1
             a, b = a << U64(16), b << U64(16)
             lo[todo], ra[todo] = a, b
-            todo = todo[(b < LEAST) | ((a ^ (a + b)) >> LOW_BITS == 0)]
+            more, a, b = ready(a, b)
+            todo = todo[more]
         low[:k], rng[:k] = lo, ra
         m.update(x, t)
     if out.shape[1] < int(used.max(initial=0)) + 4:
@@ -203,16 +220,14 @@ def decode(n: int, vocabulary: int, lanes: int, steps: int, used: np.ndarray, wo
         x = m.find(v)
         start, width = m.interval(x)
         lo, ra, co = low[:k] + r * start.astype(U64), r * width.astype(U64), code[:k]
-        todo = np.flatnonzero((ra < LEAST) | ((lo ^ (lo + ra)) >> LOW_BITS == 0))
+        todo, a, b = ready(lo, ra)
         while len(todo):
-            a, b = lo[todo], ra[todo]
-            cut = (a ^ (a + b)) >> LOW_BITS != 0
-            b = np.where(cut, (~a + U64(1)) & MASK, b)
             co[todo] = (co[todo] << U64(16)) | words[np.minimum(at[todo], len(words) - 1)]
             at[todo] += 1
             a, b = a << U64(16), b << U64(16)
             lo[todo], ra[todo] = a, b
-            todo = todo[(b < LEAST) | ((a ^ (a + b)) >> LOW_BITS == 0)]
+            more, a, b = ready(a, b)
+            todo = todo[more]
         low[:k], rng[:k], code[:k] = lo, ra, co
         grid[t, :k] = x
         m.update(x, t)

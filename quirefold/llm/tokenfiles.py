@@ -11,9 +11,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import batch, binaries, raw_text, runs, tidy
+from quirefold.llm.common import arrow, batch, binaries, raw_text, runs
 from quirefold.llm.rangecoder import BLOCK_TOKENS, crc, read_block, write_block
-from quirefold.llm.tokens import Encoder
+from quirefold.llm.tokens import encoder
 
 FILE = "part int, block int, n_docs long, n_tokens long, before long, payload binary"
 
@@ -30,7 +30,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_tokens:
     kinds = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("before", pa.int64()), ("payload", pa.binary())])
 
     def run(batches):
-        enc, part = Encoder(tokenizer), TaskContext.get().partitionId()
+        enc, part = encoder(tokenizer), TaskContext.get().partitionId()
         vocabulary = max(enc.vocabulary, end_id + 1)
         end = np.array([end_id], enc.kind)
         ids, names, number, before = [], [], 0, 0
@@ -56,7 +56,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_tokens:
         if names:
             yield close()[0]
 
-    ordered.select("doc_id", "raw").mapInArrow(tidy(run), FILE).write.parquet(path)
+    ordered.select("doc_id", "raw").transform(arrow(run, FILE)).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
@@ -84,5 +84,5 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
         base.append((r.part, sofar))
         sofar += r.n
     bases = spark.createDataFrame(base, "part int, base long")
-    found = files.select("part", "before", "payload").mapInArrow(tidy(run), f"part int, doc_id long, at long, n_tokens long, ids_crc32 long{", ids binary" if with_ids else ""}")
+    found = files.select("part", "before", "payload").transform(arrow(run, f"part int, doc_id long, at long, n_tokens long, ids_crc32 long{", ids binary" if with_ids else ""}"))
     return found.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
