@@ -49,6 +49,11 @@ def held_out(m: int) -> Column:
     return F.coalesce(crc_remainder("doc_id", m) == 2, F.lit(False))
 
 
+def least_hashes(h: Column, n: int, of: int) -> Column:
+    """True for about the n least of so many evenly spread 64-bit hashes."""
+    return F.lit(True) if n >= of else h < F.lit(-(1 << 63) + n * (1 << 64) // of)
+
+
 def raw_text(name: str = "text") -> Column:
     return F.col(name).cast("binary")
 
