@@ -52,16 +52,27 @@ def fallback_text(page_no: Column, raw: Column) -> Column:
     return F.concat(head, F.coalesce(raw, F.lit("")))
 
 
-def tier_pages(pages: DataFrame, key: str, size: int, breaks_chunk: Column, breaks_page: Column) -> DataFrame:
-    """Adds ``start_page`` and ``tier`` to pages: chunk, page or raw.
-
-    Whether a chunk fails is a group aggregate joined back by key and range; it is
-    map-side combined, so a book of any length needs no task of its own.
-    """
+def gathered(pages: DataFrame, key: str, size: int, breaks_chunk: Column, breaks_page: Column) -> DataFrame:
+    """One row a chunk: key, start_page, hit_exception and its ``pages`` in order, each with ``tier``:
+    chunk, page or raw. One scan and one shuffle; a group is one chunk, ``size`` pages at most.
+    A flag that is null breaks nothing."""
+    false = F.lit(False)
+    rest = [c for c in pages.columns if c not in (key, "page_no", "start_page")]
+    page = F.struct("page_no", *rest, F.coalesce(breaks_chunk, false).alias("_chunk"), F.coalesce(breaks_page, false).alias("_page"))
     at = pages.withColumn("start_page", (F.col("page_no") - F.col("page_no") % size).cast("int"))
-    failed = at.groupBy(key, "start_page").agg(F.bool_or(breaks_chunk).alias("hit_exception"))
-    tier = F.when(~F.col("hit_exception"), "chunk").when(~breaks_page, "page").otherwise("raw")
-    return at.join(failed, [key, "start_page"]).withColumn("tier", tier)
+    own = at.groupBy(key, "start_page").agg(F.sort_array(F.collect_list(page)).alias("pages"))
+    own = own.withColumn("hit_exception", F.exists("pages", lambda p: p["_chunk"]))
+
+    def tiered(p: Column) -> Column:
+        tier = F.when(~F.col("hit_exception"), "chunk").when(~p["_page"], "page").otherwise("raw")
+        return F.struct(*[p[c].alias(c) for c in ("page_no", *rest)], tier.alias("tier"))
+
+    return own.withColumn("pages", F.transform("pages", tiered))
+
+
+def tier_pages(pages: DataFrame, key: str, size: int, breaks_chunk: Column, breaks_page: Column) -> DataFrame:
+    """Adds ``start_page``, ``hit_exception`` and ``tier`` to pages: chunk, page or raw."""
+    return gathered(pages, key, size, breaks_chunk, breaks_page).select(key, "start_page", "hit_exception", F.inline("pages"))
 
 
 def convert_native(
@@ -71,23 +82,16 @@ def convert_native(
     by a blank line in a failed one. Memory is bounded by the pages of one chunk."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    tiers = tier_pages(pages, key, size, breaks_chunk, breaks_page)
+    chunks = gathered(pages.select(key, "page_no", "body"), key, size, breaks_chunk, breaks_page)
+    hit = F.col("hit_exception")
     if mode == "fail_fast":
         stop = F.raise_error(F.concat(F.lit("chunk failed at page "), F.col("start_page").cast("string")))
-        tiers = tiers.withColumn("tier", F.when(F.col("hit_exception"), stop).otherwise(F.col("tier")))
+        chunks = chunks.withColumn("hit_exception", F.when(hit, stop.cast("boolean")).otherwise(hit))
     if mode == "drop_chunk":
-        tiers = tiers.where(~F.col("hit_exception"))
-    body = F.when(F.col("tier") == "raw", fallback_text(F.col("page_no"), F.col("body"))).otherwise(
-        F.coalesce("body", F.lit(""))
-    )
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("page_no", body.alias("t")))), lambda x: x["t"])
-    return tiers.groupBy(key, "start_page", "hit_exception").agg(
-        F.count("*").cast("int").alias("n_pages"), parts.alias("parts")
-    ).select(
-        key, "start_page", "n_pages", "hit_exception",
-        F.when(F.col("hit_exception"), F.concat_ws("\n\n", "parts"))
-        .otherwise(F.concat_ws("\n", "parts")).alias("text"),
-    )
+        chunks = chunks.where(~hit)
+    parts = F.transform("pages", lambda p: F.when(p["tier"] == "raw", fallback_text(p["page_no"], p["body"])).otherwise(F.coalesce(p["body"], F.lit(""))))
+    text = F.when(hit, F.concat_ws("\n\n", parts)).otherwise(F.concat_ws("\n", parts))
+    return chunks.select(key, "start_page", F.size("pages").alias("n_pages"), "hit_exception", text.alias("text"))
 
 
 @contextmanager
