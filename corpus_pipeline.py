@@ -17,7 +17,11 @@ END_ID = 1
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known: not ``und``, and near enough to its profile."""
+    """Documents whose language is known: not ``und``, and near enough to its profile.
+
+    Null texts and texts without a letter are ``und`` and go, whatever their length; rows that stand
+    twice are judged alike; where nothing can be learned, all go. An empty table stays empty.
+    """
     docs, named = set_apart(docs)
     profiles = langid.train(docs.where(~held_out(4)).select("text", "lang"))
     judged = langid.predict(docs, profiles)
@@ -25,7 +29,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class, that of least id."""
+    """One document of each class, that of least id.
+
+    Texts without words are one class. Of rows with one id and text one stays, that of least other
+    columns; rows without id stay only where their class has no id. An empty table stays empty.
+    """
     docs, named = set_apart(docs)
     return named(neardup.keep_one(docs))
 
@@ -34,7 +42,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """All documents, without byte strings that stand earlier; n_chars follows the text.
 
     A character that a cut splits goes whole. A document that is nothing but repeats stays,
-    with an empty text.
+    with an empty text; null texts stay null. Of equal passages the first by id stays, a null id before
+    all others, and of rows with one id the first in the table. An empty table stays empty.
     """
     docs, named = set_apart(docs)
     cut = suffixes.dedup(docs, tuple(c for c in docs.columns if c != "text"), with_text=True)
@@ -43,14 +52,22 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated."""
+    """Documents that aren't contaminated.
+
+    Null and empty texts have no words and stay; rows that stand twice are judged alike. Without
+    benchmark items all stay.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     docs, named = set_apart(docs)
     return named(decontam.annotate(docs, items).where(~F.col("contaminated")))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of 2048-token sequences."""
+    """Pieces of 2048-token sequences.
+
+    Null and empty texts are one piece, their end id; a long text fills sequences of its own; rows that
+    stand twice are packed twice. An empty table gives no pieces. Columns but id and text end here.
+    """
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID)
