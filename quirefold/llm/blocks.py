@@ -4,7 +4,8 @@ A block is some megabytes of whole documents, compressed in one row of a table i
 the shared folder. Each block sends its distinct 64-bit keys, sorted, in slices of the
 key space; the task of a slice adds the counts of all blocks and answers each with
 the totals in the block's own key order, which need no keys. So a key that is in every
-document meets once a block, and no vocabulary is collected or broadcast.
+document meets once a block, and no vocabulary is collected or broadcast. A block sends a row a
+slice that it has keys of, so rows grow with blocks times slices up to a row a key, and not beyond.
 """
 
 from collections.abc import Callable, Iterator
@@ -15,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import batch, release, stored, tidy
+from quirefold.llm.common import arrow, batch, release, stored
 
 BLOCK_BYTES = 8 << 20
 U64 = np.uint64
@@ -65,7 +66,7 @@ def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         if parts:
             yield close()
 
-    return stored(docs.mapInArrow(tidy(run), "block long, n_rows long, payload binary"), "blocks")
+    return stored(docs.transform(arrow(run, "block long, n_rows long, payload binary")), "blocks")
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -114,10 +115,11 @@ def corpus_counts(blocks: DataFrame, keys_of: KeyMaker, slices: int) -> DataFram
         for b in batches:
             for block, payload in zip(b["block"].to_pylist(), b["payload"].to_pylist(), strict=True):
                 keys, counts = keys_of(unpack(payload))
-                cut = np.searchsorted(keys, np.arange(1, slices, dtype=U64) << U64(64 - bits)) if bits else []
-                edge = [0, *map(int, cut), len(keys)]
-                rows = [(s, block, pack_keys(keys[a:z]), pack_counts(counts[a:z])) for s, (a, z) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if z > a]
-                if rows:
+                if len(keys):
+                    own = keys >> U64(64 - bits) if bits else np.zeros(len(keys), U64)
+                    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))  # slices without a key cost nothing
+                    edge = [*first.tolist(), len(keys)]
+                    rows = [(s, block, pack_keys(keys[a:z]), pack_counts(counts[a:z])) for s, a, z in zip(own[first].tolist(), edge[:-1], edge[1:], strict=True)]
                     yield batch(kinds, list(zip(*rows, strict=True)))
                 del rows, keys, counts
                 release()
@@ -152,7 +154,7 @@ def corpus_counts(blocks: DataFrame, keys_of: KeyMaker, slices: int) -> DataFram
             schema=out,
         )
 
-    sent = blocks.select("block", "payload").mapInArrow(tidy(send), "slice int, block long, keys binary, counts binary")
+    sent = blocks.select("block", "payload").transform(arrow(send, "slice int, block long, keys binary, counts binary"))
     answered = sent.groupBy("slice").applyInArrow(add, "block long, slice int, totals binary, distinct long, total long, even long, even_total long")
     return stored(answered, "counts")
 

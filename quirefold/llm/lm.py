@@ -1,11 +1,11 @@
 """Language-model scores from a weighted backoff automaton.
 
-A state is the word before; its arcs are the bigrams seen in training, and a failure
-arc leads to the root, whose arcs are the single words. Weights are log10 of
-Dirichlet-smoothed probabilities: P(v) = (c(v) + 1) / (N + V + 1) and
+Smoothed bigrams are the automaton: a state for each known word, an arc for each bigram seen in
+training, and a failure arc from each state to the root, whose arcs are the single words.
+Weights are log10 of Dirichlet-smoothed probabilities: P(v) = (c(v) + 1) / (N + V + 1) and
 P(v | u) = (c(uv) + K * P(v)) / (c(u) + K), so the failure arc of u weighs
 K / (c(u) + K) and both sum to 1 over the known words and one unknown. A text is
-one walk from the start state to the end token.
+one walk from the start state to the end token, which carries the state and adds up weights.
 
 Counts are those of all training documents, whatever their number: blocks.py adds
 them up, and each block builds the part of the automaton that its texts can reach.
@@ -19,6 +19,8 @@ from quirefold.llm.blocks import corpus_counts, in_blocks, reply, slices_for, st
 from quirefold.llm.common import BLANK_WORDS, Words, binaries, distinct, distinct_counts, mix, places, raw_text, runs
 
 K = 50.0
+#: Tokens that a lane of the walk reads.
+LANE = 64
 U64 = np.uint64
 #: The end token's key; the start state is the state after an end.
 END = U64(0x5DEECE66D1234566)
@@ -60,28 +62,60 @@ def keys_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Automaton:
-    """The states and arcs that a block's texts can reach."""
+    """The states and arcs that a block's texts can reach.
 
-    def __init__(self, keys: np.ndarray, totals: np.ndarray, n_train: int, n_types: int, k: float = K):
-        self.keys, self.totals, self.k = keys, totals, k
-        self.floor = n_train + n_types + 1
-
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        return self.totals[places(self.keys, keys)]
-
-    def walk(self, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per token: its count, the root arc's weight, the weight of the arcs taken.
+    State 0 is the root; the others are the words after which training texts went on (and the end token,
+    after which a text starts), ascending by key. An arc leads from a state over a word to
+    that word's state, or to the root if training knows nothing after it. The root has an arc for
+    every word, and one for the unknown. From each other state a failure arc leads to the root.
+    """
 
-        The state after a token is that word's, so one pass knows all states; a token
-        without an arc there takes the failure arc and then the root's.
+    def __init__(self, seq: np.ndarray, keys: np.ndarray, totals: np.ndarray, n_train: int, n_types: int, k: float = K):
+        count = lambda x: totals[places(keys, x)]
+        self.words = distinct(np.append(seq, END))
+        self.seen = count(self.words) if len(keys) else np.zeros(len(self.words), np.int64)
+        root = (self.seen + 1.0) / (n_train + n_types + 1)
+        self.root = np.log10(root)
+        known = self.seen > 0
+        self.state_of = np.where(known, np.cumsum(known), 0).astype(np.int32)  # by word; 0 is the root
+        self.start = int(self.state_of[np.searchsorted(self.words, END)])
+        n = self.seen[known]
+        self.fail = np.concatenate([[0.0], np.log10(k / (n + k))])
+        # arcs: the bigrams of the block's texts that training has, by state and word
+        label = places(self.words, seq).astype(np.int64)
+        before = np.concatenate([[np.searchsorted(self.words, END)], label[:-1]]) if len(seq) else label
+        pair, at = np.unique(before << 32 | label, return_index=True)
+        arc = count(bigrams(seq)[at]) if len(seq) else np.empty(0, np.int64)
+        has = arc > 0
+        u, v = pair[has] >> 32, pair[has] & 0xFFFFFFFF
+        self.arcs = self.state_of[u].astype(np.int64) << 32 | v
+        self.weight = np.log10((arc[has] + k * root[v]) / (self.seen[u] + k))
+        self.label = label
+
+    def step(self, state: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states and the weights of the arcs taken, failure arcs included."""
+        want = state.astype(np.int64) << 32 | label
+        at = np.minimum(places(self.arcs, want), len(self.arcs) - 1) if len(self.arcs) else np.zeros(len(want), np.int64)
+        found = self.arcs[at] == want if len(self.arcs) else np.zeros(len(want), bool)
+        weight = self.fail[state] + self.root[label]
+        weight[found] = self.weight[at[found]]
+        return self.state_of[label], weight
+
+    def walk(self) -> np.ndarray:
+        """The weight of each token, texts read from left to right with the state carried on.
+
+        The tokens are read in lanes of LANE at a time. A lane that starts inside a text has the state
+        to which the token before it leads, as every state has one word; after an end that
+        is the start state.
         """
-        c = self.count(seq)
-        root = (c + 1.0) / self.floor
-        state = np.concatenate([[self.count(np.array([END], U64))[0]], c[:-1]]) if len(seq) else c
-        arc = self.count(bigrams(seq))
-        fail = self.k / (state + self.k)
-        weight = np.where(arc > 0, np.log10((arc + self.k * root) / (state + self.k)), np.log10(fail) + np.log10(root))
-        return c, np.log10(root), weight
+        n, out = len(self.label), np.empty(len(self.label))
+        at = np.arange(0, n, LANE)
+        state = np.concatenate([[self.start], self.state_of[self.label[at[1:] - 1]]]).astype(np.int32) if n else at
+        for t in range(min(LANE, n)):
+            live = at + t < n
+            at, state = at[live], state[live]
+            state, out[at + t] = self.step(state, self.label[at + t])
+        return out
 
 
 def score(docs: DataFrame, k: float = K) -> DataFrame:
@@ -98,7 +132,8 @@ def score(docs: DataFrame, k: float = K) -> DataFrame:
     def use(_, table, answers):
         seq, sizes = tokens(binaries(table["raw"]))
         keys = distinct(np.concatenate([seq, bigrams(seq)]))
-        c, root, weight = Automaton(keys, reply(answers), n_train, n_types, k).walk(seq)
+        machine = Automaton(seq, keys, reply(answers), n_train, n_types, k)
+        c, root, weight = machine.seen[machine.label], machine.root[machine.label], machine.walk()
         at = np.cumsum(sizes) - sizes
         add = lambda x: np.add.reduceat(x, at) if len(at) else np.empty(0)
         cols = [

@@ -22,14 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from quirefold.llm.blocks import corpus_counts, in_blocks, reply, slices_for, with_replies
-from quirefold.llm.common import BASE, batch, binaries, BYTE_VALUE, distinct, distinct_counts, INVERSE, mix, places, powers, raw_text, runs, stored, tidy
+from quirefold.llm.common import arrow, BASE, batch, binaries, BYTE_VALUE, distinct, distinct_counts, INVERSE, mix, places, powers, raw_text, runs, stored
 
 SPAN = 100
 ANCHOR = 40
 U64 = np.uint64
 OTHER = 0xD1342543DE82EF95
-#: Bits of the hash that order anchors; the others hold the place, up to 1 GB in one pass.
-PLACE_BITS = U64(30)
+#: Bits that hold the place of an anchor, for the 2 GB that a value can have; those of the hash above order anchors.
+PLACE_BITS = U64(31)
 #: Bytes of segments that a bucket sorts at a time, whole leading tokens at least.
 SORT_BYTES = 1 << 20
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -247,7 +247,7 @@ def sort_buckets(rows: DataFrame) -> DataFrame:
             yield from solve(True)
 
     order = ("lead", "doc_id", "block", "text", "start")
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(tidy(run), RUNS)
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).transform(arrow(run, RUNS))
 
 
 def across_boundaries(found: DataFrame) -> DataFrame:
