@@ -15,14 +15,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
-from quirefold.llm.common import binaries, grams, ITEM_WORDS, raw_text, runs, tidy, Words
+from quirefold.llm.common import arrow, batch, binaries, distinct, free, grams, ITEM_WORDS, raw_text, runs, stored, without, Words
 
 SPAN = 13
 K = 5
 W = SPAN - K + 1
-#: Bytes of item texts that one broadcast index may hold; more items make more blocks.
-BLOCK_BYTES = 16 << 20
+#: Bytes of item texts that the broadcast index may hold.
+BROADCAST_BYTES = 16 << 20
+#: Bits, as a power of two, of the table that keeps documents' fingerprints from the join.
+FILTER_BITS = 24
+U64 = np.uint64
+NAMES = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def winnow(g: np.ndarray) -> np.ndarray:
@@ -157,79 +162,124 @@ def covered(ranges) -> int:
 
 
 FOUND = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-SPANS = "n_words long, spans array<struct<a: long, b: long>>, items array<string>"
+KINDS = [pa.int64()] * 3 + [pa.string(), pa.bool_()]
 
 
-def _scan(docs: DataFrame, keep: list[str], index: Index, whole: bool) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-    extra = FOUND if whole else SPANS
-    schema = docs.select(keep).schema
-    from pyspark.sql.types import StructType, _parse_datatype_string
+def verdict(n_words: int, spans, items: list[str]) -> tuple:
+    """Values of FOUND for a document's hit ranges and the distinct ids of its items, sorted."""
+    n_hit = covered(spans)
+    digest = hashlib.sha256(",".join(items).encode()).hexdigest()
+    return n_words, n_hit, len(items), digest, n_hit > 0 and 20 * n_hit >= n_words
 
-    schema = StructType(schema.fields + _parse_datatype_string(extra).fields)
+
+def _scan(docs: DataFrame, index: Index) -> DataFrame:
+    """One pass over the documents with a broadcast index."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+    keep, raw = without(docs, *NAMES), free(docs, "_raw")
+    schema = StructType(docs.select(keep).schema.fields + _parse_datatype_string(FOUND).fields)
 
     def run(batches):
         for b in batches:
-            texts, out = binaries(b["_raw"]), []
+            texts, out = binaries(b[raw]), []
             for lo, hi in runs(texts):
                 for n, spans, items in hits(texts[lo:hi], shared.value):
-                    names = sorted({str(shared.value.ids[i]) for i in items})
-                    out.append(verdict(n, covered(spans), names) if whole else (n, [{"a": int(x), "b": int(y)} for x, y in spans], names))
-            cols = list(zip(*out, strict=True)) if out else [[] for _ in extra.split(", ")]
-            if whole:
-                kinds = [pa.int64()] * 3 + [pa.string(), pa.bool_()]
-            else:
-                kinds = [pa.int64(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.list_(pa.string())]
-                cols = cols[:3]
-            names = [f.name for f in schema.fields]
-            yield pa.RecordBatch.from_arrays([b[c] for c in keep] + [pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=names)
+                    out.append(verdict(n, spans, sorted({str(shared.value.ids[i]) for i in items})))
+            cols = list(zip(*out, strict=True)) or [[] for _ in KINDS]
+            yield pa.RecordBatch.from_arrays([b[c] for c in keep] + [pa.array(list(c), k) for c, k in zip(cols, KINDS, strict=True)], names=schema.names)
 
-    return docs.select(*keep, raw_text().alias("_raw")).mapInArrow(tidy(run), schema)
+    return docs.select(*keep, raw_text().alias(raw)).transform(arrow(run, schema))
 
 
-def verdict(n_words: int, n_hit: int, items: list[str]) -> tuple:
-    digest = hashlib.sha256(",".join(items).encode()).hexdigest()
-    return n_words, n_hit, len(items), digest, n_hit > 0 and 20 * n_hit >= n_words
+def prints_of(text: bytes, lengths: set[int]) -> np.ndarray:
+    """Distinct fingerprints of a text: winnowed k-grams, and all n-grams of ``lengths`` words."""
+    w = Words([text], ITEM_WORDS)
+    g = grams(w.hash, K)
+    parts = [g[winnow(g)]]
+    parts += [grams(w.hash, n) ^ U64(n * 0x9E3779B97F4A7C15 % (1 << 64)) for n in lengths]
+    return distinct(np.concatenate(parts))
+
+
+def _sparse(prints: DataFrame) -> np.ndarray:
+    """2**FILTER_BITS bits, set for the fingerprints' upper bits; a table of fixed size."""
+    at = prints.select(F.shiftrightunsigned("fp", 64 - FILTER_BITS).alias("at"))
+    rows = at.groupBy(F.expr("shiftright(at, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(at & 63)))").alias("b"))
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for r in rows.collect():
+        bits[r.w] = r.b
+    return bits.view(U64)
+
 
+def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Fingerprints of documents and items joined; each document then meets the items that share one.
 
-def annotate(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Columns of docs but those of FOUND, then FOUND. Null texts have no words.
+    The documents' rows are numbered and stored once. A bit table of fixed size keeps most
+    fingerprints that no item has from the shuffle. A group is one document with its items.
+    """
+    row, raw = free(docs, "_row"), free(docs, "_raw")
+    keep = without(docs, *NAMES)
+    items = stored(items.withColumn("item", F.monotonically_increasing_id()), "items")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    texts = numbered.select(F.col(row).alias("row"), raw_text().alias("raw"))
+    item_kinds = pa.schema([("item", pa.int64()), ("fp", pa.int64()), ("n", pa.int64())])
+    row_kinds = pa.schema([("row", pa.int64()), ("fp", pa.int64()), ("n_words", pa.int64())])
+
+    def of_items(batches):
+        for b in batches:
+            rows = []
+            for item, text in zip(b["item"].to_pylist(), binaries(b["raw"]), strict=True):
+                n = len(Words([text], ITEM_WORDS))
+                rows += [(item, fp, n) for fp in prints_of(text, {n} if 0 < n < SPAN else set()).view(np.int64).tolist()]
+            yield batch(item_kinds, list(zip(*rows, strict=True)) or [[], [], []])
+
+    fps = stored(items.select("item", "raw").transform(arrow(of_items, "item long, fp long, n long")), "fingerprints")
+    lengths = {r.n for r in fps.where(F.col("n") < SPAN).select("n").distinct().collect()}
+    bits = docs.sparkSession.sparkContext.broadcast(_sparse(fps))
+
+    def of_rows(batches):
+        for b in batches:
+            rows = []
+            for name, text in zip(b["row"].to_pylist(), binaries(b["raw"]), strict=True):
+                fp = prints_of(text, lengths)
+                at = fp >> U64(64 - FILTER_BITS)
+                fp = fp[(bits.value[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) == 1].view(np.int64)
+                n = len(Words([text], ITEM_WORDS))
+                rows += [(name, f, n) for f in (None, *fp.tolist())]
+            yield batch(row_kinds, list(zip(*rows, strict=True)) or [[], [], []])
+
+    marks = stored(texts.transform(arrow(of_rows, "row long, fp long, n_words long")), "fingerprints")
+    pairs = marks.where("fp is not null").select("row", "fp").join(fps.select("item", "fp"), "fp").select("row", "item").distinct()
+    wanted = pairs.join(items, "item").select("row", "item_id", "raw")
+
+    def judge(key, left, right):
+        text, own = left["raw"].to_pylist(), list(zip(right["item_id"].to_pylist(), binaries(right["raw"]), strict=True))
+        if not text or not own:
+            return pa.table([pa.array([], k) for k in (pa.int64(), *KINDS)], names=["row", *NAMES])
+        index = build(own)
+        ((n, spans, found),) = hits([text[0] or b""], index)
+        return pa.table([pa.array([x], k) for x, k in zip((key[0].as_py(), *verdict(n, spans, sorted({index.ids[i] for i in found}))), (pa.int64(), *KINDS), strict=True)], names=["row", *NAMES])
+
+    some = texts.join(pairs.select("row").distinct(), "row", "left_semi")
+    found = some.groupBy("row").cogroup(wanted.groupBy("row")).applyInArrow(judge, f"row long, {FOUND}")
+    sizes = marks.where("fp is null").select("row", F.col("n_words").alias("n"))
+    none = F.lit(hashlib.sha256(b"").hexdigest())
+    full = sizes.join(found, "row", "left").select(
+        F.col("row").alias(row), F.col("n").alias("n_words"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_hit", "n_items")],
+        F.coalesce("items_sha256", none).alias("items_sha256"), F.coalesce("contaminated", F.lit(False)).alias("contaminated"),
+    )
+    return numbered.select(*keep, row).join(full, row).select(*keep, *NAMES)
+
+
+def annotate(docs: DataFrame, items: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Columns of docs but those of FOUND, then FOUND. Null texts have no words; repeated rows
+    are judged each; an empty table gives no rows.
 
     items (item_id, text): a null text or one without words is no item; rows with the
-    same item_id are items of that id. The index of one block of items is broadcast,
-    of at most about ``block_bytes`` of text; with more items each block scans all
-    documents, and a document's hits are united by row.
+    same item_id are items of that id. Items of ``broadcast_bytes`` of text or less are one index,
+    broadcast to a single scan; more of them are joined with the documents by fingerprint. Either
+    way the same code extends the hits and counts them.
     """
-    keep = [c for c in docs.columns if c not in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "_raw")]
-    rows = items.where("text is not null").select("item_id", raw_text().alias("raw"))
+    rows = items.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), raw_text().alias("raw")).distinct()
     size = rows.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-
-    def index(k: int) -> Index:
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        return build([(r.item_id, bytes(r.raw)) for r in part.collect()])
-
-    if blocks == 1:
-        return _scan(docs, keep, index(0), True)
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    parts = [_scan(numbered, ["_row"], index(k), False) for k in range(blocks)]
-    hit = parts[0]
-    for p in parts[1:]:
-        hit = hit.unionByName(p)
-    hit = hit.groupBy("_row").agg(
-        F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("i"),
-    )
-    union = F.aggregate(
-        "s", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("e")),
-        lambda acc, x: F.struct(
-            (acc["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(x["a"], acc["e"]))).cast("long").alias("n"),
-            F.greatest(acc["e"], x["b"]).cast("long").alias("e"),
-        ),
-    )["n"]
-    found = hit.select(
-        "_row", "n_words", union.alias("n_hit"), F.size("i").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", "i").cast("binary"), 256).alias("items_sha256"),
-    )
-    found = found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-    return numbered.select(*keep, "_row").join(found, "_row").drop("_row")
+    if size > broadcast_bytes:
+        return _joined(docs, rows)
+    return _scan(docs, build([(r.item_id, bytes(r.raw)) for r in rows.collect()]))
