@@ -10,9 +10,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import scratch
+from quirefold.llm.common import scratch, stored
 
 N_SLOTS = 4096
+#: Parts that the rows of a slot are numbered in.
+PARTS = 16
 ROW_BYTES = 8
 MAP = "version int, virtual_slot int, shard int, bytes long, n_rows long"
 
@@ -22,8 +24,9 @@ def record_size(text: str = "text") -> Column:
 
 
 def virtual_slot(n_slots: int = N_SLOTS) -> Column:
-    """A null id has a slot too."""
-    return F.pmod(F.xxhash64("doc_id"), F.lit(n_slots)).cast("int")
+    """Rows without an id are dealt by their text, so that they don't share one slot."""
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    return F.pmod(key, F.lit(n_slots)).cast("int")
 
 
 def slot_sizes(docs: DataFrame, n_slots: int = N_SLOTS) -> tuple[np.ndarray, np.ndarray]:
@@ -97,21 +100,26 @@ def read_map(spark: SparkSession, path: str, version: int | None = None) -> Data
 def assign(docs: DataFrame, slot_map: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot (place in the shard, gapless from 0), virtual_slot.
 
-    A slot's place in its shard comes from the map's row counts, a row's place in its
-    slot from a window over that slot alone: no task sees more than one slot's rows
-    at a time, and text isn't shuffled.
+    The narrow rows are stored once with the part of the table that they were in. A row's
+    place is its number within its slot and part, after the rows of the slots and parts before; so
+    rows of one id, or equal ones, are numbered in PARTS tasks, and text isn't shuffled.
     """
-    before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
-    places = slot_map.select("virtual_slot", "shard", F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("before"))
+    at = F.monotonically_increasing_id()
     rows = docs.select(
         "doc_id", record_size().alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-        virtual_slot(n_slots).alias("virtual_slot"),
+        virtual_slot(n_slots).alias("virtual_slot"), at.alias("at"),
     )
-    inner = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32")
+    # rows of one file partition spread over the parts, whatever the number of partitions
+    part = F.pmod(F.shiftright("at", 33) + F.col("at"), F.lit(PARTS)).cast("int")
+    rows = stored(rows, "sizes").withColumn("part", part)
+    counts = rows.groupBy("virtual_slot", "part").agg(F.count("*").alias("n")).join(F.broadcast(slot_map.select("virtual_slot", "shard")), "virtual_slot")
+    before = Window.partitionBy("shard").orderBy("virtual_slot", "part").rowsBetween(Window.unboundedPreceding, -1)
+    places = counts.select("virtual_slot", "part", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inner = Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "text_crc32", "at")
     return (
         rows.withColumn("i", F.row_number().over(inner))
-        .join(F.broadcast(places), "virtual_slot")
+        .join(F.broadcast(places), ["virtual_slot", "part"])
         .select(
             "doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"),
             (F.col("before") + F.col("i") - 1).cast("long").alias("slot"), "virtual_slot",
@@ -122,7 +130,8 @@ def assign(docs: DataFrame, slot_map: DataFrame, n_slots: int = N_SLOTS) -> Data
 def shard(docs: DataFrame, n_shards: int, n_slots: int = N_SLOTS, path: str | None = None) -> DataFrame:
     """Version 1 deals slots evenly; version 2 is that map rebalanced by bytes.
 
-    Null texts count as empty. An empty table gives no rows. Repeated rows share a slot.
+    Null texts count as empty. An empty table gives no rows. Repeated rows share a virtual slot;
+    their places follow the table's order.
     """
     spark = docs.sparkSession
     path = path or scratch(spark, "slot-map")
