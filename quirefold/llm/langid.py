@@ -11,11 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import batch, binaries, raw_text, tidy
+from quirefold.llm.common import arrow, batch, binaries, free, raw_text, without
 
 PROFILE = 400
 ORDERS = (1, 2, 3)
 SPACE = 1
+#: Labels that a column of languages may have.
+MAX_LANGUAGES = 1000
 #: n-grams that a training task holds before it hands its counts on.
 HOLD = 1 << 20
 _letters: list[np.ndarray] = []
@@ -76,16 +78,20 @@ def count_by_lang(batches):
 def train(docs: DataFrame, size: int = PROFILE) -> dict[str, np.ndarray]:
     """docs (text, lang) → profile of each language: its ``size`` most frequent n-grams.
 
-    Counts cover all documents given. The driver gets ``size`` rows a language; the
-    number of languages is that of the labels in use, not of documents.
+    Counts cover all documents given; a row that stands twice counts twice, and null texts and
+    labels are left out. The driver gets ``size`` rows a language, of MAX_LANGUAGES at most: a
+    column with more labels is no column of languages, and an error.
     """
     rows = docs.where("lang is not null and text is not null").select("lang", raw_text().alias("raw"))
-    counts = rows.mapInArrow(tidy(count_by_lang), "lang string, gram long, n long")
+    counts = rows.transform(arrow(count_by_lang, "lang string, gram long, n long"))
     total = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = total.withColumn("r", F.row_number().over(w)).where(F.col("r") <= size)
     found: dict[str, list] = defaultdict(list)
-    for r in top.select("lang", "gram", "r").collect():
+    rows = top.select("lang", "gram", "r").limit(MAX_LANGUAGES * size + 1).collect()
+    if len(rows) > MAX_LANGUAGES * size:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    for r in rows:
         found[r.lang].append((r.r, r.gram))
     return {k: np.array([g for _, g in sorted(v)], np.int64) for k, v in sorted(found.items())}
 
@@ -117,18 +123,18 @@ class Ranker:
 
 
 def predict(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFILE) -> DataFrame:
-    """All columns of docs, then lang_pred and score. The profiles are broadcast:
-    ``size`` integers a language."""
+    """Columns of docs but those named so, then lang_pred and score. The profiles are broadcast:
+    ``size`` integers a language. Repeated rows are judged each; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score", "_raw")]
+    keep, raw = without(docs, "lang_pred", "score"), free(docs, "_raw")
     schema = docs.select(keep).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
 
     def run(batches):
         ranker = Ranker(shared.value, size)
         for b in batches:
-            found = [ranker.predict(t) for t in binaries(b["_raw"])]
+            found = [ranker.predict(t) for t in binaries(b[raw])]
             cols = [b[c] for c in keep]
             out = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*cols, *out], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, raw_text().alias("_raw")).mapInArrow(tidy(run), schema)
+    return docs.select(*keep, raw_text().alias(raw)).transform(arrow(run, schema))

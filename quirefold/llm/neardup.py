@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import batch, binaries, discard, distinct, grams, ITEM_WORDS, mix, raw_text, runs, stored, tidy, Words
+from quirefold.llm.common import arrow, batch, binaries, discard, distinct, grams, ITEM_WORDS, mix, raw_text, runs, stored, Words
 from quirefold.llm.components import components
 
 SHINGLE = 5
@@ -64,7 +64,7 @@ def idf_table(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(df)
         yield batch(kinds, [np.append(at, -1), np.append(df[at], n)])
 
-    counts = docs.select(raw_text().alias("raw")).mapInArrow(tidy(run), "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+    counts = docs.select(raw_text().alias("raw")).transform(arrow(run, "bin int, n long")).groupBy("bin").agg(F.sum("n").alias("n"))
     got = counts.toPandas()
     df, n = np.zeros(1 << IDF_BITS), 0
     for b, v in zip(got["bin"].to_numpy(), got["n"].to_numpy(), strict=True):
@@ -166,7 +166,7 @@ def signed(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                 yield batch(kinds, [names.slice(lo, hi - lo), row_keys.slice(lo, hi - lo), pa.array(digests(w), pa.binary()), lists, pa.array(np.bincount(own, minlength=hi - lo))])
 
     rows = docs.select("doc_id", row_key().alias("row_key"), raw_text().alias("raw"))
-    return stored(rows.mapInArrow(tidy(run), "doc_id long, row_key string, node binary, bands array<long>, shingles long"), "signed")
+    return stored(rows.transform(arrow(run, "doc_id long, row_key string, node binary, bands array<long>, shingles long")), "signed")
 
 
 def stored_vectors(docs: DataFrame, nodes: DataFrame, idf: np.ndarray) -> DataFrame:
@@ -184,7 +184,7 @@ def stored_vectors(docs: DataFrame, nodes: DataFrame, idf: np.ndarray) -> DataFr
                 yield batch(kinds, [nodes_.slice(lo, hi - lo), vecs])
 
     rows = docs.select(row_key().alias("row_key"), raw_text().alias("raw")).join(nodes.select("node", "row_key"), "row_key").select("node", "raw")
-    return stored(rows.mapInArrow(tidy(run), "node binary, vec binary").dropDuplicates(["node"]), "vectors")
+    return stored(rows.transform(arrow(run, "node binary, vec binary")).dropDuplicates(["node"]), "vectors")
 
 
 def pack_vector(key: np.ndarray, weight: np.ndarray) -> bytes:
@@ -224,7 +224,7 @@ def verified(pairs: DataFrame, vecs: DataFrame, least: float) -> DataFrame:
 
     a = vecs.select(F.col("node").alias("a"), F.col("vec").alias("va"))
     b = vecs.select(F.col("node").alias("b"), F.col("vec").alias("vb"))
-    return stored(pairs.join(b, "b").join(a, "a").select("a", "b", "va", "vb").mapInArrow(tidy(run), "a binary, b binary"), "links")
+    return stored(pairs.join(b, "b").join(a, "a").select("a", "b", "va", "vb").transform(arrow(run, "a binary, b binary")), "links")
 
 
 def _open(members: DataFrame, links: DataFrame) -> DataFrame:

@@ -5,12 +5,14 @@ feature value is its log-count ratio between toxic and other training texts; a
 logistic regression with L2 penalty weighs these values.
 """
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import binaries, raw_text, tidy
+from quirefold.llm.common import arrow, binaries, free, least_hashes, raw_text, without
 from quirefold.llm.langid import SPACE, letter_table
 
 ORDERS = (3, 4, 5)
@@ -48,13 +50,12 @@ def features(text: bytes, seen: np.ndarray) -> np.ndarray:
     return f[seen[f] == order]
 
 
-def fit(texts: list[bytes], toxic: np.ndarray, prior: float, epochs: int = 8, least_steps: int = 500, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights by bin (ratio times coefficient) and the intercept, shifted to ``prior``.
+def fit(rows: list[np.ndarray], toxic: np.ndarray, prior: float, epochs: int = 8, least_steps: int = 500, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+    """rows: the features of each text → weights by bin (ratio times coefficient) and the intercept,
+    shifted to ``prior``.
 
     Batches have 128 texts; few texts are gone over more often, for ``least_steps`` batches.
     """
-    seen = np.zeros(1 << BITS, np.int32)
-    rows = [features(t, seen) for t in texts]
     counts = np.zeros((2, 1 << BITS), np.int32)
     for f, y in zip(rows, toxic, strict=True):
         counts[int(y), f] += 1
@@ -64,9 +65,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, prior: float, epochs: int = 8, le
     ratio = np.log(p / q).astype(np.float32)
     at = np.full(1 << BITS, -1, np.int32)
     at[used] = np.arange(len(used))
-    for i, f in enumerate(rows):
-        k = at[f]
-        rows[i] = k[k >= 0]
+    rows = [k[k >= 0] for k in (at[f] for f in rows)]
     w = np.full(len(used), 0.05, np.float64)
     b, m, v, mb, vb, step = 0.0, np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0, 0
     order = np.random.default_rng(7)
@@ -96,7 +95,8 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ot
     """docs (doc_id, text), labels (doc_id, toxic): the rows to learn from.
 
     A document with several labels counts as toxic if one says so; null labels and null
-    texts are left out. The fit is one task on the bounded sample and gives 4 MB.
+    texts are left out. The fit is one task on the bounded sample, of which it holds the distinct
+    features and not the texts, and gives 4 MB.
     Without labels of both kinds all weights are 0.
     """
     spark = docs.sparkSession
@@ -105,40 +105,40 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ot
     if not count.get(0) or not count.get(1):
         return np.zeros(1 << BITS, np.float32), 0.0
     h = F.xxhash64("doc_id")
-    picked = [one.where(F.col("y") == y).orderBy(h).limit(n) for y, n in ((1, max_toxic), (0, max_other))]
+    # a threshold first: no task sorts more than a few rows, and the least n are the same
+    picked = [one.where((F.col("y") == y) & least_hashes(h, 2 * n, count[y])).orderBy(h).limit(n) for y, n in ((1, max_toxic), (0, max_other))]
     ids = picked[0].unionByName(picked[1])  # at most max_toxic + max_other rows
     sample = docs.where("text is not null").select("doc_id", raw_text().alias("raw")).join(F.broadcast(ids), "doc_id")
     prior = count[1] / (count[0] + count[1])
 
     def run(batches):
-        texts, y = [], []
+        rows, seen = [], np.zeros(1 << BITS, np.int32)
         for b in batches:
             for i, t, toxic in zip(b["doc_id"].to_pylist(), binaries(b["raw"]), b["y"].to_pylist(), strict=True):
-                texts.append((i, t))
-                y.append(toxic)
-        order = sorted(range(len(y)), key=lambda i: (texts[i][0], texts[i][1]))
-        w, b0 = fit([texts[i][1] for i in order], np.array([y[i] for i in order], np.float64), prior)
+                rows.append((i, zlib.crc32(t), toxic, features(t, seen)))
+        rows.sort(key=lambda r: r[:2])
+        w, b0 = fit([r[3] for r in rows], np.array([r[2] for r in rows], np.float64), prior)
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([b0], pa.float64())], names=["w", "b"])
 
-    row = sample.repartition(1).mapInArrow(tidy(run), "w binary, b double").first()
+    row = sample.repartition(1).transform(arrow(run, "w binary, b double")).first()
     return np.frombuffer(bytes(row.w), np.float32), row.b
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
-    """Columns of docs, then score and predicted. Null and empty texts get the intercept's score."""
+    """Columns of docs but those named so, then score and predicted. Null and empty texts get the intercept's score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c not in ("score", "predicted", "_raw")]
+    keep, raw = without(docs, "score", "predicted"), free(docs, "_raw")
     schema = docs.select(keep).withColumns({"score": F.lit(0.0), "predicted": F.lit(1)}).schema
 
     def run(batches):
         w, b0 = shared.value
         seen = np.zeros(1 << BITS, np.int32)
         for b in batches:
-            z = np.array([w[features(t, seen)].sum(dtype=np.float64) for t in binaries(b["_raw"])]) + b0
+            z = np.array([w[features(t, seen)].sum(dtype=np.float64) for t in binaries(b[raw])]) + b0
             p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             yield pa.RecordBatch.from_arrays(
                 [*[b[c] for c in keep], pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))],
                 names=[*keep, "score", "predicted"],
             )
 
-    return docs.select(*keep, raw_text().alias("_raw")).mapInArrow(tidy(run), schema)
+    return docs.select(*keep, raw_text().alias(raw)).transform(arrow(run, schema))

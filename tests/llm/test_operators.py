@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quirefold.llm import decontam, langid, lm, neardup, packing, quality, rangecoder, sharding, suffixes, tokenfiles, toxicity
+from quirefold.llm import decontam, langid, lm, neardup, packing, quality, rangecoder, sharding, suffixes, tokenfiles, tokens, toxicity
 from quirefold.llm.components import components
 from quirefold.llm.common import BLANK_WORDS, ITEM_WORDS, Words
 from quirefold.llm.tokens import Encoder
@@ -66,6 +66,44 @@ def test_sharding(docs, none):
     assert sharding.shard(none, 5, 64).count() == 0
 
 
+def test_sharding_of_rows_without_id_and_of_one_id(spark):
+    rows = [(None, f"text {k}") for k in range(300)] + [(7, "same")] * 300 + [(k, "x" * (k % 50)) for k in range(2000)]
+    got = sharding.shard(table(spark, rows).repartition(4), 4).collect()
+    crcs = lambda pairs: Counter((i, zlib.crc32((t or "").encode())) for i, t in pairs)
+    assert Counter((r.doc_id, r.text_crc32) for r in got) == crcs(rows)
+    assert len({r.virtual_slot for r in got if r.doc_id is None}) > 200
+    assert len({r.virtual_slot for r in got if r.doc_id == 7}) == 1
+    load = Counter()
+    for s in range(4):
+        own = [r for r in got if r.shard == s]
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+        load[s] = sum(r["size"] for r in own)
+    assert max(load.values()) - min(load.values()) <= 0.05 * sum(load.values()) / 4
+
+
+def test_columns_of_clashing_names(spark):
+    """Names in any case, and those of the operators' own columns."""
+    docs = spark.createDataFrame([(1, "the cat", "x", 5, "r", 3)], "doc_id long, text string, Lang_Pred string, SCORE int, _raw string, N_Words int")
+    got = langid.predict(docs, {"en": np.arange(3)})
+    assert got.columns == ["doc_id", "text", "_raw", "N_Words", "lang_pred", "score"]
+    assert got.first()["_raw"] == "r"
+    got = toxicity.score(docs, (np.zeros(1 << toxicity.BITS, np.float32), 0.0))
+    assert got.columns == ["doc_id", "text", "Lang_Pred", "_raw", "N_Words", "score", "predicted"]
+    assert (got.first().score, got.first()["_raw"]) == (0.5, "r")
+    items = spark.createDataFrame([(1, "the cat")], "item_id long, text string")
+    for most in (1 << 20, 1):
+        got = decontam.annotate(docs, items, most)
+        assert got.columns == ["doc_id", "text", "Lang_Pred", "SCORE", "_raw", *decontam.NAMES]
+        assert (got.first()["_raw"], got.first().n_hit) == ("r", 2)
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    rows = spark.createDataFrame([("a b c", f"l{i}") for i in range(4)], "text string, lang string")
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(rows, 3)
+
+
 def test_rebalance_moves_few_and_evens_out():
     rng = np.random.default_rng(1)
     size = rng.integers(1, 1000, 2048)
@@ -137,6 +175,27 @@ def test_odd_words_encode_as_texts(texts):
 ODD_ENCODER = Encoder(TOKENIZER)
 
 
+def test_kept_words_give_the_same_ids(monkeypatch):
+    """Words new, met again, kept by the worker, merged and dropped at the bounds, and long ones."""
+    monkeypatch.setattr(tokens, "RECENT", 3)
+    monkeypatch.setattr(tokens, "KEPT", 6)
+    monkeypatch.setattr(tokens, "LONGEST", 7)
+    few = Encoder(TOKENIZER)
+    rng = np.random.default_rng(7)
+    words = ["the", "Éa", "ñu.", "straße!", "ÿ", "×", "l'été", "÷x", "à\u0301", "A.b", "", "longer-than-that", "longerthanthat", "日本", "œuvre", "ÀÖØÞ"]
+    for _ in range(20):
+        texts = [" ".join(rng.choice(words, 6)) for _ in range(3)]
+        assert [x.tolist() for x in few.ids([t.encode() for t in texts])] == whole(texts)
+    assert len(few.table.levels[0][0]) <= 6
+
+
+def test_long_blocks_keep_sums_small(monkeypatch):
+    """Counts are halved where their sum would grow too large; ids come back all the same."""
+    monkeypatch.setattr(rangecoder, "FULL", 60_000)
+    x = np.random.default_rng(8).zipf(1.3, 60_000).clip(0, 49_000).astype(np.uint32)
+    assert np.array_equal(rangecoder.read_block(rangecoder.write_block([1], [len(x)], x, 49_408))[2], x)
+
+
 def test_token_files(spark, docs, none, tmp_path):
     tokenfiles.write(docs, str(tmp_path / "f"), TOKENIZER, 2, block_tokens=5000)
     rows = tokenfiles.read(spark, str(tmp_path / "f")).orderBy("start").collect()
@@ -152,23 +211,72 @@ def test_token_files(spark, docs, none, tmp_path):
     assert tokenfiles.read(spark, str(tmp_path / "e")).count() == 0
 
 
-def test_packing(docs, none):
-    rows = packing.pack(docs, TOKENIZER, 1, window=64, shard_docs=6).collect()
-    n = Counter()
+@pytest.mark.parametrize(("shard_docs", "shard_tokens"), [(6, 1 << 22), (1024, 200)])
+def test_packing(docs, none, monkeypatch, shard_docs, shard_tokens):
+    monkeypatch.setattr(packing, "SHARD_TOKENS", shard_tokens)
+    rows = packing.pack(docs, TOKENIZER, 1, window=512, shard_docs=shard_docs).collect()
     for s in {r.sequence_id for r in rows}:
         at = 0
         for r in sorted((r for r in rows if r.sequence_id == s), key=lambda r: r.offset):
             assert r.offset == at
             at += r.length
-        assert at <= 64
-        n[at == 64] += 1
-    assert n[False] <= 3
-    want = Counter((i, len(whole([t or ""])[0]) + 1) for i, t in TEXTS)
-    assert Counter((r.doc_id, r.doc_tokens) for r in rows if r.start == 0) == want
-    assert sum(r.length for r in rows) == sum(k[1] * v for k, v in want.items())
+        assert 0 < at <= 512
+    left = Counter((i, *x) for (i, _), x in zip(TEXTS, [tuple(x) + (1,) for x in whole([t or "" for _, t in TEXTS])], strict=True))
+    pieces = Counter()
+    for r in rows:
+        mine = [k for k in left if k[0] == r.doc_id and len(k) - 1 == r.doc_tokens]
+        crcs = {zlib.crc32(np.array(k[1 + r.start : 1 + r.start + r.length], "<u4").tobytes()): k for k in mine}
+        assert r.length > 0
+        assert r.ids_crc32 in crcs
+        pieces[crcs[r.ids_crc32], r.start, r.length] += 1
+    for k, n in left.items():  # the pieces of a document lie end to end, as often as its row stands
+        ends = Counter()
+        for (own, start, length), c in pieces.items():
+            if own == k:
+                ends[start] += c
+                ends[start + length] -= c
+        assert {p: c for p, c in ends.items() if c} == {0: n, len(k) - 1: -n}
     assert packing.pack(none, TOKENIZER, 1).count() == 0
 
 
+def test_packing_pads_little_and_puts_like_documents_together(spark):
+    """Three topics in turn: shards hold one topic each, windows but the last of a shard are full."""
+    names = [("river", "boat"), ("music", "song"), ("stone", "wall")]
+    rows = [(i, " ".join(f"{names[i % 3][0]} {(i * 7 + j) % 40} {names[i % 3][1]}" for j in range(30))) for i in range(42)]
+    got = packing.pack(table(spark, rows).coalesce(1), TOKENIZER, 1, window=64, shard_docs=14).collect()
+    per = Counter()
+    for r in got:
+        per[r.sequence_id] += r.length
+    assert sum(v < 64 for v in per.values()) <= 8
+    mixed = [s for s in per if len({r.doc_id % 3 for r in got if r.sequence_id == s}) > 1]
+    assert len(mixed) <= 6
+
+
+def test_scores_are_bm25():
+    rng = np.random.default_rng(9)
+    docs_ = [rng.integers(0, 30, n) for n in (40, 5, 17, 1, 60)] + [np.array([29])]
+    idf = rng.random(30) * (rng.random(30) > 0.3)
+    shard = packing.Shard(docs_, idf, 20.0)
+    for q in range(len(docs_)):
+        for d in range(len(docs_)):
+            want = 0.0
+            for t in set(docs_[q].tolist()):
+                tf = (docs_[d] == t).sum()
+                want += idf[t] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(docs_[d]) / 20)) if tf else 0
+            assert abs(shard.scores(q)[d] - want) < 1e-9
+
+
+def test_statistics_count_all_documents(docs):
+    by = packing.routers(docs, TOKENIZER, 1)
+    tokens_ = packing.tokenized(docs, TOKENIZER, 1, by)
+    ids, df, n, mean = packing.statistics(tokens_)
+    every = [x + [1] for x in whole([t or "" for _, t in TEXTS])]
+    want = Counter(i for x in every for i in set(x))
+    assert dict(zip(ids.tolist(), df.tolist(), strict=True)) == want
+    assert (n, round(mean, 9)) == (len(every), round(sum(map(len, every)) / len(every), 9))
+    assert tokens_.where("df is null").count() == len(TEXTS)
+
+
 def test_bm25_prefers_similar_documents():
     idf = np.full(60, 2.0)
     docs_ = [np.array(x) for x in ([1, 2, 3], [9, 8, 7], [1, 2, 4], [50, 51, 52])]
@@ -219,23 +327,24 @@ def decontam_brute(text, items):
     return len(w), len(hit), len(found), digest, bool(hit) and 20 * len(hit) >= len(w)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
-def test_decontamination(spark, docs, none, block_bytes):
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 60])
+def test_decontamination(spark, docs, none, broadcast_bytes):
     items = [(1, SHARED), (20, "A B"), (3, None), (4, "!"), (5, SHARED[10:120]), (6, "zzz"), (7, "fox jumps over"), (20, "ümlaut É"), (8, "Ümlaut é")]
     frame = spark.createDataFrame(items, "item_id long, text string")
     short = [(i, t) for i, t in TEXTS if t is None or len(t) < 5000]
-    got = decontam.annotate(table(spark, short), frame, block_bytes)
+    got = decontam.annotate(table(spark, short), frame, broadcast_bytes)
     rows = sorted(tuple(r) for r in got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").na.fill(-1).collect())
     assert rows == sorted((-1 if i is None else i, *decontam_brute(t, items)) for i, t in short)
-    assert decontam.annotate(none, frame).count() == 0
+    assert got.select("_raw").distinct().count() == 1  # a column of the input
+    assert decontam.annotate(none, frame, broadcast_bytes).count() == 0
     assert decontam.annotate(docs, frame.where("false")).where("n_hit > 0").count() == 0
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 5])
-def test_rows_of_one_item_id_count_once(spark, block_bytes):
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 5])
+def test_rows_of_one_item_id_count_once(spark, broadcast_bytes):
     items = [(20, "red apple"), (20, "green pear"), (3, "blue plum")]
     text = "a red apple, a green pear and a blue plum"
-    got = decontam.annotate(table(spark, [(1, text)]), spark.createDataFrame(items, "item_id long, text string"), block_bytes)
+    got = decontam.annotate(table(spark, [(1, text)]), spark.createDataFrame(items, "item_id long, text string"), broadcast_bytes)
     assert tuple(got.select("n_words", "n_hit", "n_items", "items_sha256", "contaminated").first()) == decontam_brute(text, items)
     assert got.first().n_items == 2
 
@@ -408,6 +517,31 @@ def test_toxicity(spark, docs, none):
     assert not toxicity.train(frame, labels.where("false"))[0].any()
 
 
+def test_ratios_and_regression_by_hand():
+    """Naive Bayes ratios as counted, and a fit whose loss is near that of a plain solver."""
+    seen = np.zeros(1 << toxicity.BITS, np.int32)
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["aba", "bcb", "cdc", "ded"], 4, p=[0.4, 0.3, 0.2, 0.1] if y else [0.1, 0.2, 0.3, 0.4])).encode() for y in range(2) for _ in range(150)]
+    y = np.repeat([0.0, 1.0], 150)
+    rows = [toxicity.features(t, seen) for t in texts]
+    assert all(len(set(f.tolist())) == len(f) for f in rows)
+    w, b = toxicity.fit(rows, y, 0.5, epochs=60)
+    bins = sorted({x for f in rows for x in f.tolist()})
+    n = {x: [sum(x in f for f, k in zip(map(set, map(np.ndarray.tolist, rows)), y, strict=True) if k == c) for c in (0, 1)] for x in bins}
+    used = [x for x in bins if sum(n[x]) >= toxicity.LEAST_TEXTS]
+    ratio = np.array([math.log(((n[x][1] + 1) / 152) / ((n[x][0] + 1) / 152)) for x in used])
+    assert not w[[x for x in bins if x not in used]].any()
+    X = np.array([[float(x in f) for x in used] for f in map(set, map(np.ndarray.tolist, rows))]) * ratio
+    v, c = np.zeros(len(used)), 0.0
+    for _ in range(4000):  # plain gradient descent
+        err = 1 / (1 + np.exp(-(X @ v + c))) - y
+        v -= 0.05 * (X.T @ err / len(y) + 1e-4 * v)
+        c -= 0.05 * err.mean()
+    loss = lambda z: float(np.mean(np.logaddexp(0, z) - y * z))
+    own = np.array([w[f].sum() for f in rows]) + b
+    assert loss(own) <= loss(X @ v + c) + 0.02
+
+
 def test_language_model(spark, docs, none):
     rows = [(i, t, i is not None and i % 4 == 2) for i, t in TEXTS]
     frame = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(3)
