@@ -179,4 +179,5 @@ ORACLES = {
         SELECT request, r.page_id, wanted, coalesce(chapter_no, -1)::BIGINT AS chapter_no, title FROM r LEFT JOIN h ON r.page_id = h.page_id AND (chapter_no::VARCHAR = w OR (w <> '' AND contains(lower(title), w)))""",
     "extractors": f"""WITH {PAGES}, b AS (SELECT doc_id, page_no, CASE WHEN length(body) > 900 THEN substring(body, 2) ELSE body END AS body FROM pages_ WHERE body <> '')
         SELECT a.doc_id, a.page_no::BIGINT AS page_no, a.body IS NOT DISTINCT FROM b.body AS same FROM pages_ a LEFT JOIN b USING (doc_id, page_no)""",
+    "formula_links": "SELECT doc_id, unnest([0, 1])::BIGINT AS pos, './formulas/math_page_' || (doc_id + unnest([0, 1])) || '.png' AS link FROM documents",
 }

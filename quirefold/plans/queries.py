@@ -368,6 +368,14 @@ def extractors(spark, d):
     return router.compare_extractors(a, b, "doc_id").select("doc_id", F.col("page_no").cast("long").alias("page_no"), "same")
 
 
+def formula_links(spark, d):
+    """Every text gets two such links and an image of another kind."""
+    link = lambda n: F.concat(F.lit("![Mathematical Formula Reference](./formulas/math_page_"), n.cast("string"), F.lit(".png)"))
+    md = F.concat(link(F.col("doc_id")), F.lit("\n![x](./a.png)"), F.col("text"), link(F.col("doc_id") + 1))
+    rows = _table(spark, d, "documents").select("doc_id", F.posexplode(router.formula_links(md)).alias("pos", "link"))
+    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "link")
+
+
 NAMES = [
     chunk_plan, chunk_size_pinning, pending_documents, pending_chunks, resume_equivalence, convert_tiers, fallback_text,
     drop_mode, assemble_documents, assemble_conversations, flatten_break_join, first_metadata, sanitize_titles, input_keys,
@@ -375,6 +383,6 @@ NAMES = [
     batch_summary, natural_order, link_numbers, link_rewrite, image_names, workspace_tree, repo_staleness, write_if_absent,
     setup_decision, sync_diff, ignored_paths, long_document_router, first_n_pages, toc_scan, text_layer, outline, chapters,
     mounts, small_texts, manifest_metadata, image_rows, document_heads, run_configs, doc_infos, duration_texts, book_metadata,
-    scopes, chapter_manifest, chapter_requests, extractors,
+    scopes, chapter_manifest, chapter_requests, extractors, formula_links,
 ]
 QUERIES = {f.__name__: f for f in NAMES}

@@ -17,7 +17,7 @@ SCHEME = "^[a-zA-Z][a-zA-Z0-9+.-]*:/*"
 
 
 def _bare(path: str) -> str:
-    return re.sub(SCHEME, "", path)
+    return re.sub(SCHEME, "/", path)
 
 
 def _qualified(spark: SparkSession, path: str) -> str:
@@ -57,13 +57,28 @@ def existing(spark: SparkSession, paths: list[str]) -> list[str]:
     return found
 
 
+def repositories(spark: SparkSession, root: str) -> DataFrame:
+    """repo_path: folders below ``root`` that hold a ``.git``, at any depth. The driver walks the
+    folders, as Spark's own listing leaves hidden ones out; a workspace has few."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, todo = [], [top]
+    while todo:
+        here = todo.pop()
+        folders = [s.getPath() for s in fs.listStatus(here) if s.isDirectory()]
+        if any(p.getName() == ".git" for p in folders):
+            found.append((_bare(here.toString()),))
+        todo += [p for p in folders if p.getName() != ".git"]
+    return spark.createDataFrame(found, "repo_path string")
+
+
 def named_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """raw_input, content of the paths that exist, by the names they were given."""
     found = existing(spark, paths)
     if not found:
         return spark.createDataFrame([], "raw_input string, content binary")
     given = spark.createDataFrame([(p, _bare(_qualified(spark, p))) for p in found], "raw_input string, _path string")
-    rows = spark.read.format("binaryFile").load(sorted({_qualified(spark, p) for p in found})).withColumn("_path", F.regexp_replace("path", SCHEME, ""))
+    rows = spark.read.format("binaryFile").load(sorted({_qualified(spark, p) for p in found})).withColumn("_path", F.regexp_replace("path", SCHEME, "/"))
     return rows.join(F.broadcast(given), "_path").select("raw_input", "content")
 
 

@@ -2,7 +2,7 @@
 
 import pyarrow as pa
 from pyarrow.fs import FileSystem
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -39,6 +39,20 @@ def write_images(rows: DataFrame, root: str) -> DataFrame:
     return rows.select("folder", "name", "image").mapInArrow(run, "path string")
 
 
+def write_marker(spark: SparkSession, path: str, version: str, **more: str) -> None:
+    """``key=value`` lines, one row, to be written when all else is: its presence says that the set-up ended."""
+    lines = [f"setup_version={version}", *(f"{k}={v}" for k, v in more.items())]
+    spark.createDataFrame([("\n".join(lines),)], "marker string").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_marker(spark: SparkSession, path: str) -> str | None:
+    """The marker's text; None where there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return spark.read.schema("marker string").parquet(path).first().marker
+
+
 def metadata_json(**fields):
     """Non-ASCII characters stay as they are."""
     return F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]))

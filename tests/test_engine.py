@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirefold.functions import bib, config, names
-from quirefold.operators import assemble, checkpoint, chunking, convert, router
+from quirefold.operators import assemble, checkpoint, chunking, convert, decisions, router
 from quirefold.plans.batch import convert_batch
-from quirefold.sources import batch_list, files, numbered_folders, sinks, text_pages, zip_members
+from quirefold.sources import batch_list, files, numbered_folders, repositories, sinks, text_pages, zip_members
 
 SF = "/root/testdata/sf0.001"
 
@@ -280,3 +280,14 @@ def test_settings():
     config.require(gpu=True)
     with pytest.raises(RuntimeError, match="gpu"):
         config.require(gpu=False, disk=True)
+
+
+def test_marker_and_repositories(spark, tmp_path):
+    path = str(tmp_path / "marker")
+    assert sinks.read_marker(spark, path) is None
+    sinks.write_marker(spark, path, "7", at="x")
+    rows = spark.createDataFrame([(sinks.read_marker(spark, path),)], "m string")
+    assert rows.select(decisions.setup_decision(F.col("m"), "7", F.lit(True)).alias("d")).first().d == "skip"
+    for p in ("a/.git/objects", "b/c/.git", "d"):
+        (tmp_path / "w" / p).mkdir(parents=True)
+    assert sorted(r.repo_path for r in repositories(spark, str(tmp_path / "w")).collect()) == [f"{tmp_path}/w/a", f"{tmp_path}/w/b/c"]
