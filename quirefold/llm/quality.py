@@ -31,8 +31,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds the counts. Null counts as a text without words; counts cover the whole text.
 
-    Repeated 3-word windows are found by sorting a row's own windows, so nothing is
-    shuffled and memory is bounded by one text.
+    Repeated 3-word windows are found by sorting the 64-bit hashes of a row's own windows, so
+    nothing is shuffled and memory is bounded by one text. Empty texts have no word; rows that
+    stand twice are measured each.
     """
     d = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
     d = d.withColumn("_w", F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)))
@@ -47,7 +48,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     d = d.withColumn("n_stop", F.size(F.filter("_w", lambda x: F.lower(x).isin(STOP_WORDS))).cast("long"))
     windows = F.expr(
         "sort_array(transform(if(n_words >= 3, sequence(1, int(n_words) - 2), array()), "
-        "i -> struct(concat_ws(' ', _w[i - 1], _w[i], _w[i + 1]) AS g, i AS i)))"
+        "i -> struct(xxhash64(_w[i - 1], _w[i], _w[i + 1]) AS g, i AS i)))"
     )
     d = d.withColumn("_s", windows)
     twice = F.expr(
