@@ -2,11 +2,12 @@
 
 import contextlib
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.sources.scratch import discard as discard
@@ -20,6 +21,13 @@ BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, upon which executors drop the shuffle files of jobs that
+    are over. Else these stay until the driver happens to run short of memory."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def set_apart(docs: DataFrame, own: tuple[str, ...] = ("doc_id", "text", "lang", "n_chars")) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """docs whose columns but ``own`` have names that clash with no operator's, and a
     function that gives the first names back to all columns of docs and drops all others."""

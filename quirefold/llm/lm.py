@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quirefold.llm.blocks import corpus_counts, in_blocks, reply, slices_for, stats, with_replies
-from quirefold.llm.common import BLANK_WORDS, Words, binaries, distinct, distinct_counts, mix, places, raw_text, runs
+from quirefold.llm.common import BLANK_WORDS, Words, binaries, distinct, distinct_counts, mix, places, raw_text, runs, sweep
 
 K = 50.0
 #: Tokens that a lane of the walk reads.
@@ -127,6 +127,7 @@ def score(docs: DataFrame, k: float = K) -> DataFrame:
     blocks = in_blocks(docs.select("doc_id", "held_out", raw_text().alias("raw")))
     counts = corpus_counts(blocks, keys_of, slices_for(blocks))
     s = stats(counts)
+    sweep(docs.sparkSession)
     n_train, n_types = s.even_total, s.even
 
     def use(_, table, answers):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import arrow, batch, binaries, discard, distinct, grams, ITEM_WORDS, mix, raw_text, runs, stored, Words
+from quirefold.llm.common import arrow, batch, binaries, discard, distinct, grams, ITEM_WORDS, mix, raw_text, runs, stored, sweep, Words
 from quirefold.llm.components import components
 
 SHINGLE = 5
@@ -259,8 +259,10 @@ def near_links(signatures: DataFrame, docs: DataFrame, idf: np.ndarray, least: f
     """node pairs of ``least`` similarity or more that hold the components together; stored."""
     members = bucketed(signatures)
     vecs = stored_vectors(docs, members.groupBy("node").agg(F.min("row_key").alias("row_key")), idf)
+    sweep(docs.sparkSession)
     star = members.where("head <> node").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
     first = verified(star, vecs, least)
+    sweep(docs.sparkSession)
     opened = _open(members.select("bucket", "node", "shingles"), first)
     links = stored(first.unionByName(compared(opened, vecs, least)).distinct(), "links")
     discard(members, vecs, first, opened)
