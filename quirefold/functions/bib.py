@@ -96,23 +96,32 @@ def cascade(df: DataFrame, info: str, text: str, reply: str | None = None) -> Da
     return df.withColumn("tier", tier).withColumn("bib", bib)
 
 
-def with_replies(df: DataFrame, need: Column, text: str, ask: Callable[[str], str]) -> DataFrame:
+def with_replies(df: DataFrame, need: Column, text: str, ask: Callable, many: bool = False) -> DataFrame:
     """Calls ``ask`` only for rows that need it: ``when`` would call it for all.
 
     The filtered branch runs the Python callable in Arrow batches; a failing
-    call gives an empty reply, so the text rules take over.
+    call gives an empty reply, so the text rules take over. With ``many`` the callable gets
+    the texts of a batch as a list and returns as many replies; if it fails, the batch has none.
     """
+    import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
+    def one(x):
+        try:
+            return ask(x)
+        except Exception:  # noqa: BLE001  any failure degrades to the text rules
+            return None
+
+    def all_of(texts):
+        try:
+            got = list(ask(texts))
+            return got if len(got) == len(texts) else [None] * len(texts)
+        except Exception:  # noqa: BLE001
+            return [None] * len(texts)
+
     @pandas_udf("string")
-    def replies(s):
-        def one(x):
-            try:
-                return ask(x)
-            except Exception:  # noqa: BLE001  any failure degrades to the text rules
-                return None
-
-        return s.map(one)
+    def replies(s: pd.Series) -> pd.Series:
+        return pd.Series(all_of(s.tolist()) if many else [one(x) for x in s], dtype="object")
 
     asked = df.where(need).withColumn("reply", replies(F.substring(blank(F.col(text)), 1, 6000)))
     return asked.unionByName(df.where(~F.coalesce(need, F.lit(False))).withColumn("reply", F.lit(None).cast("string")))

@@ -72,6 +72,9 @@ def test_replies_only_where_needed(spark):
     ask = lambda s: 1 / 0 if s == "boom" else f'{{"title":"{s}"}}'
     out = bib.with_replies(df, F.col("id") != 1, "md", ask).orderBy("id").collect()
     assert [r.reply for r in out] == [None, '{"title":""}', None]
+    got = bib.with_replies(df, F.col("id") != 1, "md", lambda texts: [f"{len(texts)}:{t}" for t in texts], many=True)
+    assert {r.id: (r.reply or "")[2:] for r in got.collect()} == {1: "", 2: "", 3: "boom"}
+    assert bib.with_replies(df, F.col("id") > 0, "md", lambda texts: [], many=True).where("reply is not null").count() == 0
 
 
 def test_identity_gives_texts_back(spark):
