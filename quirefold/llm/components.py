@@ -12,11 +12,11 @@ def components(edges: DataFrame) -> DataFrame:
     In a round each node that has a lesser neighbour moves to the least of them, and the edges
     between nodes that differ after that are the next round's. Nodes should be digests, so
     that runs of descending neighbours stay short: then a share of the nodes goes in each round,
-    and all rounds together read little more than the first. Moves are put together
-    from the last round to the first. Neighbours are aggregated before each shuffle; nothing
+    and all rounds together read little more than the first. At the end every node follows the moves
+    of all rounds, one join a round. Neighbours are aggregated before each shuffle; nothing
     is collected but whether edges are left. Loops give their node itself; no edges, no rows.
     """
-    rest = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    rest = first = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     moves = []
     while True:
         up = stored(rest.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")), "moves")
@@ -26,15 +26,15 @@ def components(edges: DataFrame) -> DataFrame:
             to = up.where("up < node").select(F.col("node").alias(end), F.col("up").alias("to"))
             moved = moved.join(to, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
         left = stored(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-        discard(rest)
+        if rest is not first:
+            discard(rest)
         if left.isEmpty():
             break
         rest = left
-    found = moves[-1].select("node", F.col("up").alias("label"))
-    for up in reversed(moves[:-1]):
-        later = found.select(F.col("node").alias("up"), "label")
-        found = up.join(later, "up", "left").select("node", F.coalesce("label", "up").alias("label")).unionByName(found)
-    tops = found.select(F.col("label").alias("node"), "label")
-    out = stored(found.unionByName(tops).distinct(), "labels")
-    discard(left, *moves)
+    labels = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct().withColumn("label", F.col("node"))
+    for up in moves:
+        to = up.where("up < node").select(F.col("node").alias("label"), F.col("up").alias("to"))
+        labels = labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    out = stored(labels, "labels")
+    discard(first, left, *moves)
     return out

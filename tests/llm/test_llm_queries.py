@@ -2,6 +2,7 @@
 
 import glob
 import os
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 import duckdb
@@ -9,6 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quirefold.llm import neardup
 from quirefold.llm.common import stored
 from quirefold.llm.oracles import ORACLES
 from quirefold.llm.queries import QUERIES
@@ -71,7 +73,46 @@ def test_extra_columns_pass_through(spark):
 
 
 def test_registered_pipeline(spark):
-    assert QUERIES["pipeline"](spark, SF).count() > 0
+    """Whole documents in pieces, full windows, and none that a stage has to reject."""
+    rows = QUERIES["pipeline"](spark, SF).collect()
+    documents, windows = defaultdict(list), Counter()
+    for r in rows:
+        documents[r.doc_id].append(r)
+        windows[r.sequence_id] += r.length
+        assert r.offset + r.length <= 2048
+    for own in documents.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r.start):
+            assert r.start == at
+            at += r.length
+        assert at == own[0].doc_tokens
+    assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+    assert sum(n < 2048 for n in windows.values()) <= 0.2 * len(windows) + 8
+    spoken = QUERIES["op3_langid"](spark, SF).where(f"lang_pred <> 'und' and score >= {corpus_pipeline.MIN_LANGUAGE_SCORE}")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").join(spoken.select("doc_id"), "doc_id", "left_semi")
+    assert set(documents) <= {r.doc_id for r in docs.collect()}
+    kept = {r.class_id for r in neardup.classes(docs).collect()}
+    assert set(documents) <= kept
+    gone = kept - set(documents)  # contaminated ones alone
+    bad = QUERIES["op4_decontam"](spark, SF).where("n_hit > 0")
+    assert gone <= {r.doc_id for r in bad.collect()}
+
+
+def test_odd_rows_pass_through(spark):
+    """Null ids, repeated rows and a map column."""
+    text = " ".join(f"the word{i} and that" for i in range(40))
+    rows = [(None, text, "en", "s", len(text), {"a": 1}), (None, text, "en", "s", len(text), {"a": 0}), (3, text + " more", "en", "s", len(text) + 5, None)]
+    rows += [(7, f"so it is with the {i} of them that goes on", "en", "s", 1, {"b": 2}) for i in range(3)] * 2 + [(None, None, None, None, None, None), (None, "", "en", "s", 0, {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, extra map<string,int>")
+    columns = docs.columns
+    docs = stored(corpus_pipeline.language(spark, docs, SF), "language")
+    assert docs.count() == 9
+    docs = stored(corpus_pipeline.near_duplicates(spark, docs, SF), "near_duplicates")
+    assert sorted(r.doc_id for r in docs.collect()) == [3, 7, 7, 7]  # a class with an id keeps that one
+    docs = stored(corpus_pipeline.repeated_passages(spark, docs, SF), "repeated_passages")
+    docs = stored(corpus_pipeline.benchmark_passages(spark, docs, SF), "benchmark_passages")
+    assert docs.columns == columns
+    assert sum(r.length for r in corpus_pipeline.sequences(spark, docs, SF).collect() if r.doc_id == 3) > 0
 
 
 def test_empty_pipeline(spark):
