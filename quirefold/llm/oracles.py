@@ -1,8 +1,12 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
+from quirefold.llm.crc import STEP
+from quirefold.llm.divergence import MIN_DOCS, SHARE, TOP
 from quirefold.llm.langid import PROFILE
 from quirefold.llm.lm import K
+from quirefold.llm.neighbours import K as NEAREST
 from quirefold.llm.quality import RULES, STOP_WORDS
+from quirefold.llm.resampling import BUCKETS, MIN_WORDS, PERCENT, SEED
 from quirefold.llm.suffixes import SPAN
 
 _STOP = ", ".join("'" + w + "'" for w in STOP_WORDS)
@@ -101,4 +105,53 @@ SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT
     sha256(unhex(coalesce(kept || h[2 * y + 1 :], h))) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id)
 """
 
-ORACLES = {"op3_langid": LANGID, "op4_decontam": DECONTAM, "op5_quality": QUALITY, "op8_lm": LM, "op9_suffix_dedup": SUFFIXES}
+#: crc32 of a feature by the table of bytes, which are pairs of hexadecimal digits.
+_BUCKET = f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(h) // 2 + 1), lambda i: ('0x' || h[2 * i - 1 : 2 * i])::BIGINT)),
+    lambda a, x: xor(a >> 8, {STEP.tolist()}[(xor(a, x) & 255) + 1]))) % {BUCKETS}"""
+RESAMPLE = f"""
+WITH w AS (SELECT doc_id, false AS target, {_WORDS.format("coalesce(text, '')")} AS w FROM documents
+    UNION ALL SELECT item_id, true, {_WORDS.format("coalesce(text, '')")} FROM benchmark),
+g AS (SELECT doc_id, target, array_to_string(w[i : i + k], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - k + 1)) AS i FROM (SELECT *, unnest([0, 1, 2]) AS k FROM w))),
+c AS (SELECT doc_id, target, g, count(*) AS n FROM g GROUP BY ALL),
+u AS (SELECT g, {_BUCKET} AS b FROM (SELECT DISTINCT g, hex(encode(g)) AS h FROM c)),
+t AS (SELECT b, coalesce(sum(n) FILTER (NOT target), 0) AS s, coalesce(sum(n) FILTER (target), 0) AS t FROM c JOIN u USING (g) GROUP BY b),
+z AS (SELECT coalesce(sum(s), 0)::DOUBLE AS big_s, coalesce(sum(t), 0)::DOUBLE AS big_t FROM t),
+v AS (SELECT b, floor(1000 * ln((t::DOUBLE + 1) * (big_s + {BUCKETS}) / ((s::DOUBLE + 1) * (big_t + {BUCKETS}))))::BIGINT AS gain FROM t, z),
+d AS (SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM c JOIN u USING (g) JOIN v USING (b) WHERE NOT target GROUP BY doc_id),
+x AS (SELECT w.doc_id, len(w) >= {MIN_WORDS} AS enough, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    ('0x' || sha256('{SEED}:' || w.doc_id)[1:8])::BIGINT AS h FROM w LEFT JOIN d USING (doc_id) WHERE NOT w.target),
+y AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM x),
+r AS (SELECT *, row_number() OVER (PARTITION BY enough ORDER BY score DESC, doc_id) AS r, {PERCENT} * count(*) OVER (PARTITION BY enough) // 100 AS n FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN enough AND r <= n THEN r END::BIGINT AS rank FROM r
+"""
+
+NEIGHBOURS = f"""
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e) AS score FROM v AS q JOIN v AS c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM p QUALIFY rank <= {NEAREST}
+"""
+
+_SHARE = f"1 + {SHARE}::HUGEINT * ({{}} + 1) // ({{}} + v)"
+DIVERGENCE = f"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    {_WORDS.format("coalesce(text, '')").replace("[^\\x00-\\x2F\\x3A-\\x60", "[^\\x00-\\x40\\x5B-\\x60")} AS w FROM documents),
+t AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS c FROM t GROUP BY ALL HAVING count(DISTINCT id) >= {MIN_DOCS}),
+l AS (SELECT lang, sum(c) AS n, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+s AS (SELECT g.lang, g.source, coalesce(sum(c), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT s.lang, s.source, k.term, coalesce(c.c, 0) AS c, {_SHARE.format("coalesce(c.c, 0)", "s.n")} AS p, {_SHARE.format("k.c", "l.n")} AS q
+    FROM s JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+    UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM o QUALIFY part = 'pair' OR rank <= {TOP}
+"""
+
+ORACLES = {
+    "op3_langid": LANGID, "op4_decontam": DECONTAM, "op5_quality": QUALITY, "op8_lm": LM, "op9_suffix_dedup": SUFFIXES,
+    "op11_resampling": RESAMPLE, "op12_neighbours": NEIGHBOURS, "op13_divergence": DIVERGENCE,
+}

@@ -1,10 +1,10 @@
-"""The registered queries of the ten operators and of the pipeline."""
+"""The registered queries of the operators and of the pipeline."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quirefold.llm import decontam, langid, lm, neardup, packing, quality, sharding, suffixes, tokenfiles, toxicity
+from quirefold.llm import decontam, divergence, langid, lm, neardup, neighbours, packing, quality, resampling, sharding, suffixes, tokenfiles, toxicity
 from quirefold.llm.common import held_out, scratch
 from quirefold.llm.oracles import ORACLES as ORACLES
 
@@ -74,6 +74,18 @@ def op10_packing(spark, d):
     return packing.pack(_table(spark, d, "documents"), _tokenizer(), end_id=1)
 
 
+def op11_resampling(spark, d):
+    return resampling.resample(_table(spark, d, "documents"), _table(spark, d, "benchmark")).drop("n_words")
+
+
+def op12_neighbours(spark, d):
+    return neighbours.search(_table(spark, d, "embeddings"))
+
+
+def op13_divergence(spark, d):
+    return divergence.audit(_table(spark, d, "documents"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_token_files": op2_token_files,
@@ -85,5 +97,8 @@ QUERIES = {
     "op8_lm": op8_lm,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_packing": op10_packing,
+    "op11_resampling": op11_resampling,
+    "op12_neighbours": op12_neighbours,
+    "op13_divergence": op13_divergence,
     "pipeline": corpus_pipeline.run,
 }
