@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,12 +49,12 @@ def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
         def close():
             t = pa.concat_tables(parts)
-            order = pa.compute.sort_indices(t, sort_keys=[("doc_id", "ascending")], null_placement="at_start")
+            order = pc.sort_indices(t, sort_keys=[("doc_id", "ascending")], null_placement="at_start")
             return batch(kinds, [[number], [len(t)], [_pack(t.take(order).combine_chunks())]])
 
         for b in batches:
             t = pa.Table.from_batches([b])
-            sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(b["raw"]), 0))
+            sizes = np.asarray(pc.fill_null(pc.binary_length(b["raw"]), 0))
             lo = 0
             for i, n in enumerate(sizes.tolist()):
                 size += n + 16
