@@ -154,14 +154,14 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) * (p - q) // q
 
 
-def compare(t: pa.Table) -> pa.Table:
+def compare(t: pa.Table, block_groups: int, top: int) -> pa.Table:
     """One chunk for one pair of blocks of groups: sums for all pairs of theirs, and each group's best terms."""
     kinds = pa.schema([("lang", pa.string()), ("source", pa.string()), ("item", pa.string()), ("value", pa.int64()), ("pair", pa.bool_())])
     lang, i, j = (t[c][0].as_py() for c in ("lang", "i", "j"))
     own = pc.is_null(t["source"])
     head, rest = t.filter(own), t.filter(pc.invert(own)).sort_by("number")
     terms = head["terms"][0].as_py() if len(head) else []
-    width, names, block = len(terms), rest["source"].to_pylist(), rest["number"].to_numpy() // BLOCK_GROUPS
+    width, names, block = len(terms), rest["source"].to_pylist(), rest["number"].to_numpy() // block_groups
     count = np.zeros((len(names), width), np.int64)
     for k, c in enumerate(rest["counts"].to_pylist()):
         if c is not None:
@@ -177,8 +177,8 @@ def compare(t: pa.Table) -> pa.Table:
         for a, name in enumerate(names):
             at = np.flatnonzero((count[a] > 0) & (p[a] > q))
             f = divergence(p[a][at], q[at])
-            top = np.lexsort((at, -f))[:TOP]
-            out += [(lang, name, terms[k], int(v), False) for k, v in zip(at[top].tolist(), f[top].tolist(), strict=True)]
+            best = np.lexsort((at, -f))[:top]
+            out += [(lang, name, terms[k], int(v), False) for k, v in zip(at[best].tolist(), f[best].tolist(), strict=True)]
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds) if out else kinds.empty_table()
 
 
@@ -218,7 +218,9 @@ def audit(docs: DataFrame) -> DataFrame:
     own = heads.join(sizes, "lang").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     own = own.withColumn("j", F.explode(F.sequence(F.col("i"), F.col("n_blocks") - 1)))
     own = own.select("lang", "chunk", "i", "j", none.cast("string").alias("source"), F.lit(-1).alias("number"), F.col("n_lang").alias("n_own"), "n_kept", "counts", "terms")
-    found = rows.unionByName(own).groupBy("lang", "chunk", "i", "j").applyInArrow(compare, "lang string, source string, item string, value long, pair boolean")
+    block_groups, top = BLOCK_GROUPS, TOP
+    run = lambda t: compare(t, block_groups, top)
+    found = rows.unionByName(own).groupBy("lang", "chunk", "i", "j").applyInArrow(run, "lang string, source string, item string, value long, pair boolean")
     found = stored(found, "divergences")
 
     best = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")

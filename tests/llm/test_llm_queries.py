@@ -26,12 +26,16 @@ def test_oracle(spark, name):
     a, b = QUERIES[name](spark, SF).toPandas(), con.sql(ORACLES[name]).df()
     cols = sorted(a.columns)
     assert cols == sorted(b.columns)
+    if name == "op11_resampling":  # an integer with nulls
+        a, b = (x.assign(rank=x["rank"].astype("Int64")) for x in (a, b))
     assert [a[c].dtype for c in cols] == [b[c].dtype for c in cols]
-    a, b = (x[cols].sort_values("doc_id", ignore_index=True) for x in (a, b))
+    keys = [k for k in ("doc_id", "query_id", "lang", "source", "part", "rank") if k in cols]
+    a, b = (x[cols].sort_values(keys, ignore_index=True) for x in (a, b))
     sums = [c for c in cols if a[c].dtype == float]  # of many logarithms, in any order
     pd.testing.assert_frame_equal(a[sums], b[sums], rtol=1e-12, atol=0)
     rest = [c for c in cols if c not in sums]
-    assert a[rest].values.tolist() == b[rest].values.tolist()
+    a, b = (x[rest].astype(object).where(x[rest].notna(), None) for x in (a, b))
+    assert a.values.tolist() == b.values.tolist()
 
 
 def test_held_out_accuracy(spark):
