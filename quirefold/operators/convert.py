@@ -2,7 +2,8 @@
 
 ``convert_native`` serves converters that are column expressions and stays in
 the JVM. ``convert_chunks`` runs a Python converter over the pages of one chunk
-at a time, with a soft time limit; OCR or layout models attach there.
+at a time; OCR or layout models attach there. Its time limit is soft (a signal, which native code doesn't notice)
+unless the converter is ``supervise.Supervised``. What goes wrong is a row's cause, not an exception of the job.
 """
 
 import signal
@@ -17,8 +18,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirefold.operators.attempts import reason
+
 MODES = ("fallback", "drop_chunk", "fail_fast")
-SCHEMA = "key string, start_page int, text string, meta string, hit_exception boolean, images map<string,binary>"
+SCHEMA = "key string, start_page int, text string, meta string, hit_exception boolean, images map<string,binary>, cause string"
 
 
 class Converter(Protocol):
@@ -113,49 +116,57 @@ def soft_limit(seconds: float | None) -> Iterator[None]:
         signal.signal(signal.SIGALRM, old)
 
 
+def limited(converter: Converter, pages: list[str], seconds: float | None) -> tuple[str, str | None, dict[str, bytes]]:
+    """The converter's result within the limit: its own, if it keeps one, else a signal's."""
+    if hasattr(converter, "within"):
+        return converter.within(pages, seconds)
+    with soft_limit(seconds):
+        return converter(pages)
+
+
 def convert_one(
     bodies: list[str], start: int, converter: Converter, mode: str, chunk_seconds: float | None, page_seconds: float | None
-) -> tuple[str | None, str | None, bool, dict[str, bytes]]:
-    """The fallback ladder of one chunk; None as text: the chunk is dropped."""
+) -> tuple[str | None, str | None, bool, dict[str, bytes], str | None]:
+    """The fallback ladder of one chunk: text, metadata, whether the chunk failed, images, and why. None as text: the
+    chunk is dropped."""
     try:
-        with soft_limit(chunk_seconds):
-            text, meta, images = converter(bodies)
-        return text, meta, False, {f"pg_{start + 1}_{k}": v for k, v in images.items()}
-    except Exception:
+        text, meta, images = limited(converter, bodies, chunk_seconds)
+        return text, meta, False, {f"pg_{start + 1}_{k}": v for k, v in images.items()}, None
+    except Exception as e:
         if mode == "fail_fast":
             raise
+        causes = [reason(e)]
         if mode == "drop_chunk":
-            return None, None, True, {}
+            return None, None, True, {}, causes[0]
     parts, kept = [], {}
     for i, body in enumerate(bodies, start):
         try:
-            with soft_limit(page_seconds):
-                text, _, images = converter([body])
+            text, _, images = limited(converter, [body], page_seconds)
             kept |= {f"pg_{i + 1}_{k}": v for k, v in images.items()}
-        except Exception:  # noqa: BLE001  a page that fails is kept as raw text
+        except Exception as e:  # noqa: BLE001  a page that fails is kept as raw text
+            causes.append(f"page {i + 1}: {reason(e)}")
             text = f"\n\n<!-- PyPDF Fallback: Page {i + 1} -->\n\n{body or ''}"
         parts.append(text)
-    return "\n\n".join(parts), None, True, kept
+    return "\n\n".join(parts), None, True, kept, "; ".join(causes)
 
 
 def convert_chunks(
-    pages: DataFrame, converter: Converter, size: int, mode: str = "fallback",
-    chunk_seconds: float | None = 1800, page_seconds: float | None = 240,
+    pages: DataFrame, converter: Converter, size: int | None, mode: str = "fallback",
+    chunk_seconds: float | None = 1800, page_seconds: float | None = 240, keep_failed: bool = False,
 ) -> DataFrame:
-    """pages: (key, page_no, body) → one row per chunk. A group is one chunk, so a
-    task holds at most ``size`` pages at a time; a lost task converts its chunks anew."""
+    """pages: (key, page_no, body) → one row per chunk. A group is one chunk, so a task holds the pages of one at a time; a lost
+    task converts its chunks anew. Without ``size`` the pages have a ``start_page`` already, that of their chunk. With
+    ``keep_failed`` a dropped chunk is a row too, of null text and its cause."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
 
     def run(chunk: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("page_no")
-        text, meta, hit, images = convert_one(
-            list(pdf["body"].fillna("")), int(chunk[1]), converter, mode, chunk_seconds, page_seconds
-        )
-        rows = [] if text is None else [(chunk[0], int(chunk[1]), text, meta, hit, images)]
-        return pd.DataFrame(rows, columns=["key", "start_page", "text", "meta", "hit_exception", "images"])
-
-    at = pages.select("key", "page_no", "body").withColumn(
-        "start_page", (F.col("page_no") - F.col("page_no") % size).cast("int")
-    )
+        got = convert_one(list(pdf["body"].fillna("")), int(chunk[1]), converter, mode, chunk_seconds, page_seconds)
+        rows = [(chunk[0], int(chunk[1]), *got)] if got[0] is not None or keep_failed else []
+        return pd.DataFrame(rows, columns=["key", "start_page", "text", "meta", "hit_exception", "images", "cause"])
+
+    at = pages.select("key", "page_no", "body", *(["start_page"] if size is None else []))
+    if size is not None:
+        at = at.withColumn("start_page", (F.col("page_no") - F.col("page_no") % size).cast("int"))
     return at.groupBy("key", "start_page").applyInPandas(run, SCHEMA)

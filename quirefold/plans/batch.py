@@ -1,65 +1,189 @@
-"""A whole batch: paths in, folders of text, metadata and images out, one status row an input."""
+"""A whole batch: paths in, published books out, one status row an input."""
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.functions import bib, names
-from quirefold.operators import assemble, checkpoint, chunking, convert
-from quirefold.sources import batch_list, form_feeds, named_files, prefix, sinks, split_pages
-from quirefold.sources.scratch import stored
+from quirefold.functions import bib, config, names
+from quirefold.operators import assemble, attempts, checkpoint, chunking, convert, intervals, memo
+from quirefold.sources import INFO, form_feeds, identity, publish, sinks, split_pages
+from quirefold.sources.scratch import discard, stored
+from quirefold.sources.store import exists
 
+#: Tasks that conversion is dealt to at most; each commits its own chunks.
+MOST_TASKS = 10_000
+SOURCES = "key string, n_pages int, title string, author string, created string, cause string, run string"
 
-def named_books(texts: DataFrame) -> DataFrame:
-    """texts (key, raw_input, input_ord, md, …) with ``folder``, ``bib`` and ``tier`` by the text rules."""
-    head = prefix(texts, "md").withColumn("found", bib.text_info(F.col("head")))
-    none = F.lit("")
-    known = bib.cascade(head.withColumn("info", F.struct(*[none.alias(k) for k in bib.FIELDS])), "info", "found")
+
+class Ledger:
+    """The tables of a manifest folder beside its chunks. Names with an underscore are no part of the chunks' table."""
+
+    def __init__(self, path: str):
+        top = path.rstrip("/")
+        self.chunks, self.index, self.sources, self.attempts, self.replies = top, f"{top}/_inputs", f"{top}/_sources", f"{top}/_attempts", f"{top}/_replies"
+
+
+def known_sources(spark: SparkSession, ledger: Ledger) -> DataFrame:
+    """key, n_pages and document info of the contents that were split before."""
+    if not exists(spark, ledger.sources):
+        return spark.createDataFrame([], SOURCES)
+    return spark.read.schema(SOURCES).parquet(ledger.sources).dropDuplicates(["key"])
+
+
+def attempts_so_far(spark: SparkSession, ledger: Ledger) -> DataFrame:
+    return attempts.read(spark, ledger.attempts).unionByName(checkpoint.failed_attempts(spark, ledger.chunks))
+
+
+def split_due(spark: SparkSession, ledger: Ledger, found: DataFrame, splitter, info, size: int, tries: int, run: str) -> DataFrame:
+    """Splits the contents that have pages to convert, or were never split, and have tries left; their pages, stored."""
+    log, sources = attempts.read(spark, ledger.attempts), known_sources(spark, ledger)
+    keys = found.select(F.col("digest").alias("key"))
+    mine = sources.join(keys, "key", "left_semi")
+    open_ = plan(spark, ledger, mine, size, tries).select("key").distinct()
+    due = keys.join(mine.select("key"), "key", "left_anti").unionByName(open_)
+    due = attempts.with_tries_left(due, log, "split", tries)
+    files = identity.contents(spark, found.join(due, found["digest"] == due["key"], "left_semi"))
+    rows = stored(split_pages(files, splitter, info, "key"), "pages")
+    heads = rows.where("page_no = -1")
+    new = heads.where("n_pages is not null").join(sources.select("key"), "key", "left_anti")
+    new.select("key", "n_pages", *INFO, "cause", F.lit(run).alias("run")).write.mode("append").parquet(ledger.sources)
+    attempts.append(heads.select("key", F.col("n_pages").isNotNull().alias("ok"), "cause"), "split", run, ledger.attempts)
+    return rows
+
+
+def plan(spark: SparkSession, ledger: Ledger, books: DataFrame, size: int, tries: int) -> DataFrame:
+    """Chunks over the pages that no finished chunk of any size has, without those that failed too often."""
+    left = intervals.remaining(books, checkpoint.live_chunks(spark, ledger.chunks), "key", "n_pages", size)
+    return attempts.with_tries_left(left, checkpoint.failed_attempts(spark, ledger.chunks), "convert", tries)
+
+
+def convert_due(spark: SparkSession, ledger: Ledger, pages: DataFrame, planned: DataFrame, converter, mode: str, limits: tuple, run: str) -> None:
+    """Converts the planned chunks; each task commits what it has finished, failures with their cause too."""
+    n = planned.count()
+    due = pages.join(intervals.pages_of(planned, "key"), ["key", "page_no"]).repartition(max(1, min(n, MOST_TASKS)), "key", "start_page")
+    # a first failure that has to end the run is a row too: it is raised once it is in the log
+    how = "drop_chunk" if mode == "fail_fast" else mode
+    done = convert.convert_chunks(due.select("key", "page_no", "body", "start_page"), converter, None, how, *limits, keep_failed=True)
+    ends = planned.select("key", "start_page", "end_page", "chunk_tag")
+    checkpoint.commit(done.join(F.broadcast(ends) if n <= 100_000 else ends, ["key", "start_page"]), ledger.chunks, run)
+    if mode == "fail_fast":
+        bad = checkpoint.raw_manifest(spark, ledger.chunks).where((F.col("run") == run) & F.col("text").isNull()).select("key", "start_page", "cause").first()
+        if bad:
+            raise RuntimeError(f"the chunk at page {bad.start_page + 1} of {bad.key[:8]} failed: {bad.cause}")
+
+
+def named_books(heads: DataFrame, ask: Callable[[str], str] | None = None, replies: str = "", **asking) -> DataFrame:
+    """heads (key, raw_input, input_ord, head, title, author, created, …) with ``folder``, ``bib`` and ``tier``: document info, then
+    a reply if ``ask`` is given, then the text, then the file's name. Only books without descriptive info are asked about."""
+    info = bib.doc_info(F.col("title"), F.col("author"), F.expr("try_cast(created AS timestamp)"))
+    rows = heads.withColumn("info", info).withColumn("found", bib.text_info(F.col("head")))
+    if ask:
+        need = ~bib.descriptive(F.col("info.title"), F.col("info.author"))
+        rows = memo.with_replies(rows, need, "head", ask, replies, **asking).withColumn("reply", bib.reply_info(F.col("reply")))
+    known = bib.cascade(rows, "info", "found", "reply" if ask else None)
     b = F.col("bib")
     folder = names.output_name(b["title"], b["author"], b["year"], names.stem("raw_input"), bib.descriptive(b["title"], b["author"]))
-    return known.withColumn("folder", folder).drop("head", "found", "info")
+    return known.withColumn("folder", folder)
+
+
+def assembled(spark: SparkSession, ledger: Ledger, ranges: DataFrame) -> DataFrame:
+    """The chunks of the kept ranges, which make up the books, each once: key, start_page, end_page, text, meta, images."""
+    live = checkpoint.live_chunks(spark, ledger.chunks)
+    rows = live.join(ranges.withColumnRenamed("end_page", "_end"), ["key", "start_page"]).where(F.col("end_page") == F.col("_end"))
+    return rows.select("key", "start_page", "end_page", "text", "meta", "images").dropDuplicates(["key", "start_page"])
+
+
+def publish_books(spark: SparkSession, chunks: DataFrame, books: DataFrame, output: str, run: str) -> DataFrame:
+    """Writes the text, its index, the images and the rows of the books to a folder of the run, then switches to it. The
+    text goes from the chunks to its files range by range; no book is put together in one row."""
+    at = publish.version_path(output, run)
+    narrow = chunks.select("key", "start_page", F.octet_length(F.coalesce("text", F.lit(""))).alias("n_bytes"))
+    places = publish.with_offsets(narrow.join(books.select("key", "folder"), "key")).select("folder", "key", "start_page", "offset", "first", "n_bytes")
+    segments = places.drop("n_bytes").join(chunks.select("key", "start_page", "text"), ["key", "start_page"])
+    publish.write_text(segments, f"{at}/text").write.parquet(f"{at}/index")
+    pictures = checkpoint.image_rows(chunks).join(books.select("key", "folder"), "key")
+    sinks.write_images(pictures, f"{at}/images").write.parquet(f"{at}/image_files")
+    sizes = places.groupBy("folder").agg(F.max(F.col("offset") + F.col("n_bytes") + F.when(F.col("first"), 0).otherwise(len(assemble.PLAIN_BREAK))).cast("long").alias("n_bytes"))
+    rows = books.join(sizes, "folder").select("folder", "key", "metadata", "n_bytes", "n_chunks")
+    rows.write.parquet(f"{at}/books")
+    publish.switch(spark, output, run, rows)
+    publish.sweep_old(spark, output)
+    return rows
+
+
+def report(inputs: DataFrame, folders: DataFrame, problems: DataFrame, lacking: DataFrame, output: str, n: int) -> DataFrame:
+    """input_ord, raw_input, input_key, digest, status, detail, missing_pages, position. OK: the input's own content is published, and
+    ``detail`` says where; else ``detail`` is the cause."""
+    rows = inputs.join(folders, "input_ord", "left").join(problems.select(F.col("key").alias("digest"), F.col("cause").alias("_why")), "digest", "left")
+    rows = rows.join(lacking.select(F.col("key").alias("digest"), "missing_pages"), "digest", "left")
+    ok = F.col("folder").isNotNull()
+    detail = F.when(ok, names.destination(F.lit(output), "folder")).otherwise(F.coalesce("cause", "_why", F.lit("ValueError: it has no pages")))
+    return rows.select(
+        "input_ord", "raw_input", "input_key", "digest", F.when(ok, "OK").otherwise("FAILED").alias("status"), detail.alias("detail"),
+        F.when(ok, F.coalesce("missing_pages", F.lit(0))).alias("missing_pages"), F.concat("input_ord", F.lit(f"/{n}")).alias("position"),
+    )
 
 
 def convert_batch(
     spark: SparkSession, inputs: list[str], output: str, manifest: str, converter: convert.Converter,
     splitter: Callable[[bytes], list[str]] = form_feeds, size: int = chunking.CHUNK_SIZE, mode: str = "fallback",
+    info: Callable[[bytes], dict[str, str]] | None = None, ask: Callable[[str], str] | None = None, asking: Mapping[str, object] | None = None,
+    needs: Mapping[str, bool] | None = None, tries: int = attempts.TRIES, limits: tuple[float | None, float | None] = (1800, 240), purge: bool = False,
 ) -> DataFrame:
-    """Converts what the manifest doesn't have yet, then writes every book of the batch.
+    """Converts what isn't converted yet and publishes the books of the batch, see ``publish``; the result is that of ``report``.
+
+    An input is what it holds: files of one name and other bytes are two books (the later one's folder ends in its digest), a
+    file with new bytes is converted anew, and files of equal bytes are converted once and named each. Chunks of
+    any size that the manifest has for a content stay; only pages that none has are planned, ``size`` at a
+    time. Failures of the splitter, of a chunk that is dropped and of replies are rows of the log with their cause. What has
+    failed ``tries`` times isn't tried again with these pages. A run that stops is run again with the same manifest:
+    what its tasks had finished stays.
 
-    ``output/books`` has one folder partition a book (the last input of one name wins), with
-    text and metadata JSON; ``output`` has ``folder/images`` files where there are images. A path that
-    doesn't exist or can't be split has no pages and is FAILED in the result of
-    ``sinks.batch_results``. A run that stops is run again with the same manifest: finished chunks
-    stay. Of inputs with one key the first is read and the last names the book. The manifest is kept; ``checkpoint.purge`` removes it.
+    ``needs`` names capabilities (a GPU, a model) and whether they are there; if one isn't, nothing begins. ``info`` gives a
+    file's title, author and created; ``ask`` gets the beginning of a book without such info and returns a
+    JSON reply, once for each beginning (``asking``: see ``memo.with_replies``). ``limits`` are the seconds of a chunk and
+    of a page. With ``purge`` the manifest forgets the published books' chunks. In mode ``fail_fast`` a
+    failed chunk ends the run before anything is published.
     """
-    batch = batch_list(spark, inputs)
-    pages = split_pages(named_files(spark, inputs), splitter)
-    owner = batch.groupBy(F.col("input_key").alias("key")).agg(F.min_by("raw_input", "input_ord").alias("raw_input"))
-    pages = stored(pages.join(owner, "raw_input").select("key", "page_no", "body"), "pages")
-    counts = pages.groupBy("key").agg((F.max("page_no") + 1).alias("n_pages"))
-    planned = chunking.plan_chunks(counts, "n_pages", size)
-    todo = chunking.pending(planned, checkpoint.read_manifest(spark, manifest), ["key", "chunk_tag"])
-    start = (F.col("page_no") - F.col("page_no") % size).cast("int")
-    due = pages.withColumn("start_page", start).join(todo.select("key", "start_page"), ["key", "start_page"], "left_semi")
-    done = convert.convert_chunks(due.select("key", "page_no", "body"), converter, size, mode)
-    checkpoint.commit(done.join(planned.select("key", "start_page", "chunk_tag"), ["key", "start_page"]), manifest)
-
-    chunks = checkpoint.read_manifest(spark, manifest).join(planned.select("key", "chunk_tag"), ["key", "chunk_tag"], "left_semi")
-    texts = chunks.groupBy("key").agg(
-        assemble.ordered_concat(F.col("text"), F.col("start_page")).alias("md"),
-        assemble.first_metadata(F.col("meta"), F.col("start_page")).alias("meta"),
-        F.count("*").alias("n_chunks"),
+    config.require(**(needs or {}))
+    if mode not in convert.MODES:
+        raise ValueError(f"mode must be one of {convert.MODES}")
+    run, ledger = uuid.uuid4().hex, Ledger(manifest)
+    batch = stored(identity.identify(spark, inputs, ledger.index), "inputs")
+    found = identity.readers(batch)
+    pages = split_due(spark, ledger, found, splitter, info, size, tries, run)
+    keys = found.select(F.col("digest").alias("key"))
+    mine = known_sources(spark, ledger).join(keys, "key", "left_semi")
+    planned = stored(plan(spark, ledger, mine, size, tries).join(pages.select("key").distinct(), "key", "left_semi"), "planned")
+    convert_due(spark, ledger, pages.where("page_no >= 0"), planned, converter, mode, limits, run)
+
+    ranges = stored(intervals.kept_ranges(checkpoint.live_chunks(spark, ledger.chunks).join(keys, "key", "left_semi"), "key"), "ranges")
+    chunks = assembled(spark, ledger, ranges)
+    sizes = ranges.groupBy("key").agg(F.count("*").alias("n_chunks"), F.sum(F.col("end_page") - F.col("start_page")).alias("_have"))
+    place = F.col("start_page")
+    tops = chunks.groupBy("key").agg(assemble.first_metadata(F.col("meta"), place).alias("meta"), F.min_by(memo.prompt_of(F.col("text")), place).alias("head"))
+    heads = sizes.join(tops, "key").join(mine.drop("cause", "run"), "key")
+    heads = batch.select(F.col("digest").alias("key"), "raw_input", "input_ord").join(heads, "key")
+    heads = stored(heads, "heads") if ask else heads  # the prompts are read several times
+    books = named_books(heads, ask, ledger.replies, **(asking or {}))
+    text_of = lambda c: F.to_json(F.col(c))
+    meta = sinks.metadata_json(
+        total_pages_processed=F.col("n_pages"), n_chunks=F.col("n_chunks"), naming=F.col("tier"), parsed_info=text_of("bib"), source_info=text_of("info"), source_meta=F.col("meta")
     )
-    last = batch.groupBy(F.col("input_key").alias("key")).agg(F.max_by(F.struct("raw_input", "input_ord"), "input_ord").alias("i"))
-    books = named_books(texts.join(last, "key").join(counts, "key").select("*", "i.raw_input", "i.input_ord").drop("i"))
-    info = F.to_json(F.col("bib"))
-    meta = sinks.metadata_json(total_pages_processed=F.col("n_pages"), n_chunks=F.col("n_chunks"), naming=F.col("tier"), parsed_info=info, source_meta=F.col("meta"))
-    rows = sinks.last_wins(books.select("folder", "key", "input_ord", "md", meta.alias("metadata")), "folder", "input_ord")
-    rows = stored(rows, "books")
-    sinks.write_by_folder(rows, f"{output.rstrip('/')}/books", "folder")
-    pictures = checkpoint.image_rows(chunks).join(rows.select("key", "folder"), "key")
-    written = sinks.write_images(pictures, output)
-    written.write.format("noop").mode("overwrite").save()
-    have = chunks.select(F.col("key").alias("input_key")).distinct()
-    return sinks.batch_results(batch, have, "input_key")
+    wanted = stored(books.select("folder", "key", "input_ord", "n_chunks", meta.alias("metadata")), "wanted")
+    rows = stored(identity.own_folders(wanted, "folder", "key", "input_ord"), "books")
+    publish_books(spark, chunks, rows, output, run)
+
+    # an input's folder is the one that its content got among those of its wish
+    own = wanted.select("input_ord", "key", F.col("folder").alias("_wish"))
+    got = rows.select("key", "folder")
+    folders = own.join(got, "key").where((F.col("folder") == F.col("_wish")) | (F.col("folder") == F.concat("_wish", F.lit("_"), F.substring("key", 1, 8)))).select("input_ord", "folder")
+    problems = attempts.last_cause(attempts_so_far(spark, ledger).join(keys, "key", "left_semi"))
+    lacking = sizes.join(mine.select("key", "n_pages"), "key").select("key", (F.col("n_pages") - F.col("_have")).cast("int").alias("missing_pages"))
+    result = stored(report(batch, folders, problems, lacking, output, len(inputs)), "report")
+    if purge:
+        checkpoint.forget(spark, rows.select("key"), ledger.chunks)
+    discard(pages, planned, ranges, wanted, rows, batch, *([heads] if ask else []))
+    return result

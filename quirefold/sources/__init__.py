@@ -82,22 +82,41 @@ def named_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     return rows.join(F.broadcast(given), "_path").select("raw_input", "content")
 
 
-def split_pages(files: DataFrame, splitter: Callable[[bytes], list[str]]) -> DataFrame:
-    """raw_input, content → raw_input, page_no, body. ``splitter`` knows the format and is called once a
-    file; a file that it fails on has no pages and so no result, and the others go on."""
-    kinds = pa.schema([("raw_input", pa.string()), ("page_no", pa.int32()), ("body", pa.string())])
+INFO = ("title", "author", "created")
+
+
+def split_pages(
+    files: DataFrame, splitter: Callable[[bytes], list[str]], info: Callable[[bytes], dict[str, str]] | None = None, key: str = "raw_input"
+) -> DataFrame:
+    """key, content → key, page_no, body, then for page -1, which each file has: n_pages, title, author, created, cause.
+
+    ``splitter`` knows the format and is called once a file, and so is ``info``, which reads what a file says of itself. A file
+    that the splitter fails on has no pages and the exception's text as its cause, and the others go on. One that
+    only ``info`` fails on has its pages, blank information and the cause."""
+    kinds = pa.schema([(key, pa.string()), ("page_no", pa.int32()), ("body", pa.string()), ("n_pages", pa.int32()), *[(c, pa.string()) for c in INFO], ("cause", pa.string())])
+    step = 1000
+
+    def rows(name, content):
+        pages, found, cause = None, {}, None
+        try:
+            pages = list(splitter(content))
+            found = info(content) if info else {}
+        except Exception as e:  # noqa: BLE001  one unreadable file doesn't sink the batch
+            cause = f"{type(e).__name__}: {e}"
+        n = None if pages is None else len(pages)
+        yield [[name], [-1], [None], [n], *[[found.get(c)] for c in INFO], [cause]]
+        for lo in range(0, n or 0, step):
+            part = pages[lo : lo + step]
+            none = [None] * len(part)
+            yield [[name] * len(part), list(range(lo, lo + len(part))), part, *[none] * 5]
 
     def run(batches):
         for b in batches:
-            for name, content in zip(b["raw_input"].to_pylist(), b["content"].to_pylist(), strict=True):
-                try:
-                    pages = list(splitter(content or b""))
-                except Exception:  # noqa: BLE001  one unreadable file doesn't sink the batch
-                    continue
-                cols = [[name] * len(pages), list(range(len(pages))), pages]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, kinds, strict=True)], schema=kinds)
+            for name, content in zip(b[key].to_pylist(), b["content"].to_pylist(), strict=True):
+                for cols in rows(name, content or b""):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, kinds, strict=True)], schema=kinds)
 
-    return files.select("raw_input", "content").mapInArrow(run, "raw_input string, page_no int, body string")
+    return files.select(key, "content").mapInArrow(run, f"{key} string, page_no int, body string, n_pages int, title string, author string, created string, cause string")
 
 
 def form_feeds(content: bytes) -> list[str]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quirefold.functions import bib, config, names
 from quirefold.operators import assemble, checkpoint, chunking, convert, decisions, router
 from quirefold.plans.batch import convert_batch
-from quirefold.sources import batch_list, files, numbered_folders, repositories, sinks, text_pages, zip_members
+from quirefold.sources import batch_list, files, numbered_folders, publish, repositories, sinks, text_pages, zip_members
 
 SF = "/root/testdata/sf0.001"
 
@@ -252,9 +252,9 @@ def test_batch_from_paths_to_report(spark, tmp_path):
         report = convert_batch(spark, inputs, out, man, convert.Setup(factory, {"tag": "|"}), splitter, 2).orderBy("input_ord").collect()
         assert [r.status for r in report] == ["OK", "FAILED", "OK", "FAILED", "OK"]
         assert spark.read.parquet(man).count() == 3
-    books = {r.folder: r.md for r in spark.read.parquet(f"{out}/books").collect()}
+    books = {r.folder: b"".join(publish.read_text(spark, out, r.folder)).decode() for r in publish.books(spark, out).collect()}
     assert books == {"Lee_Title_One_1990": "# Title One\n\u00a9 1990 by Ann Lee\n\n\n\n<!-- PyPDF Fallback: Page 2 -->\n\nbad\n\np3", "c": "plain"}
-    assert sorted(str(p.relative_to(out)) for p in (tmp_path / "out").rglob("*.png")) == ["Lee_Title_One_1990/images/pg_3_i.png"]
+    assert sorted(str(p.relative_to(out)) for p in (tmp_path / "out").rglob("*.png")) == [f"versions/{spark.read.parquet(f'{out}/pointers/2').first().version}/images/Lee_Title_One_1990/images/pg_3_i.png"]
 
 
 def test_converter_is_set_up_once_a_worker(spark):
