@@ -99,6 +99,18 @@ TREE = " UNION ALL ".join(
     ]
 )
 
+INPUTS = f"""files AS (SELECT doc_id AS input_ord, path, {input_key("path")} AS input_key, sha256(coalesce(text, '')) AS digest
+  FROM (SELECT *, source || '/book ' || doc_id % 50 || '.txt' AS path FROM documents))"""
+BAD = """bad AS (SELECT DISTINCT doc_id, (page_no - page_no % 5)::INT AS start_page FROM pages_ WHERE length(body) > 400)"""
+LOG = """log AS (SELECT doc_id, start_page, unnest(range(0, (doc_id + start_page // 5) % 5 + 1)) AS i FROM bad),
+  fails AS (SELECT doc_id, start_page, count(*) FILTER (i <> 2 OR doc_id % 3 <> 0) AS n_failed, max(i) AS i
+    FROM log SEMI JOIN (SELECT doc_id, start_page, max(i) FILTER (i = 2 AND doc_id % 3 = 0) AS good FROM log GROUP BY ALL) g
+      ON g.doc_id = log.doc_id AND g.start_page = log.start_page AND (good IS NULL OR i > good) GROUP BY ALL)"""
+BEFORE = BOOKS + """, b AS (SELECT * FROM books SEMI JOIN labels USING (doc_id)),
+  threes AS (SELECT doc_id, s::INT AS start_page, least(s + 3, n_pages)::INT AS end_page FROM (SELECT *, unnest(range(3, n_pages, 6)) AS s FROM b)),
+  seven AS (SELECT doc_id, 0 AS start_page, least(7, n_pages)::INT AS end_page FROM b WHERE doc_id % 2 = 0 AND n_pages > 0),
+  kept AS (SELECT * FROM seven UNION ALL SELECT * FROM threes ANTI JOIN seven ON threes.doc_id = seven.doc_id AND threes.start_page < seven.end_page)"""
+
 ORACLES = {
     "chunk_plan": f"WITH {PLAN} SELECT * FROM plan",
     "chunk_size_pinning": "SELECT d.doc_id, (CASE WHEN l.doc_id IS NULL THEN 5 ELSE 3 END)::INT AS chunk_size, l.doc_id IS NOT NULL AS pinned FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
@@ -179,5 +191,19 @@ ORACLES = {
         SELECT request, r.page_id, wanted, coalesce(chapter_no, -1)::BIGINT AS chapter_no, title FROM r LEFT JOIN h ON r.page_id = h.page_id AND (chapter_no::VARCHAR = w OR (w <> '' AND contains(lower(title), w)))""",
     "extractors": f"""WITH {PAGES}, b AS (SELECT doc_id, page_no, CASE WHEN length(body) > 900 THEN substring(body, 2) ELSE body END AS body FROM pages_ WHERE body <> '')
         SELECT a.doc_id, a.page_no::BIGINT AS page_no, a.body IS NOT DISTINCT FROM b.body AS same FROM pages_ a LEFT JOIN b USING (doc_id, page_no)""",
+    "content_identity": f"""WITH {INPUTS}, r AS (SELECT digest, min(input_ord) AS read_as FROM files GROUP BY digest),
+        f AS (SELECT *, row_number() OVER (PARTITION BY input_key ORDER BY o) AS k FROM (SELECT input_key, digest, min(input_ord) AS o FROM files GROUP BY ALL))
+        SELECT input_ord, path, files.digest, read_as, files.input_key || CASE WHEN k > 1 THEN '_' || files.digest[1:8] ELSE '' END AS folder
+        FROM files JOIN r USING (digest) JOIN f ON f.input_key = files.input_key AND f.digest = files.digest""",
+    "attempts_left": f"""WITH {PAGES}, {PLAN}, {BAD}, {LOG} SELECT plan.doc_id, plan.start_page, end_page, coalesce(n_failed, 0)::INT AS n_failed, 'ValueError: try ' || i AS cause
+        FROM plan LEFT JOIN fails USING (doc_id, start_page) WHERE coalesce(n_failed, 0) < 3""",
+    "uncovered_ranges": f"""WITH {BEFORE}, page AS (SELECT doc_id, unnest(range(0, n_pages))::INT AS p FROM books),
+        free AS (SELECT page.doc_id, p FROM page ANTI JOIN kept ON page.doc_id = kept.doc_id AND p >= start_page AND p < end_page),
+        stretch AS (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM free),
+        cut AS (SELECT doc_id, p, (p - min(p) OVER (PARTITION BY doc_id, g)) // 5 AS k, g FROM stretch)
+        SELECT doc_id, min(p)::INT AS start_page, (max(p) + 1)::INT AS end_page, printf('%05d_%05d', min(p), max(p) + 1) AS chunk_tag FROM cut GROUP BY doc_id, g, k""",
+    "covered_ranges": f"WITH {BEFORE} SELECT doc_id, start_page::INT AS start_page, end_page FROM kept",
+    "segment_offsets": f"""WITH {CONVERTED}, s AS (SELECT doc_id, start_page, strlen(text) AS n_bytes, row_number() OVER w AS k FROM conv WINDOW w AS (PARTITION BY doc_id ORDER BY start_page))
+        SELECT doc_id, start_page, n_bytes::BIGINT AS n_bytes, (coalesce(sum(n_bytes + CASE WHEN k > 1 THEN 2 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start_page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS at_byte, k = 1 AS opens FROM s""",
     "formula_links": "SELECT doc_id, unnest([0, 1])::BIGINT AS pos, './formulas/math_page_' || (doc_id + unnest([0, 1])) || '.png' AS link FROM documents",
 }

@@ -4,9 +4,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.functions import bib, config, names
-from quirefold.operators import assemble, checkpoint, chunking, convert, decisions, router
+from quirefold.operators import assemble, attempts, checkpoint, chunking, convert, decisions, intervals, router
 from quirefold.plans import inline
-from quirefold.sources import numbered_folders, prefix, sinks, text_pages
+from quirefold.sources import identity, numbered_folders, prefix, publish, sinks, text_pages
 
 SIZE = 5
 #: Simulated failure: a longer page breaks its chunk, a much longer one itself too.
@@ -376,6 +376,70 @@ def formula_links(spark, d):
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "link")
 
 
+def _inputs(spark, d):
+    """Documents as files: a folder a source, fifty names, so that names and contents meet."""
+    path = F.concat_ws("/", "source", F.concat(F.lit("book "), (F.col("doc_id") % 50).cast("string"), F.lit(".txt")))
+    return _table(spark, d, "documents").select(
+        F.col("doc_id").alias("input_ord"), path.alias("path"), names.input_key(path).alias("input_key"), identity.digest(F.coalesce("text", F.lit("")).cast("binary")).alias("digest")
+    )
+
+
+def content_identity(spark, d):
+    """Each input with the one that is read for it and the folder that its content gets."""
+    rows = _inputs(spark, d)
+    read = identity.readers(rows).select("digest", F.col("input_ord").alias("read_as"))
+    own = identity.own_folders(rows.select(F.col("input_key").alias("folder"), F.col("digest").alias("key"), "input_ord"), "folder", "key", "input_ord")
+    own = own.select(F.col("folder"), F.col("key").alias("digest"), F.regexp_replace("folder", "_[0-9a-f]{8}$", "").alias("input_key"))
+    return rows.join(read, "digest").join(own, ["digest", "input_key"]).select("input_ord", "path", "digest", "read_as", "folder")
+
+
+def _log(spark, d):
+    """Chunks with a line that is too long fail, as often as the document's number and their place say; every third is mended."""
+    plan = _plan(spark, d).withColumn("key", F.col("doc_id").cast("string"))
+    bad = _pages(spark, d).where(F.length("body") > BREAKS_CHUNK).select("doc_id", (F.col("page_no") - F.col("page_no") % SIZE).cast("int").alias("start_page")).distinct()
+    n = (F.col("doc_id") + F.col("start_page") / SIZE).cast("long") % 5
+    tries = F.explode(F.sequence(F.lit(0).cast("long"), n)).alias("i")
+    rows = plan.join(bad, ["doc_id", "start_page"]).select("key", "start_page", "end_page", "doc_id", tries)
+    ok = (F.col("i") == 2) & (F.col("doc_id") % 3 == 0)
+    return rows.select(
+        "key", F.lit("convert").alias("stage"), "start_page", "end_page", ok.alias("ok"),
+        F.when(~ok, F.concat(F.lit("ValueError: try "), F.col("i").cast("string"))).alias("cause"), F.lit("r").alias("run"), F.col("i").cast("double").alias("at"),
+    )
+
+
+def attempts_left(spark, d):
+    """Planned chunks that haven't failed three times since they last succeeded, with their failures."""
+    log = _log(spark, d)
+    plan = _plan(spark, d).withColumn("key", F.col("doc_id").cast("string"))
+    left = attempts.with_tries_left(plan, log, "convert").join(attempts.failures(log).select("key", "start_page", "end_page", "n_failed", "cause"), ["key", "start_page", "end_page"], "left")
+    return left.select("doc_id", "start_page", "end_page", F.coalesce("n_failed", F.lit(0)).alias("n_failed"), "cause")
+
+
+def _converted_before(spark, d):
+    """Of labelled documents every other chunk of three pages is done, of even ones the first of seven too, which overlaps."""
+    books = _books(spark, d).join(_labels(spark, d).select("doc_id").distinct(), "doc_id", "left_semi")
+    threes = chunking.plan_chunks(books, "n_pages", 3).where(F.col("start_page") % 6 == 3)
+    sevens = chunking.plan_chunks(books.where("doc_id % 2 = 0"), "n_pages", 7).where("start_page = 0")
+    return threes.unionByName(sevens).select("doc_id", "start_page", "end_page")
+
+
+def uncovered_ranges(spark, d):
+    """Chunks of five pages over what earlier runs of other sizes have left."""
+    return intervals.remaining(_books(spark, d), _converted_before(spark, d), "doc_id", "n_pages", SIZE)
+
+
+def covered_ranges(spark, d):
+    """The earlier chunks that make up the books so far: where two overlap the first counts, of those the longest."""
+    return intervals.kept_ranges(_converted_before(spark, d), "doc_id")
+
+
+def segment_offsets(spark, d):
+    """Where each converted chunk begins in its book's bytes, blank lines between chunks counted."""
+    chunks = _converted(spark, d).select(F.col("doc_id").alias("folder"), "start_page", F.octet_length("text").cast("long").alias("n_bytes"))
+    out = publish.with_offsets(chunks)
+    return out.select(F.col("folder").alias("doc_id"), "start_page", "n_bytes", F.col("offset").alias("at_byte"), F.col("first").alias("opens"))
+
+
 NAMES = [
     chunk_plan, chunk_size_pinning, pending_documents, pending_chunks, resume_equivalence, convert_tiers, fallback_text,
     drop_mode, assemble_documents, assemble_conversations, flatten_break_join, first_metadata, sanitize_titles, input_keys,
@@ -384,5 +448,6 @@ NAMES = [
     setup_decision, sync_diff, ignored_paths, long_document_router, first_n_pages, toc_scan, text_layer, outline, chapters,
     mounts, small_texts, manifest_metadata, image_rows, document_heads, run_configs, doc_infos, duration_texts, book_metadata,
     scopes, chapter_manifest, chapter_requests, extractors, formula_links,
+    content_identity, attempts_left, uncovered_ranges, covered_ranges, segment_offsets,
 ]
 QUERIES = {f.__name__: f for f in NAMES}
