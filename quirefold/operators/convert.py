@@ -43,10 +43,13 @@ class Setup:
     options: dict[str, object] = field(default_factory=dict)
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
-    def __call__(self, pages: list[str]) -> tuple[str, str | None, dict[str, bytes]]:
+    def ready(self) -> Converter:
         if self.name not in _ready:
             _ready[self.name] = self.factory(**self.options)
-        return _ready[self.name](pages)
+        return _ready[self.name]
+
+    def __call__(self, pages: list[str]) -> tuple[str, str | None, dict[str, bytes]]:
+        return self.ready()(pages)
 
 
 def fallback_text(page_no: Column, raw: Column) -> Column:
