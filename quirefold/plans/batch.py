@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import bib, config, names
 from quirefold.operators import assemble, attempts, checkpoint, chunking, convert, intervals, memo
-from quirefold.sources import INFO, form_feeds, identity, publish, sinks, split_pages
+from quirefold.sources import INFO, form_feeds, identity, page_ranges, publish, sinks, split_pages
 from quirefold.sources.scratch import discard, stored
 from quirefold.sources.store import exists
 
@@ -22,7 +22,8 @@ class Ledger:
 
     def __init__(self, path: str):
         top = path.rstrip("/")
-        self.chunks, self.index, self.sources, self.attempts, self.replies = top, f"{top}/_inputs", f"{top}/_sources", f"{top}/_attempts", f"{top}/_replies"
+        self.chunks, self.index, self.sources, self.pages = top, f"{top}/_inputs", f"{top}/_sources", f"{top}/_pages"
+        self.attempts, self.replies = f"{top}/_attempts", f"{top}/_replies"
 
 
 def known_sources(spark: SparkSession, ledger: Ledger) -> DataFrame:
@@ -36,33 +37,51 @@ def attempts_so_far(spark: SparkSession, ledger: Ledger) -> DataFrame:
     return attempts.read(spark, ledger.attempts).unionByName(checkpoint.failed_attempts(spark, ledger.chunks))
 
 
-def split_due(spark: SparkSession, ledger: Ledger, found: DataFrame, splitter, info, size: int, tries: int, run: str) -> DataFrame:
-    """Splits the contents that have pages to convert, or were never split, and have tries left; their pages, stored."""
-    log, sources = attempts.read(spark, ledger.attempts), known_sources(spark, ledger)
+def unread(spark: SparkSession, ledger: Ledger, found: DataFrame, size: int, tries: int) -> DataFrame:
+    """The contents that have pages to convert, or were never split, and have tries left."""
     keys = found.select(F.col("digest").alias("key"))
-    mine = sources.join(keys, "key", "left_semi")
+    mine = known_sources(spark, ledger).join(keys, "key", "left_semi")
     open_ = plan(spark, ledger, mine, size, tries).select("key").distinct()
     due = keys.join(mine.select("key"), "key", "left_anti").unionByName(open_)
-    due = attempts.with_tries_left(due, log, "split", tries)
+    return attempts.with_tries_left(due, attempts.read(spark, ledger.attempts), "split", tries)
+
+
+def split_due(spark: SparkSession, ledger: Ledger, found: DataFrame, due: DataFrame, splitter, info, run: str) -> DataFrame:
+    """Splits the due contents, each read whole; their pages, stored."""
     files = identity.contents(spark, found.join(due, found["digest"] == due["key"], "left_semi"))
     rows = stored(split_pages(files, splitter, info, "key"), "pages")
     heads = rows.where("page_no = -1")
-    new = heads.where("n_pages is not null").join(sources.select("key"), "key", "left_anti")
+    new = heads.where("n_pages is not null").join(known_sources(spark, ledger).select("key"), "key", "left_anti")
     new.select("key", "n_pages", *INFO, "cause", F.lit(run).alias("run")).write.mode("append").parquet(ledger.sources)
     attempts.append(heads.select("key", F.col("n_pages").isNotNull().alias("ok"), "cause"), "split", run, ledger.attempts)
     return rows
 
 
+def page_index(spark: SparkSession, ledger: Ledger) -> DataFrame:
+    return spark.read.schema(page_ranges.INDEX).parquet(ledger.pages) if exists(spark, ledger.pages) else spark.createDataFrame([], page_ranges.INDEX)
+
+
+def index_due(spark: SparkSession, ledger: Ledger, found: DataFrame, due: DataFrame, run: str) -> DataFrame:
+    """Finds the page starts of due contents that have none yet; the index with the contents' present paths. Pages are read
+    later, and only those that are planned."""
+    places = stored(identity.located(spark, found), "places")
+    new = places.join(due, "key", "left_semi").join(known_sources(spark, ledger).select("key"), "key", "left_anti")
+    page_ranges.index(new).write.mode("append").parquet(ledger.pages)
+    counts = page_ranges.page_counts(page_index(spark, ledger)).join(new.select("key"), "key", "left_semi")
+    counts.select("key", "n_pages", *[F.lit(None).cast("string").alias(c) for c in (*INFO, "cause")], F.lit(run).alias("run")).write.mode("append").parquet(ledger.sources)
+    return page_index(spark, ledger).dropDuplicates(["key", "first_page"]).drop("path").join(places.select("key", "path"), "key")
+
+
 def plan(spark: SparkSession, ledger: Ledger, books: DataFrame, size: int, tries: int) -> DataFrame:
     """Chunks over the pages that no finished chunk of any size has, without those that failed too often."""
     left = intervals.remaining(books, checkpoint.live_chunks(spark, ledger.chunks), "key", "n_pages", size)
     return attempts.with_tries_left(left, checkpoint.failed_attempts(spark, ledger.chunks), "convert", tries)
 
 
-def convert_due(spark: SparkSession, ledger: Ledger, pages: DataFrame, planned: DataFrame, converter, mode: str, limits: tuple, run: str) -> None:
-    """Converts the planned chunks; each task commits what it has finished, failures with their cause too."""
-    n = planned.count()
-    due = pages.join(intervals.pages_of(planned, "key"), ["key", "page_no"]).repartition(max(1, min(n, MOST_TASKS)), "key", "start_page")
+def convert_due(spark: SparkSession, ledger: Ledger, due: DataFrame, planned: DataFrame, n: int, converter, mode: str, limits: tuple, run: str) -> None:
+    """Converts n planned chunks from their pages (key, page_no, body, start_page); each task commits what it has finished, failures
+    with their cause too."""
+    due = due.repartition(max(1, min(n, MOST_TASKS)), "key", "start_page")
     # a first failure that has to end the run is a row too: it is raised once it is in the log
     how = "drop_chunk" if mode == "fail_fast" else mode
     done = convert.convert_chunks(due.select("key", "page_no", "body", "start_page"), converter, None, how, *limits, keep_failed=True)
@@ -141,6 +160,9 @@ def convert_batch(
     failed ``tries`` times isn't tried again with these pages. A run that stops is run again with the same manifest:
     what its tasks had finished stays.
 
+    Text files whose pages end at form feeds, in a store that tasks reach, are indexed once and then only their due pages are
+    read; files of other kinds go through ``splitter`` whole.
+
     ``needs`` names capabilities (a GPU, a model) and whether they are there; if one isn't, nothing begins. ``info`` gives a
     file's title, author and created; ``ask`` gets the beginning of a book without such info and returns a
     JSON reply, once for each beginning (``asking``: see ``memo.with_replies``). ``limits`` are the seconds of a chunk and
@@ -153,18 +175,26 @@ def convert_batch(
     run, ledger = uuid.uuid4().hex, Ledger(manifest)
     batch = stored(identity.identify(spark, inputs, ledger.index), "inputs")
     found = identity.readers(batch)
-    pages = split_due(spark, ledger, found, splitter, info, size, tries, run)
     keys = found.select(F.col("digest").alias("key"))
-    mine = known_sources(spark, ledger).join(keys, "key", "left_semi")
-    planned = stored(plan(spark, ledger, mine, size, tries).join(pages.select("key").distinct(), "key", "left_semi"), "planned")
-    convert_due(spark, ledger, pages.where("page_no >= 0"), planned, converter, mode, limits, run)
+    due = stored(unread(spark, ledger, found, size, tries), "due")
+    mine = lambda: known_sources(spark, ledger).join(keys, "key", "left_semi")
+    if splitter is form_feeds and info is None and all(map(page_ranges.reachable, inputs)):
+        index = index_due(spark, ledger, found, due, run)
+        planned = stored(plan(spark, ledger, mine(), size, tries), "planned")
+        pages = page_ranges.read(index, planned)
+    else:
+        split = split_due(spark, ledger, found, due, splitter, info, run)
+        planned = stored(plan(spark, ledger, mine(), size, tries).join(split.select("key").distinct(), "key", "left_semi"), "planned")
+        pages = split.join(intervals.pages_of(planned, "key"), ["key", "page_no"])
+    pages = pages.select("key", "page_no", "body", "start_page")
+    convert_due(spark, ledger, pages, planned, planned.count(), converter, mode, limits, run)
 
     ranges = stored(intervals.kept_ranges(checkpoint.live_chunks(spark, ledger.chunks).join(keys, "key", "left_semi"), "key"), "ranges")
     chunks = assembled(spark, ledger, ranges)
     sizes = ranges.groupBy("key").agg(F.count("*").alias("n_chunks"), F.sum(F.col("end_page") - F.col("start_page")).alias("_have"))
     place = F.col("start_page")
     tops = chunks.groupBy("key").agg(assemble.first_metadata(F.col("meta"), place).alias("meta"), F.min_by(memo.prompt_of(F.col("text")), place).alias("head"))
-    heads = sizes.join(tops, "key").join(mine.drop("cause", "run"), "key")
+    heads = sizes.join(tops, "key").join(mine().drop("cause", "run"), "key")
     heads = batch.select(F.col("digest").alias("key"), "raw_input", "input_ord").join(heads, "key")
     heads = stored(heads, "heads") if ask else heads  # the prompts are read several times
     books = named_books(heads, ask, ledger.replies, **(asking or {}))
@@ -181,9 +211,9 @@ def convert_batch(
     got = rows.select("key", "folder")
     folders = own.join(got, "key").where((F.col("folder") == F.col("_wish")) | (F.col("folder") == F.concat("_wish", F.lit("_"), F.substring("key", 1, 8)))).select("input_ord", "folder")
     problems = attempts.last_cause(attempts_so_far(spark, ledger).join(keys, "key", "left_semi"))
-    lacking = sizes.join(mine.select("key", "n_pages"), "key").select("key", (F.col("n_pages") - F.col("_have")).cast("int").alias("missing_pages"))
+    lacking = sizes.join(mine().select("key", "n_pages"), "key").select("key", (F.col("n_pages") - F.col("_have")).cast("int").alias("missing_pages"))
     result = stored(report(batch, folders, problems, lacking, output, len(inputs)), "report")
     if purge:
         checkpoint.forget(spark, rows.select("key"), ledger.chunks)
-    discard(pages, planned, ranges, wanted, rows, batch, *([heads] if ask else []))
+    discard(due, planned, ranges, wanted, rows, batch, *([heads] if ask else []))
     return result

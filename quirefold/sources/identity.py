@@ -77,6 +77,16 @@ def contents(spark: SparkSession, found: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(found.select("path", F.col("digest").alias("key"))), "path").where(digest("content") == F.col("key")).select("key", "content")
 
 
+def located(spark: SparkSession, found: DataFrame) -> DataFrame:
+    """key, path (with its scheme), length of ``readers``; no bytes are read."""
+    names = {r.path: _qualified(spark, r.path) for r in found.select("path").distinct().collect()}  # of the batch's own list
+    if not names:
+        return spark.createDataFrame([], "key string, path string, length long")
+    full = spark.createDataFrame(list(names.items()), "path string, _full string")
+    rows = _binary(spark, sorted(names.values())).select("path", "length").join(full, "path")
+    return rows.join(found.select("path", F.col("digest").alias("key")), "path").select("key", F.col("_full").alias("path"), "length")
+
+
 def own_folders(books: DataFrame, folder: str, key: str, order: str) -> DataFrame:
     """books (folder, key, order, …): where several contents want one folder the first keeps it; the names of the others end in
     the first eight digits of their key. Rows of one folder and content become one, the last input's."""

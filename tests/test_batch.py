@@ -268,3 +268,20 @@ def test_what_ended_tasks_have_converted_stays(spark, at):
     first = [p.name[0] for p in calls.iterdir() if p.name != "mended"]
     assert sum(x != "9" for x in first) < 18  # most of the nine only once
     assert books(spark, at.out) == {"book": "\n\n".join("0123456789")}
+
+
+def test_a_resumed_file_is_read_by_range(spark, at, monkeypatch):
+    """A long file, half of which is converted: the second run reads the due pages alone."""
+    inputs = [at.file("book.txt", "\f".join(f"page {i}" for i in range(400)))]
+    key = identity.identify(spark, inputs, str(at.top / "index")).first().digest
+    half = spark.createDataFrame([(key, 0, "00000_00390", "first", 390)], "key string, start_page int, chunk_tag string, text string, end_page int")
+    plans.checkpoint.commit(half, at.man)
+    read = []
+    whole = plans.page_ranges.read
+    monkeypatch.setattr(plans.page_ranges, "read", lambda index, planned: read.append(whole(index, planned)) or read[0])
+    assert run(spark, at, inputs) == [("OK", "book")]
+    assert books(spark, at.out) == {"book": "first\n\n" + "|".join(f"PAGE {i}" for i in range(390, 400))}
+    monkeypatch.setattr(plans.page_ranges, "read", whole)
+    index = plans.page_index(spark, plans.Ledger(at.man)).withColumn("path", F.lit(inputs[0]))
+    again = whole(index, spark.createDataFrame([(key, 390, 400)], "key string, start_page int, end_page int"))
+    assert again.agg(F.sum("n_bytes")).first()[0] == len("\f".join(f"page {i}" for i in range(390, 400)))
