@@ -162,8 +162,8 @@ ORACLES = {
     "long_document_router": f"WITH {BOOKS} SELECT doc_id, n_pages, CASE WHEN n_pages <= 30 THEN 'direct' WHEN doc_id % 2 = 0 THEN 'chapter_file' ELSE 'page_blocks' END AS route FROM books",
     "first_n_pages": f"WITH {PAGES} SELECT doc_id, page_no::BIGINT AS page_no, body FROM pages_ WHERE page_no < 3",
     "toc_scan": f"WITH {PAGES} SELECT doc_id, page_no::BIGINT AS page_no FROM pages_ WHERE page_no < 30 AND regexp_matches(body, '(?i)the the|of the|und der')",
-    "text_layer": f"""WITH {PAGES} SELECT doc_id, bool_or(length(trim(body)) > 0) AS searchable, (min(page_no) FILTER (length(trim(body)) > 0))::BIGINT AS first_text_page,
-        arg_min(substring(trim(body), 1, 200), page_no) FILTER (length(trim(body)) > 0) AS sample FROM pages_ GROUP BY doc_id""",
+    "text_layer": f"""WITH {PAGES}, s AS (SELECT doc_id, page_no, {strip('body')} AS t FROM pages_) SELECT doc_id, bool_or(t <> '') AS searchable,
+        (min(page_no) FILTER (t <> ''))::BIGINT AS first_text_page, arg_min(substring(t, 1, 200), page_no) FILTER (t <> '') AS sample FROM s GROUP BY doc_id""",
     "outline": f"SELECT page_id, unnest([0, 1])::BIGINT AS pos, unnest([1, 3])::BIGINT AS level, unnest([{H1}, 'Part ' || page_id]) AS title FROM pages",
     "chapters": f"""WITH {PAGES}, c AS (SELECT doc_id, sum(starts_with(body, 'T')::INT) OVER (PARTITION BY doc_id ORDER BY page_no) AS chapter_no FROM pages_)
         SELECT doc_id, chapter_no::BIGINT AS chapter_no, count(*) AS n_pages FROM c GROUP BY ALL""",
@@ -205,5 +205,21 @@ ORACLES = {
     "covered_ranges": f"WITH {BEFORE} SELECT doc_id, start_page::INT AS start_page, end_page FROM kept",
     "segment_offsets": f"""WITH {CONVERTED}, s AS (SELECT doc_id, start_page, strlen(text) AS n_bytes, row_number() OVER w AS k FROM conv WINDOW w AS (PARTITION BY doc_id ORDER BY start_page))
         SELECT doc_id, start_page, n_bytes::BIGINT AS n_bytes, (coalesce(sum(n_bytes + CASE WHEN k > 1 THEN 2 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start_page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS at_byte, k = 1 AS opens FROM s""",
+    "sync_three_way": """WITH s AS (SELECT doc_id, doc_id % 3 AS b, doc_id // 3 % 3 AS l, doc_id // 9 % 3 AS r, quality = 1 AS good, sha256(coalesce(text, '')) AS o,
+          sha256(coalesce(text, '') || 'l') AS x, sha256(coalesce(text, '') || CASE WHEN quality = 1 THEN 'l' ELSE 'r' END) AS y FROM documents LEFT JOIN labels USING (doc_id) WHERE doc_id % 27 <> 0),
+        t AS (SELECT *, CASE l WHEN 0 THEN CASE r WHEN 0 THEN CASE WHEN b = 1 THEN 'record' ELSE 'none' END
+              WHEN 1 THEN CASE WHEN b = 0 THEN 'copy_left' ELSE 'delete_right' END ELSE CASE WHEN b = 1 THEN 'conflict' ELSE 'copy_left' END END
+            WHEN 1 THEN CASE r WHEN 0 THEN CASE WHEN b = 0 THEN 'copy_right' ELSE 'delete_left' END WHEN 1 THEN CASE WHEN b = 1 THEN 'none' ELSE 'record' END
+              ELSE CASE WHEN b = 0 THEN 'conflict' ELSE 'copy_left' END END
+            ELSE CASE r WHEN 0 THEN CASE WHEN b = 1 THEN 'conflict' ELSE 'copy_right' END WHEN 1 THEN CASE WHEN b = 0 THEN 'conflict' ELSE 'copy_right' END
+              ELSE CASE WHEN good THEN 'record' ELSE 'conflict' END END END AS action FROM s)
+        SELECT doc_id, action, CASE WHEN action IN ('none', 'conflict', 'delete_left', 'delete_right') THEN CASE WHEN b > 0 THEN o END
+          WHEN action = 'copy_left' THEN CASE r WHEN 1 THEN o ELSE y END WHEN l = 0 THEN o WHEN l = 1 THEN o ELSE x END AS digest,
+          CASE WHEN action IN ('none', 'conflict') THEN b = 2 ELSE action IN ('delete_left', 'delete_right') OR (l = 0 AND r = 0) END AS deleted FROM t""",
+    "title_lookup": f"""WITH p AS (SELECT page_id, {H1} AS h FROM pages), t AS (SELECT DISTINCT lower({strip('h')}) AS title FROM p),
+        a AS (SELECT page_id, upper(CASE page_id // 20 % 3 WHEN 0 THEN h[1:2] || h[4:] WHEN 1 THEN h[1:3] || h[3:] ELSE h[1:1] || '#' || h[3:] END) AS wanted FROM p WHERE page_id % 20 = 0),
+        w AS (SELECT *, lower({strip('wanted')}) AS w FROM a),
+        d AS (SELECT page_id, wanted, title, levenshtein(w, title)::INT AS distance FROM w JOIN t ON title <> '' AND levenshtein(w, title) <= least(length(w) // 4, 3))
+        SELECT *, (row_number() OVER (PARTITION BY page_id ORDER BY distance, title))::INT AS rank FROM d QUALIFY rank <= 3""",
     "formula_links": "SELECT doc_id, unnest([0, 1])::BIGINT AS pos, './formulas/math_page_' || (doc_id + unnest([0, 1])) || '.png' AS link FROM documents",
 }

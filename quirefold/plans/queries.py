@@ -440,6 +440,29 @@ def segment_offsets(spark, d):
     return out.select(F.col("folder").alias("doc_id"), "start_page", "n_bytes", F.col("offset").alias("at_byte"), F.col("first").alias("opens"))
 
 
+def sync_three_way(spark, d):
+    """Snapshot, left and right side of documents: absent, as recorded or changed, in all 27 combinations; changes of labelled
+    documents of good quality are the same on both sides."""
+    rows = _table(spark, d, "documents").select("doc_id", "text").join(_labels(spark, d), "doc_id", "left")
+    old = identity.digest(F.coalesce("text", F.lit("")).cast("binary"))
+    other = lambda tag: identity.digest(F.concat(F.coalesce("text", F.lit("")), tag).cast("binary"))
+    place = lambda n: F.floor(F.col("doc_id") / n) % 3
+    base = rows.where(place(1) > 0).select("doc_id", old.alias("digest"), (place(1) == 2).alias("deleted"))
+    left = rows.where(place(3) > 0).select("doc_id", F.when(place(3) == 1, old).otherwise(other(F.lit("l"))).alias("digest"))
+    right = rows.where(place(9) > 0).select("doc_id", F.when(place(9) == 1, old).otherwise(other(F.when(F.col("quality") == 1, "l").otherwise("r"))).alias("digest"))
+    return decisions.sync_three_way(base, left, right, "doc_id")
+
+
+def title_lookup(spark, d):
+    """Each twentieth page asks for its title with one letter gone, one doubled or one changed."""
+    pages = _table(spark, d, "pages").select("page_id", _h1().alias("h"))
+    at = lambda a, n=1 << 20: F.substring(F.col("h"), a, n)
+    kind = F.floor(F.col("page_id") / 20) % 3
+    wanted = F.when(kind == 0, F.concat(at(1, 2), at(4))).when(kind == 1, F.concat(at(1, 3), at(3))).otherwise(F.concat(at(1, 1), F.lit("#"), at(3)))
+    asked = pages.where("page_id % 20 = 0").select("page_id", F.upper(wanted).alias("wanted"))
+    return router.nearest_titles(asked, pages, "wanted", "h")
+
+
 NAMES = [
     chunk_plan, chunk_size_pinning, pending_documents, pending_chunks, resume_equivalence, convert_tiers, fallback_text,
     drop_mode, assemble_documents, assemble_conversations, flatten_break_join, first_metadata, sanitize_titles, input_keys,
@@ -448,6 +471,6 @@ NAMES = [
     setup_decision, sync_diff, ignored_paths, long_document_router, first_n_pages, toc_scan, text_layer, outline, chapters,
     mounts, small_texts, manifest_metadata, image_rows, document_heads, run_configs, doc_infos, duration_texts, book_metadata,
     scopes, chapter_manifest, chapter_requests, extractors, formula_links,
-    content_identity, attempts_left, uncovered_ranges, covered_ranges, segment_offsets,
+    content_identity, attempts_left, uncovered_ranges, covered_ranges, segment_offsets, sync_three_way, title_lookup,
 ]
 QUERIES = {f.__name__: f for f in NAMES}
