@@ -1,99 +1,128 @@
-"""Small inline tables, for Spark and as SQL VALUES."""
+"""Patterns of texts, dealt to the documents: row k of a list goes to the documents whose id leaves k, filled with their values.
 
-from pyspark.sql import DataFrame, SparkSession
+``{i}`` is the document's id, ``{s}`` its source, ``{l}`` its language, ``{y}`` a year by its id, ``{w}`` the first word of three or more
+ASCII letters in its text, capitalised (Nn if there is none).
+"""
 
-COPYRIGHT_LINES = ("id int, md string", [
-    (1, "© 1999 by Ana María Lopez\nnext"), (2, "©2004 by A B C D E"), (3, "© 1988 by Émile Zola"),
-    (4, "Copyright 1976"), (5, "copyright 1975"), (6, "Copyright (c) 1974 x"), (7, "no year"),
-    (8, "© 20 by X"), (9, "x © 1971\nCopyright 1970"), (10, "© 2001 by Tom\nSawyer Jones"), (11, ""),
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+COPYRIGHT_LINES = ("md string", [
+    ("© {y} by {w} María Lopez\nnext",), ("©{y} by {w} B C D E",), ("© {y} by Émile {w}",),
+    ("Copyright {y}",), ("copyright {y}",), ("Copyright (c) {y} {s}",), ("no year {w}",),
+    ("© 20 by {w}",), ("x © {y}\nCopyright 1970",), ("© {y} by Tom\n{w} Jones",), ("",),
 ])
-INFOS = ("id int, title string, author string", [
-    (1, "A", ""), (2, "", "LaTeX"), (3, " ", " Writer "), (4, "", "Jane Roe"), (5, "", ""), (6, "T", "unknown"),
-    (7, "\t", "pdfTeX"), (8, "", "texlive x"),
+INFOS = ("title string, author string", [
+    ("{w}", ""), ("", "LaTeX"), (" ", " Writer "), ("", "Jane {w}"), ("", ""), ("{s}", "unknown"),
+    ("\t", "pdfTeX"), ("", "texlive {l}"),
 ])
-BOOKS = ("id int, file string, title string, author string, year string, md string, reply string", [
-    (1, "dir/a b.pdf", "Real Title", "", "2001", "# Other\n", '{"title":"R","author":"S","year":"1"}'),
-    (2, "b.pdf", "", "LaTeX", "2002", "# From *Text*\n© 1990 by Ann Lee", "{}"),
-    (3, "c.pdf", "", "", "", "# Text\n", '{"title":"Reply","author":"Lee, Ann","year":"1999"}'),
-    (4, "d.x.pdf", "", "", "", "nothing", "not json"),
-    (5, "e.pdf", "", "", "", "## Only <b>Title</b>\n", '{"title":5,"author":"unknown","year":"1980"}'),
-    (6, "f.pdf", "", "Ann Lee and Bo Ray", "", "", ""),
-    (7, "(-).pdf", "", "tex", "2003", "", "[1]"), (8, "g.pdf", "T", ", Ann", "", "", ""), (9, "h.pdf", "U", " and Bo", "", "", ""),
+BOOKS = ("file string, title string, author string, year string, md string, reply string", [
+    ("dir/{s} b.pdf", "Real {w}", "", "{y}", "# Other\n", '{"title":"{w}","author":"S","year":"1"}'),
+    ("{s}.pdf", "", "LaTeX", "{y}", "# From *{w}*\n© 1990 by Ann {w}", "{}"),
+    ("c{i}.pdf", "", "", "", "# Text {w}\n", '{"title":"Reply {s}","author":"{w}, Ann","year":"{y}"}'),
+    ("d.{s}.pdf", "", "", "", "nothing {w}", "not json"),
+    ("e{i}.pdf", "", "", "", "## Only <b>{w}</b>\n", '{"title":5,"author":"unknown","year":"{y}"}'),
+    ("f.pdf", "", "Ann {w} and Bo Ray", "", "", ""),
+    ("(-).pdf", "", "tex", "{y}", "", "[1]"), ("g{i}.pdf", "{w}", ", Ann", "", "", ""), ("h.pdf", "{s}", " and {w}", "", "", ""),
 ])
 REPOS = ("repo_path string, local_hash string, remote_hash string", [
-    ("a", "1", "1"), ("b", "1", "2"), ("c", "1", ""), ("d", "3", "2"),
+    ("{s}/{i}", "{y}", "{y}"), ("{s}/{i}", "{y}", "{w}"), ("{s}/{i}", "{w}", ""), ("{s}/{i}", "{l}", "{s}"),
 ])
 FILES = ("path string, policy string, there boolean", [
-    (".gitignore", "absent", True), (".env", "absent", False), ("readme.md", "always", True), ("docs.md", "always", False),
+    ("{s}/{i}/.gitignore", "absent", True), ("{s}/{i}/.env", "absent", False), ("{s}/{i}/readme.md", "always", True), ("{s}/{i}/docs.md", "always", False),
 ])
-SETUPS = ("id int, marker string, checks string", [
-    (1, None, "1111111"), (2, "setup_version=6\nat=x", "1111111"), (3, "setup_version=7\nat=x", "1111111"),
-    (4, "setup_version=7", "1101111"), (5, "at=x", "1111111"), (6, "", "1111111"),
+SETUPS = ("marker string, checks string", [
+    (None, "1111111"), ("setup_version=6\nat={s}", "1111111"), ("setup_version=7\nat={s}", "1111111"),
+    ("setup_version=7", "1101111"), ("at={y}", "1111111"), ("", "1111111"), ("setup_version={y}", "1111111"),
 ])
 PATHS = ("path string", [
-    ("base/personal-website/a.html",), ("base/readme.md",), ("x/run.log",), (".env",), ("a/.DS_Store",),
-    ("base/research/scripts/a.py",), ("base/research/journal-articles/p.pdf",), ("src/.envrc",),
+    ("base/personal-website/{s}.html",), ("base/{s}/readme.md",), ("{l}/{s}.log",), (".env",), ("{s}/.DS_Store",),
+    ("base/research/scripts/{w}.py",), ("base/research/journal-articles/{i}.pdf",), ("src/.envrc{i}",),
 ])
 MOUNTS = ("spec string", [
-    ("./:/workspace:rw",), ("./research:/workspace/research:ro",), ("a:b",),
+    ("./{s}:/workspace/{l}:rw",), ("./research:/workspace/research/{i}:ro",), ("{s}:{w}",),
 ])
-TEXTS = ("id int, t string", [
-    (1, "gs://b/My File (1).v2.pdf"), (2, "dir/.hidden"), (3, "---"), (4, "Server says: No URLs Matched here"),
-    (5, "created session 'ab12cd' now"), (6, "id deadbeef and 123abc"), (7, "us-central1-a"), (8, "out//"), (9, ""),
-    (10, "a b\tc- d.txt"), (11, "/x/Café – Übung.pdf"),
+TEXTS = ("t string", [
+    ("gs://b/My File ({i}).v2.pdf",), ("dir/.{s}",), ("---",), ("Server says: No URLs Matched {w}",),
+    ("created session '{i}' now",), ("id {y}{y} and 123abc",), ("us-{s}-a",), ("{l}//",), ("",),
+    ("{w} b\tc- d.txt",), ("/{l}/Café – Übung {i}.pdf",),
 ])
-METAS = ("id int, meta string", [
-    (1, '{"a":1}'), (2, "[1]"), (3, '"x"'), (4, "oops"), (5, "{}"), (6, None),
+METAS = ("meta string", [
+    ('{"a":{i}}',), ("[{i}]",), ('"{w}"',), ("oops {s}",), ("{}",), (None,),
 ])
 
-CONFIGS = ("id int, config string", [
-    (1, '{"chunk_size": 50}'), (2, "[1]"), (3, "oops"), (4, None), (5, '{"chunk_size": "15", "x": 1}'), (6, "{}"), (7, '{"chunk_size": "many"}'),
-])
-CREATED = ("id int, title string, author string, created string", [
-    (1, "\tT ", None, "2001-02-03"), (2, None, " A\n", "not a date"), (3, "T", "A", None), (4, "", "", "1999-12-31"),
+CONFIGS = ("config string", [
+    ('{"chunk_size": {y}}',), ("[{i}]",), ("oops {w}",), (None,), ('{"chunk_size": "{i}", "x": 1}',), ("{}",), ('{"chunk_size": "{w}"}',),
 ])
-SCOPES = ("id int, scopes string", [
-    (1, "https://x/auth/cloud-platform"), (2, "devstorage.read_only,logging.write"), (3, None), (4, ""), (5, "a;cloud-platform.read-only"),
+CREATED = ("title string, author string, created string", [
+    ("\t{w} ", None, "{y}-02-03"), (None, " {s}\n", "not a date"), ("{w}", "{s}", None), ("", "", "{y}-12-31"),
 ])
-REQUESTS = ("request int, page_id int, wanted string", [
-    (1, 3, "2"), (2, 3, "PART 3"), (3, 4, "no such thing"), (4, 5, "part"), (5, 6, ""), (6, 7, "1"), (7, 999999, "1"),
+SCOPES = ("scopes string", [
+    ("https://{s}/auth/cloud-platform",), ("devstorage.read_only,logging.{w}",), (None,), ("",), ("{s};cloud-platform.read-only",),
 ])
+#: What a page is asked for, by its id; the last of these asks a page that isn't there.
+REQUESTS = ["2", "PART {i}", "no such thing", "part", "", "1", "1"]
 
 #: The folder that the ignored prefixes stand below.
 BASE = "base"
 
-#: Folders of a workspace.
+#: Folders of a workspace, and those below a folder for each course.
 SINGLE_DIRS = [
     "academic-hub/02-academic-notes-code/scripts", "research/journal-articles", "research/scripts",
     "research/independent-research/notes",
 ]
-COURSES = ["econ-101", "env-101", "math-camp"]
-DIR_PRODUCTS = [
-    ("academic-hub/01-resources", COURSES, ["briefings", "google-docs", "nebo-exports", "lecture-recordings", "lecture-slides", "textbooks-and-papers"]),
-    ("academic-hub/02-academic-notes-code", COURSES, ["latex", "markdown"]),
-    ("research/independent-research", ["projects"], ["ai-trading-bot", "neural-net-sim"]),
+COURSE_DIRS = [
+    ("academic-hub/01-resources", ["briefings", "google-docs", "nebo-exports", "lecture-recordings", "lecture-slides", "textbooks-and-papers"]),
+    ("academic-hub/02-academic-notes-code", ["latex", "markdown"]),
 ]
+PROJECTS = "research/independent-research/projects"
+
+KINDS = {"int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
-def frame(spark: SparkSession, table: tuple) -> DataFrame:
+def _columns(schema: str) -> list[list[str]]:
+    return [c.split() for c in schema.split(", ")]
+
+
+def dealt(docs: DataFrame, table: tuple) -> DataFrame:
+    """documents (doc_id, text, lang, source) → id and the columns of a pattern table."""
     schema, rows = table
-    return spark.createDataFrame(rows, schema)
+    word = F.regexp_extract(F.coalesce("text", F.lit("")), "[A-Za-z]{3,}", 0)
+    word = F.when(word == "", "Nn").otherwise(F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.expr("substring(_word, 2)"))))
+    base = docs.withColumn("_word", F.regexp_extract(F.coalesce("text", F.lit("")), "[A-Za-z]{3,}", 0)).withColumn("_word", word)
+    fill = {"{i}": F.col("doc_id").cast("string"), "{s}": F.col("source"), "{l}": F.col("lang"), "{y}": (1950 + F.col("doc_id") % 70).cast("string"), "{w}": F.col("_word")}
+    place = (F.col("doc_id") % len(rows) + 1).cast("int")
+
+    def column(k: int, name: str, kind: str):
+        out = F.element_at(F.array(*[F.lit(r[k]).cast(kind) for r in rows]), place)
+        if kind == "string":
+            for mark, value in fill.items():
+                out = F.replace(out, F.lit(mark), F.coalesce(value, F.lit("")))
+        return out.alias(name)
 
+    return base.select(F.col("doc_id").alias("id"), *[column(k, n, t) for k, (n, t) in enumerate(_columns(schema))])
 
-def values(table: tuple) -> str:
-    """The same rows as a derived table in ANSI SQL."""
+
+def literal(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool | int):
+        return str(v).upper()
+    text = "'" + v.replace("'", "''") + "'"
+    return text.replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '")
+
+
+def dealt_sql(table: tuple) -> str:
+    """The same as a derived table in SQL."""
     schema, rows = table
-    cols = [c.split() for c in schema.split(", ")]
-    kinds = {"int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN"}
-
-    def lit(v):
-        if v is None:
-            return "NULL"
-        if isinstance(v, bool | int):
-            return str(v).upper()
-        parts = "'" + v.replace("'", "''") + "'"
-        return parts.replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '")
-
-    body = ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
-    casts = ", ".join(f"CAST({n} AS {kinds[k]}) AS {n}" for n, k in cols)
-    return f"(SELECT {casts} FROM (VALUES {body}) AS v({', '.join(n for n, _ in cols)}))"
+    fill = {"{i}": "doc_id::VARCHAR", "{s}": "source", "{l}": "lang", "{y}": "(1950 + doc_id % 70)::VARCHAR", "{w}": "_word"}
+
+    def column(k: int, name: str, kind: str) -> str:
+        out = f"([{', '.join(literal(r[k]) for r in rows)}]::{KINDS[kind]}[])[doc_id % {len(rows)} + 1]"
+        if kind == "string":
+            for mark, value in fill.items():
+                out = f"replace({out}, '{mark}', coalesce({value}, ''))"
+        return f"{out} AS {name}"
+
+    word = "(SELECT *, CASE WHEN _w = '' THEN 'Nn' ELSE upper(_w[1:1]) || lower(_w[2:]) END AS _word FROM (SELECT *, regexp_extract(coalesce(text, ''), '[A-Za-z]{3,}') AS _w FROM documents))"
+    return f"(SELECT doc_id AS id, {', '.join(column(k, n, t) for k, (n, t) in enumerate(_columns(schema)))} FROM {word})"

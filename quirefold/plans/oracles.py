@@ -86,17 +86,14 @@ BATCH = """batch AS (SELECT page_id + 1 AS input_ord, url AS raw_input, CASE WHE
   (page_id + 1) || '/' || count(*) OVER () AS position
   FROM pages LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON page_id = l.doc_id)"""
 CASCADE = f"""rows_ AS (SELECT *, {heading('md')} AS tt, {author('md')} AS ta, {year('md')} AS ty,
-    CASE WHEN json_valid(reply) THEN reply END AS j FROM {inline.values(inline.BOOKS)}),
+    CASE WHEN json_valid(reply) THEN reply END AS j FROM {inline.dealt_sql(inline.BOOKS)}),
   r AS (SELECT *, {", ".join(f"CASE WHEN json_type(j, '$.{k}') = 'VARCHAR' THEN {strip(f"json_extract_string(j, '$.{k}')")} ELSE '' END AS r{k[0]}" for k in ("title", "author", "year"))} FROM rows_),
   c AS (SELECT *, {descriptive('title', 'author')} AS own, {descriptive('rt', 'ra')} AS by_reply FROM r),
   bib AS (SELECT id, file, CASE WHEN own THEN 'info' WHEN by_reply THEN 'reply' WHEN {descriptive('tt', 'ta')} THEN 'text' ELSE 'file' END AS tier,
     {", ".join(f"CASE WHEN own OR {strip(k)} <> '' THEN {k} WHEN by_reply THEN r{k[0]} ELSE t{k[0]} END AS {k}" for k in ("title", "author", "year"))} FROM c)"""
 TREE = " UNION ALL ".join(
-    ["SELECT unnest([" + ", ".join(map(q, inline.SINGLE_DIRS)) + "]) AS path"]
-    + [
-        f"SELECT {q(base)} || '/' || a || '/' || b AS path FROM (SELECT unnest([{', '.join(map(q, tops))}]) AS a), (SELECT unnest([{', '.join(map(q, kinds))}]) AS b)"
-        for base, tops, kinds in inline.DIR_PRODUCTS
-    ]
+    ["SELECT unnest([" + ", ".join(map(q, inline.SINGLE_DIRS)) + "]) AS path", f"SELECT {q(inline.PROJECTS + '/')} || source FROM (SELECT DISTINCT source FROM documents)"]
+    + [f"SELECT {q(base + '/')} || source || '/' || unnest([{', '.join(map(q, kinds))}]) FROM (SELECT DISTINCT source FROM documents)" for base, kinds in inline.COURSE_DIRS]
 )
 
 INPUTS = f"""files AS (SELECT doc_id AS input_ord, path, {input_key("path")} AS input_key, sha256(coalesce(text, '')) AS digest
@@ -132,8 +129,8 @@ ORACLES = {
     "sanitize_titles": f"SELECT page_id, {sanitize(H1)} AS name FROM pages",
     "input_keys": f"SELECT page_id, {input_key('p')} AS input_key, starts_with(url, 'gs://') AS is_object FROM (SELECT *, regexp_replace(url, '[?#].*$', '') AS p FROM pages)",
     "heading_title": f"""SELECT page_id, {heading("'intro' || chr(10) || chr(10) || '# <a id=''x''></a>*' || " + H1 + " || '*' || chr(10) || chr(10) || 'body'")} AS title FROM pages""",
-    "copyright_fields": f"SELECT id, {year('md')} AS year, {author('md')} AS author FROM {inline.values(inline.COPYRIGHT_LINES)}",
-    "descriptive_info": f"SELECT id, {descriptive('title', 'author')} AS descriptive FROM {inline.values(inline.INFOS)}",
+    "copyright_fields": f"SELECT id, {year('md')} AS year, {author('md')} AS author FROM {inline.dealt_sql(inline.COPYRIGHT_LINES)}",
+    "descriptive_info": f"SELECT id, {descriptive('title', 'author')} AS descriptive FROM {inline.dealt_sql(inline.INFOS)}",
     "bib_cascade": f"WITH {CASCADE} SELECT id, tier, title, author, year FROM bib",
     "output_names": f"""WITH {CASCADE} SELECT id, CASE WHEN {descriptive('title', 'author')}
         THEN {last_name('author')} || '_' || coalesce(nullif({sanitize('title')}, ''), {sanitize(stem('file'))}) || '_' || coalesce(nullif(year, ''), '0000')
@@ -151,14 +148,14 @@ ORACLES = {
         SELECT page_id, CASE WHEN p IS NULL THEN md ELSE list_reduce(list_prepend({{'o': '', 'w': md}}, p), lambda x, y: {{'o': '', 'w': replace(x.w, y.o, y.w)}}).w END AS md FROM md LEFT JOIN pairs USING (page_id)""",
     "image_names": f"WITH {PLAN} SELECT doc_id, 'pg_' || (start_page + 1) || '_fig.png' AS image FROM plan",
     "workspace_tree": TREE,
-    "repo_staleness": f"SELECT repo_path, local_hash <> remote_hash AND remote_hash <> '' AS stale FROM {inline.values(inline.REPOS)}",
-    "write_if_absent": f"SELECT path, policy, CASE WHEN NOT there THEN 'create' WHEN policy = 'always' THEN 'overwrite' ELSE 'keep' END AS action FROM {inline.values(inline.FILES)}",
+    "repo_staleness": f"SELECT repo_path, local_hash <> remote_hash AND remote_hash <> '' AS stale FROM {inline.dealt_sql(inline.REPOS)}",
+    "write_if_absent": f"SELECT path, policy, CASE WHEN NOT there THEN 'create' WHEN policy = 'always' THEN 'overwrite' ELSE 'keep' END AS action FROM {inline.dealt_sql(inline.FILES)}",
     "setup_decision": f"""SELECT id, CASE WHEN marker IS NULL THEN 'full' WHEN regexp_extract(marker, '(?m)^setup_version=(.*)$', 1) <> '7' THEN 'rebuild'
-        WHEN contains(checks, '0') THEN 'fatal' ELSE 'skip' END AS decision FROM {inline.values(inline.SETUPS)}""",
+        WHEN contains(checks, '0') THEN 'fatal' ELSE 'skip' END AS decision FROM {inline.dealt_sql(inline.SETUPS)}""",
     "sync_diff": """SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'only_left' WHEN d.doc_id IS NULL THEN 'only_right' ELSE 'both' END AS state
         FROM documents d FULL JOIN (SELECT DISTINCT doc_id + 500 AS doc_id FROM labels) l ON d.doc_id = l.doc_id""",
     "ignored_paths": f"""SELECT path, suffix(path, '.log') OR {" OR ".join(f"starts_with(path, {q(inline.BASE + '/' + p)})" for p in IGNORED_PREFIXES)}
-        OR list_has_any(string_split(path, '/'), [{", ".join(map(q, IGNORED_NAMES))}]) AS ignored, regexp_replace(path, '/[^/]+$', '') AS parent FROM {inline.values(inline.PATHS)}""",
+        OR list_has_any(string_split(path, '/'), [{", ".join(map(q, IGNORED_NAMES))}]) AS ignored, regexp_replace(path, '/[^/]+$', '') AS parent FROM {inline.dealt_sql(inline.PATHS)}""",
     "long_document_router": f"WITH {BOOKS} SELECT doc_id, n_pages, CASE WHEN n_pages <= 30 THEN 'direct' WHEN doc_id % 2 = 0 THEN 'chapter_file' ELSE 'page_blocks' END AS route FROM books",
     "first_n_pages": f"WITH {PAGES} SELECT doc_id, page_no::BIGINT AS page_no, body FROM pages_ WHERE page_no < 3",
     "toc_scan": f"WITH {PAGES} SELECT doc_id, page_no::BIGINT AS page_no FROM pages_ WHERE page_no < 30 AND regexp_matches(body, '(?i)the the|of the|und der')",
@@ -167,27 +164,29 @@ ORACLES = {
     "outline": f"SELECT page_id, unnest([0, 1])::BIGINT AS pos, unnest([1, 3])::BIGINT AS level, unnest([{H1}, 'Part ' || page_id]) AS title FROM pages",
     "chapters": f"""WITH {PAGES}, c AS (SELECT doc_id, sum(starts_with(body, 'T')::INT) OVER (PARTITION BY doc_id ORDER BY page_no) AS chapter_no FROM pages_)
         SELECT doc_id, chapter_no::BIGINT AS chapter_no, count(*) AS n_pages FROM c GROUP BY ALL""",
-    "mounts": f"SELECT spec, split_part(spec, ':', 1) AS host, split_part(spec, ':', 2) AS container, split_part(spec, ':', 3) AS mode FROM {inline.values(inline.MOUNTS)}",
+    "mounts": f"SELECT spec, split_part(spec, ':', 1) AS host, split_part(spec, ':', 2) AS container, split_part(spec, ':', 3) AS mode FROM {inline.dealt_sql(inline.MOUNTS)}",
     "small_texts": f"""SELECT id, {input_key('t')} AS input_key, {stem('t')} || '_extracted_cache' AS cache_dir,
         regexp_matches(lower(t), 'not found|no urls matched|no matches') AS nothing_to_replace, regexp_extract(t, 'session ''([a-f0-9]+)''', 1) AS session,
         regexp_extract(t, '([a-f0-9]{{6,8}})', 1) AS first_session, regexp_replace(t, '-[^-]*$', '') AS region, regexp_replace(t, '/+$', '') || '/f' AS destination
-        FROM {inline.values(inline.TEXTS)}""",
-    "manifest_metadata": f"SELECT id, CASE WHEN json_valid(meta) AND json_type(CASE WHEN json_valid(meta) THEN meta END) = 'OBJECT' THEN meta ELSE '{{}}' END AS meta FROM {inline.values(inline.METAS)}",
+        FROM {inline.dealt_sql(inline.TEXTS)}""",
+    "manifest_metadata": f"SELECT id, CASE WHEN json_valid(meta) AND json_type(CASE WHEN json_valid(meta) THEN meta END) = 'OBJECT' THEN meta ELSE '{{}}' END AS meta FROM {inline.dealt_sql(inline.METAS)}",
     "image_rows": f"""WITH {PLAN}, n AS (SELECT *, unnest(range(1, start_page // 5 % 3 + 1)) AS i FROM plan)
         SELECT doc_id, start_page, 'pg_' || (start_page + 1) || '_f' || i AS name, 11::INT AS n_bytes FROM n""",
     "document_heads": "SELECT doc_id, substring(text, 1, 6000) AS head FROM documents",
     "run_configs": f"""SELECT id, coalesce(TRY_CAST(CASE WHEN json_valid(config) THEN json_extract_string(CASE WHEN json_valid(config) THEN config END, '$.chunk_size') END AS INT), -1) AS chunk_size
-        FROM {inline.values(inline.CONFIGS)}""",
+        FROM {inline.dealt_sql(inline.CONFIGS)}""",
     "doc_infos": f"""SELECT id, {strip("coalesce(title, '')")} AS title, {strip("coalesce(author, '')")} AS author,
-        coalesce(year(TRY_CAST(created AS DATE))::VARCHAR, '') AS year FROM {inline.values(inline.CREATED)}""",
+        coalesce(year(TRY_CAST(created AS DATE))::VARCHAR, '') AS year FROM {inline.dealt_sql(inline.CREATED)}""",
     "duration_texts": "SELECT doc_id, printf('%dm %ds', n_chars // 60, n_chars % 60) AS took FROM documents",
     "book_metadata": "SELECT doc_id, to_json({'doc_id': doc_id, 'source': source, 'n_pages': len(string_split(text, chr(10)))})::VARCHAR AS meta FROM documents",
-    "scopes": f"SELECT id, contains(coalesce(scopes, ''), 'cloud-platform') AS allowed FROM {inline.values(inline.SCOPES)}",
+    "scopes": f"SELECT id, contains(coalesce(scopes, ''), 'cloud-platform') AS allowed FROM {inline.dealt_sql(inline.SCOPES)}",
     "chapter_manifest": f"""WITH {PAGES}, c AS (SELECT *, sum(starts_with(body, 'T')::INT) OVER (PARTITION BY doc_id ORDER BY page_no) AS chapter_no FROM pages_)
         SELECT doc_id, chapter_no::BIGINT AS chapter_no, min(page_no)::BIGINT AS first_page, max(page_no)::BIGINT AS last_page,
         regexp_replace(arg_min(body, page_no), '^#+ ', '') AS title, string_agg(body, chr(10) ORDER BY page_no) AS text FROM c GROUP BY doc_id, chapter_no""",
     "chapter_requests": f"""WITH h AS (SELECT page_id, unnest([1, 2])::BIGINT AS chapter_no, unnest([{H1}, 'Part ' || page_id]) AS title FROM pages),
-        r AS (SELECT *, lower(trim(wanted)) AS w FROM {inline.values(inline.REQUESTS)})
+        a AS (SELECT page_id AS request, (CASE WHEN page_id % 7 = 6 THEN -page_id - 1 ELSE page_id END)::INT AS page_id,
+          replace({inline.REQUESTS}[page_id % 7 + 1], '{{i}}', page_id::VARCHAR) AS wanted FROM pages),
+        r AS (SELECT *, lower(trim(wanted)) AS w FROM a)
         SELECT request, r.page_id, wanted, coalesce(chapter_no, -1)::BIGINT AS chapter_no, title FROM r LEFT JOIN h ON r.page_id = h.page_id AND (chapter_no::VARCHAR = w OR (w <> '' AND contains(lower(title), w)))""",
     "extractors": f"""WITH {PAGES}, b AS (SELECT doc_id, page_no, CASE WHEN length(body) > 900 THEN substring(body, 2) ELSE body END AS body FROM pages_ WHERE body <> '')
         SELECT a.doc_id, a.page_no::BIGINT AS page_no, a.body IS NOT DISTINCT FROM b.body AS same FROM pages_ a LEFT JOIN b USING (doc_id, page_no)""",

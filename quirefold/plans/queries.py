@@ -142,31 +142,31 @@ def heading_title(spark, d):
 
 
 def copyright_fields(spark, d):
-    lines = inline.frame(spark, inline.COPYRIGHT_LINES)
+    lines = inline.dealt(_table(spark, d, "documents"), inline.COPYRIGHT_LINES)
     c = bib.copyright_fields(F.col("md"))
     return lines.select("id", c["year"].alias("year"), c["author"].alias("author"))
 
 
 def descriptive_info(spark, d):
-    rows = inline.frame(spark, inline.INFOS)
+    rows = inline.dealt(_table(spark, d, "documents"), inline.INFOS)
     return rows.select("id", bib.descriptive(F.col("title"), F.col("author")).alias("descriptive"))
 
 
-def _cascade(spark):
-    rows = inline.frame(spark, inline.BOOKS)
+def _cascade(spark, d):
+    rows = inline.dealt(_table(spark, d, "documents"), inline.BOOKS)
     rows = rows.withColumn("info", F.struct("title", "author", "year"))
     rows = rows.withColumn("text_info", bib.text_info(F.col("md"))).withColumn("reply_info", bib.reply_info(F.col("reply")))
     return bib.cascade(rows, "info", "text_info", "reply_info")
 
 
 def bib_cascade(spark, d):
-    return _cascade(spark).select("id", "tier", F.col("bib.title").alias("title"), F.col("bib.author").alias("author"), F.col("bib.year").alias("year"))
+    return _cascade(spark, d).select("id", "tier", F.col("bib.title").alias("title"), F.col("bib.author").alias("author"), F.col("bib.year").alias("year"))
 
 
 def output_names(spark, d):
     b = F.col("bib")
     known = bib.descriptive(b["title"], b["author"])
-    return _cascade(spark).select(
+    return _cascade(spark, d).select(
         "id",
         names.output_name(b["title"], b["author"], b["year"], names.stem("file"), known).alias("folder"),
         names.legacy_last_name(b["author"]).alias("legacy_last"),
@@ -223,28 +223,24 @@ def image_names(spark, d):
 
 
 def workspace_tree(spark, d):
-    def cross(base, tops, kinds):
-        a = spark.createDataFrame([(x,) for x in tops], "a string")
-        b = spark.createDataFrame([(x,) for x in kinds], "b string")
-        return a.crossJoin(b).select(F.concat_ws("/", F.lit(base), "a", "b").alias("path"))
-
-    out = spark.createDataFrame([(p,) for p in inline.SINGLE_DIRS], "path string")
-    for part in inline.DIR_PRODUCTS:
-        out = out.union(cross(*part))
-    return out
+    """A workspace whose courses are the sources of the documents."""
+    own = [F.concat(F.lit(f"{base}/"), "source", F.lit(f"/{kind}")) for base, kinds in inline.COURSE_DIRS for kind in kinds]
+    courses = _table(spark, d, "documents").select("source").distinct()
+    paths = courses.select(F.explode(F.array(F.concat(F.lit(f"{inline.PROJECTS}/"), "source"), *own)).alias("path"))
+    return paths.union(spark.createDataFrame([(p,) for p in inline.SINGLE_DIRS], "path string"))
 
 
 def repo_staleness(spark, d):
-    return inline.frame(spark, inline.REPOS).select("repo_path", decisions.stale("local_hash", "remote_hash").alias("stale"))
+    return inline.dealt(_table(spark, d, "documents"), inline.REPOS).select("repo_path", decisions.stale("local_hash", "remote_hash").alias("stale"))
 
 
 def write_if_absent(spark, d):
-    files = inline.frame(spark, inline.FILES)
+    files = inline.dealt(_table(spark, d, "documents"), inline.FILES)
     return decisions.write_actions(files.select("path", "policy"), files.where("there"))
 
 
 def setup_decision(spark, d):
-    rows = inline.frame(spark, inline.SETUPS)
+    rows = inline.dealt(_table(spark, d, "documents"), inline.SETUPS)
     healthy = F.forall(F.split("checks", ""), lambda x: x == "1")
     return rows.select("id", decisions.setup_decision(F.col("marker"), "7", healthy).alias("decision"))
 
@@ -255,7 +251,7 @@ def sync_diff(spark, d):
 
 
 def ignored_paths(spark, d):
-    return inline.frame(spark, inline.PATHS).select("path", decisions.ignored(F.col("path"), inline.BASE).alias("ignored"), decisions.parent(F.col("path")).alias("parent"))
+    return inline.dealt(_table(spark, d, "documents"), inline.PATHS).select("path", decisions.ignored(F.col("path"), inline.BASE).alias("ignored"), decisions.parent(F.col("path")).alias("parent"))
 
 
 def long_document_router(spark, d):
@@ -289,12 +285,12 @@ def chapters(spark, d):
 
 def mounts(spark, d):
     m = decisions.mount_fields(F.col("spec"))
-    return inline.frame(spark, inline.MOUNTS).select("spec", m["host"].alias("host"), m["container"].alias("container"), m["mode"].alias("mode"))
+    return inline.dealt(_table(spark, d, "documents"), inline.MOUNTS).select("spec", m["host"].alias("host"), m["container"].alias("container"), m["mode"].alias("mode"))
 
 
 def small_texts(spark, d):
-    """One-line text rules over inline rows."""
-    rows = inline.frame(spark, inline.TEXTS)
+    """One-line text rules."""
+    rows = inline.dealt(_table(spark, d, "documents"), inline.TEXTS)
     return rows.select(
         "id",
         names.input_key("t").alias("input_key"),
@@ -308,7 +304,7 @@ def small_texts(spark, d):
 
 
 def manifest_metadata(spark, d):
-    rows = inline.frame(spark, inline.METAS)
+    rows = inline.dealt(_table(spark, d, "documents"), inline.METAS)
     return rows.select("id", checkpoint.tolerant_meta(F.col("meta")).alias("meta"))
 
 
@@ -326,12 +322,12 @@ def document_heads(spark, d):
 
 def run_configs(spark, d):
     """-1: none that can be read."""
-    return inline.frame(spark, inline.CONFIGS).select("id", F.coalesce(checkpoint.recorded_size(F.col("config")), F.lit(-1)).alias("chunk_size"))
+    return inline.dealt(_table(spark, d, "documents"), inline.CONFIGS).select("id", F.coalesce(checkpoint.recorded_size(F.col("config")), F.lit(-1)).alias("chunk_size"))
 
 
 def doc_infos(spark, d):
     info = bib.doc_info(F.col("title"), F.col("author"), F.expr("try_cast(created AS date)"))
-    return inline.frame(spark, inline.CREATED).select("id", info["title"].alias("title"), info["author"].alias("author"), info["year"].alias("year"))
+    return inline.dealt(_table(spark, d, "documents"), inline.CREATED).select("id", info["title"].alias("title"), info["author"].alias("author"), info["year"].alias("year"))
 
 
 def duration_texts(spark, d):
@@ -344,7 +340,7 @@ def book_metadata(spark, d):
 
 
 def scopes(spark, d):
-    return inline.frame(spark, inline.SCOPES).select("id", config.in_scope(F.col("scopes"), "cloud-platform").alias("allowed"))
+    return inline.dealt(_table(spark, d, "documents"), inline.SCOPES).select("id", config.in_scope(F.col("scopes"), "cloud-platform").alias("allowed"))
 
 
 def chapter_manifest(spark, d):
@@ -357,7 +353,11 @@ def chapter_requests(spark, d):
     md = F.concat(F.lit("# "), _h1(), F.lit("\ntext\n### Part "), F.col("page_id").cast("string"))
     heads = _table(spark, d, "pages").select(F.col("page_id").cast("int").alias("page_id"), F.posexplode(router.outline(md)).alias("pos", "h"))
     chapters = heads.select("page_id", (F.col("pos") + 1).cast("long").alias("chapter_no"), F.col("h.title").alias("title"))
-    return router.find_chapters(inline.frame(spark, inline.REQUESTS), chapters, "page_id").na.fill(-1, ["chapter_no"])
+    n, id_ = len(inline.REQUESTS), F.col("page_id")
+    wanted = F.replace(F.element_at(F.array(*map(F.lit, inline.REQUESTS)), (id_ % n + 1).cast("int")), F.lit("{i}"), id_.cast("string"))
+    page = F.when(id_ % n == n - 1, -id_ - 1).otherwise(id_).cast("int")
+    requests = _table(spark, d, "pages").select(id_.alias("request"), page.alias("page_id"), wanted.alias("wanted"))
+    return router.find_chapters(requests, chapters, "page_id").na.fill(-1, ["chapter_no"])
 
 
 def extractors(spark, d):

@@ -1,6 +1,7 @@
 """Rules and properties that SQL on the tables doesn't reach."""
 
 import io
+import random
 import time
 import zipfile
 
@@ -294,3 +295,65 @@ def test_marker_and_repositories(spark, tmp_path):
     for p in ("a/.git/objects", "b/c/.git", "d"):
         (tmp_path / "w" / p).mkdir(parents=True)
     assert sorted(r.repo_path for r in repositories(spark, str(tmp_path / "w")).collect()) == [f"{tmp_path}/w/a", f"{tmp_path}/w/b/c"]
+
+
+def test_near_titles_equal_brute_force(spark):
+    """Edits of real and of awkward titles, equal ones, and blank requests; against every pair."""
+    rng = random.Random(4)
+    words = ["Äpfel", "index", "of", "the", "zz", "Moby", "aaaa", "théorie", "Part"]
+    titles = [" ".join(rng.choices(words, k=rng.randint(1, 4))) for _ in range(150)] + ["", None, " \t", "a", "ab", "aaaaaaaa", "aaaaaaaaa"] * 2
+
+    def edited(t):
+        for _ in range(rng.randint(0, 4)):
+            i = rng.randrange(len(t) + 1)
+            t = rng.choice([t[:i] + "x" + t[i:], t[:i] + t[i + 1 :], t[:i] + "é" + t[i + 1 :]])
+        return t
+
+    asked = [edited(t or "") for t in titles[:60]] + ["", None, "the the", "the the"]
+    got = router.nearest_titles(
+        spark.createDataFrame(list(enumerate(asked)), "n int, w string"), spark.createDataFrame([(t,) for t in titles], "t string"), "w", "t", 5
+    )
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            old, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                old, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, old + (x != y))
+        return row[-1]
+
+    have = {t.strip().lower() for t in titles if t and t.strip()}
+    want = []
+    for n, w in enumerate(asked):
+        low = (w or "").strip().lower()
+        near = sorted((d, t) for t in have if low and (d := distance(low, t)) <= min(len(low) // 4, 3))
+        want += [(n, w, t, d, r) for r, (d, t) in enumerate(near[:5], 1)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_three_way_sync_ends_in_agreement(spark):
+    """Whatever both sides and the snapshot hold: after one round of all that isn't a conflict, a second has nothing to do."""
+    states = [(b, dead, x, y) for b in (None, "D", "E") for dead in (False, True) for x in (None, "D", "L") for y in (None, "D", "L", "R") if not (dead and b is None)]
+    make = lambda rows, kinds: spark.createDataFrame([(i, *r) for i, r in enumerate(rows) if r[0] is not None], f"k int, digest string{kinds}")
+    base = make([s[:2] for s in states], ", deleted boolean")
+    left, right = make([(s[2],) for s in states], ""), make([(s[3],) for s in states], "")
+    rows = {r.k: r for r in decisions.sync_three_way(base, left, right, "k").collect()}
+    after = []
+    for i, (b, dead, x, y) in enumerate(states):
+        r = rows.get(i)
+        if r is None:
+            assert (b, x, y) == (None, None, None)
+            continue
+        if r.action == "conflict":
+            live = None if dead else b
+            assert x != y and x != live and y != live and not (dead and b in (x, y))
+            continue
+        x, y = {"copy_left": (y, y), "copy_right": (x, x), "delete_left": (None, y), "delete_right": (x, None)}.get(r.action, (x, y))
+        assert x == y
+        assert (None if r.deleted else r.digest) == x
+        after.append((i, r.digest, r.deleted, x))
+    again = decisions.sync_three_way(
+        spark.createDataFrame([a[:3] for a in after], "k int, digest string, deleted boolean"), *[spark.createDataFrame([(a[0], a[3]) for a in after if a[3]], "k int, digest string")] * 2, "k"
+    )
+    assert {r.action for r in again.collect()} == {"none"}
+    assert {r.action for r in rows.values()} == set(decisions.ACTIONS)
