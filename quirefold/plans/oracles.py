@@ -108,6 +108,18 @@ BEFORE = BOOKS + """, b AS (SELECT * FROM books SEMI JOIN labels USING (doc_id))
   seven AS (SELECT doc_id, 0 AS start_page, least(7, n_pages)::INT AS end_page FROM b WHERE doc_id % 2 = 0 AND n_pages > 0),
   kept AS (SELECT * FROM seven UNION ALL SELECT * FROM threes ANTI JOIN seven ON threes.doc_id = seven.doc_id AND threes.start_page < seven.end_page)"""
 
+
+def common(a: str, b: str) -> str:
+    """Length of the longest common subsequence of two lists, by the rows of its table."""
+    hits = f"list_transform({a}, lambda x: list_prepend(0, list_transform({b}, lambda y: (y = x)::INT)))"
+    best = "list_max(list_transform(range(1, j + 1), lambda i: CASE WHEN e[i] = 1 THEN old[i - 1] + 1 ELSE 0 END))"
+    row = f"list_transform(range(1, len(old) + 1), lambda j: greatest(old[j], {best}))"
+    return f"list_reduce(list_prepend(list_transform(range(0, len({b}) + 1), lambda z: 0), {hits}), lambda old, e: {row})[-1]"
+
+
+#: What ``alignment.entry_title`` does.
+ENTRY = r"trim(regexp_replace(lower(regexp_replace({}, '^[ \t]*[#*>-]*[ \t]*|[ .\t]*[0-9]*[ \t]*$', '', 'g')), '[ \t]+', ' ', 'g'))"
+
 ORACLES = {
     "chunk_plan": f"WITH {PLAN} SELECT * FROM plan",
     "chunk_size_pinning": "SELECT d.doc_id, (CASE WHEN l.doc_id IS NULL THEN 5 ELSE 3 END)::INT AS chunk_size, l.doc_id IS NOT NULL AS pinned FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
@@ -220,5 +232,14 @@ ORACLES = {
         w AS (SELECT *, lower({strip('wanted')}) AS w FROM a),
         d AS (SELECT page_id, wanted, title, levenshtein(w, title)::INT AS distance FROM w JOIN t ON title <> '' AND levenshtein(w, title) <= least(length(w) // 4, 3))
         SELECT *, (row_number() OVER (PARTITION BY page_id ORDER BY distance, title))::INT AS rank FROM d QUALIFY rank <= 3""",
+    "extractor_alignment": f"""WITH {PAGES}, l AS (SELECT doc_id, list(body ORDER BY page_no) AS a, coalesce(list(CASE WHEN length(body) > 900 THEN substring(body, 2) ELSE body END ORDER BY page_no)
+          FILTER (body <> '' AND page_no % 7 <> 3), []) AS b FROM pages_ GROUP BY doc_id),
+        s AS (SELECT doc_id, len(a)::BIGINT AS n_a, len(b)::BIGINT AS n_b, {common("a", "b")}::BIGINT AS n_same FROM l)
+        SELECT *, 2 * n_same / (n_a + n_b) AS similarity FROM s""",
+    "contents_pages": f"""WITH {PAGES}, h AS (SELECT doc_id, page_no, {ENTRY.format("body")} AS t, {ENTRY.format("'## ' || translate(body, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || ' ..... ' || page_no")} AS e FROM pages_),
+        l AS (SELECT doc_id, count(*) FILTER (page_no % 3 = 1) AS n_entries, coalesce(list(t ORDER BY page_no) FILTER (t <> ''), []) AS b, coalesce(list(e ORDER BY page_no) FILTER (page_no % 3 = 1 AND e <> ''), []) AS a FROM h GROUP BY doc_id)
+        SELECT doc_id, n_entries, {common("a", "b")}::BIGINT AS n_placed FROM l WHERE n_entries > 0""",
+    "outline_parents": f"""WITH {PAGES}, h AS (SELECT doc_id, page_no::BIGINT AS pos, (length(body) * 7 % 6 + 1)::BIGINT AS level FROM pages_)
+        SELECT h.doc_id, h.pos, h.level, coalesce(max(o.pos), -1) AS parent FROM h LEFT JOIN h AS o ON o.doc_id = h.doc_id AND o.pos < h.pos AND o.level < h.level GROUP BY ALL""",
     "formula_links": "SELECT doc_id, unnest([0, 1])::BIGINT AS pos, './formulas/math_page_' || (doc_id + unnest([0, 1])) || '.png' AS link FROM documents",
 }

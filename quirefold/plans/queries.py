@@ -1,10 +1,12 @@
 """The registered queries: each takes (spark, sf_dir) and returns a DataFrame."""
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.functions import bib, config, names
-from quirefold.operators import assemble, attempts, checkpoint, chunking, convert, decisions, intervals, router
+from quirefold.operators import alignment, assemble, attempts, checkpoint, chunking, convert, decisions, intervals, router
 from quirefold.plans import inline
 from quirefold.sources import identity, numbered_folders, prefix, publish, sinks, text_pages
 
@@ -463,6 +465,31 @@ def title_lookup(spark, d):
     return router.nearest_titles(asked, pages, "wanted", "h")
 
 
+def extractor_alignment(spark, d):
+    """The second extractor loses empty lines and every seventh, changes long ones, and so numbers its pages otherwise."""
+    a = _pages(spark, d).withColumnRenamed("doc_id", "key")
+    body = F.when(F.length("body") > BREAKS_PAGE, F.expr("substring(body, 2)")).otherwise(F.col("body"))
+    b = a.where("body <> '' and page_no % 7 <> 3").withColumn("body", body)
+    out = alignment.similarity(alignment.align(a, b))
+    return out.select(F.col("key").cast("long").alias("doc_id"), "n_a", "n_b", "n_same", "similarity")
+
+
+def contents_pages(spark, d):
+    """A table of contents of every third page's line, in capitals with a page number after it; the pages that the entries lead to."""
+    pages = _pages(spark, d).select(F.col("doc_id").alias("key"), "page_no", "body")
+    line = F.concat(F.lit("## "), F.translate("body", string.ascii_lowercase, string.ascii_uppercase), F.lit(" ..... "), F.col("page_no").cast("string"))
+    entries = pages.where("page_no % 3 = 1").select("key", F.col("page_no").alias("pos"), line.alias("title"))
+    out = alignment.place_entries(entries, pages)
+    return out.groupBy(F.col("key").alias("doc_id")).agg(F.count("*").alias("n_entries"), F.count("page_no").alias("n_placed"))
+
+
+def outline_parents(spark, d):
+    """Lines as headings whose level follows from their length."""
+    level = (F.length("body") * 7 % 6 + 1).cast("long")
+    rows = _pages(spark, d).select("doc_id", F.col("page_no").cast("long").alias("pos"), level.alias("level"))
+    return alignment.with_parents(rows, "doc_id").na.fill(-1, ["parent"])
+
+
 NAMES = [
     chunk_plan, chunk_size_pinning, pending_documents, pending_chunks, resume_equivalence, convert_tiers, fallback_text,
     drop_mode, assemble_documents, assemble_conversations, flatten_break_join, first_metadata, sanitize_titles, input_keys,
@@ -471,6 +498,6 @@ NAMES = [
     setup_decision, sync_diff, ignored_paths, long_document_router, first_n_pages, toc_scan, text_layer, outline, chapters,
     mounts, small_texts, manifest_metadata, image_rows, document_heads, run_configs, doc_infos, duration_texts, book_metadata,
     scopes, chapter_manifest, chapter_requests, extractors, formula_links,
-    content_identity, attempts_left, uncovered_ranges, covered_ranges, segment_offsets, sync_three_way, title_lookup,
+    content_identity, attempts_left, uncovered_ranges, covered_ranges, segment_offsets, sync_three_way, title_lookup, extractor_alignment, contents_pages, outline_parents,
 ]
 QUERIES = {f.__name__: f for f in NAMES}
