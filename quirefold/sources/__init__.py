@@ -4,13 +4,15 @@ import io
 import re
 import zipfile
 from collections.abc import Callable
+from functools import reduce
 
 import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.functions.names import input_key
-
+from quirefold.sources.scratch import stored
 
 #: What may stand before a path: a scheme and slashes in any number.
 SCHEME = "^[a-zA-Z][a-zA-Z0-9+.-]*:/*"
@@ -58,18 +60,26 @@ def existing(spark: SparkSession, paths: list[str]) -> list[str]:
 
 
 def repositories(spark: SparkSession, root: str) -> DataFrame:
-    """repo_path: folders below ``root`` that hold a ``.git``, at any depth. The driver walks the
-    folders, as Spark's own listing leaves hidden ones out; a workspace has few."""
-    top = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    found, todo = [], [top]
-    while todo:
-        here = todo.pop()
-        folders = [s.getPath() for s in fs.listStatus(here) if s.isDirectory()]
-        if any(p.getName() == ".git" for p in folders):
-            found.append((_bare(here.toString()),))
-        todo += [p for p in folders if p.getName() != ".git"]
-    return spark.createDataFrame(found, "repo_path string")
+    """repo_path: folders below ``root`` that hold a ``.git``, at any depth. Tasks list the folders of one depth after the
+    other, each folder in one of them (Spark's own listing leaves hidden ones out); links aren't followed."""
+    kinds = pa.schema([("path", pa.string()), ("repo", pa.bool_())])
+
+    def run(batches):
+        fs, _ = FileSystem.from_uri(root)
+        for b in batches:
+            for here in b["path"].to_pylist():
+                below = [f for f in fs.get_file_info(FileSelector(here)) if f.type == FileType.Directory]
+                rows = [(f.path, False) for f in below if f.base_name != ".git"]
+                rows += [(here, True)] if len(rows) < len(below) else []
+                yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows, strict=True) if rows else ([], []), kinds, strict=True)], schema=kinds)
+
+    level, found = spark.createDataFrame([(FileSystem.from_uri(root)[1],)], "path string"), []
+    while not level.isEmpty():
+        n = spark.sparkContext.defaultParallelism
+        listed = stored(level.repartition(n).mapInArrow(run, "path string, repo boolean"), "folders")
+        found.append(listed.where("repo").select(F.col("path").alias("repo_path")))
+        level = listed.where("not repo").select("path")
+    return reduce(DataFrame.unionByName, found)
 
 
 def named_files(spark: SparkSession, paths: list[str]) -> DataFrame:

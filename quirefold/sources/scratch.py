@@ -1,5 +1,6 @@
 """Scratch tables in the shared checkpoint folder: lineage ends there and lost executors lose nothing."""
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     of its own; on a cluster, whose executors share no local folder, that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 

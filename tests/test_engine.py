@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirefold.functions import bib, config, names
-from quirefold.operators import assemble, checkpoint, chunking, convert, decisions, router
+from quirefold.operators import alignment, assemble, checkpoint, chunking, convert, decisions, router
 from quirefold.plans.batch import convert_batch
 from quirefold.sources import batch_list, files, numbered_folders, publish, repositories, sinks, text_pages, zip_members
 
@@ -357,3 +357,54 @@ def test_three_way_sync_ends_in_agreement(spark):
     )
     assert {r.action for r in again.collect()} == {"none"}
     assert {r.action for r in rows.values()} == set(decisions.ACTIONS)
+
+
+def test_common_subsequences_equal_the_quadratic_table():
+    rng = random.Random(2)
+
+    def quadratic(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            old, row = row, [0]
+            for j, y in enumerate(b):
+                row.append(old[j] + 1 if x == y else max(row[j], old[j + 1]))
+        return row
+
+    for _ in range(200):
+        a, b = ([rng.randrange(rng.choice((2, 9, 40))) for _ in range(rng.choice((0, 1, 3, 30, 80)))] for _ in "ab")
+        if rng.random() < 0.5:  # edits of one text
+            b = [x for x in a if rng.random() < 0.8]
+            b.insert(rng.randrange(len(b) + 1), 99)
+        assert alignment.common_lengths(a, b).tolist() == quadratic(a, b)
+        pairs = alignment.common(a, b)
+        assert len(pairs) == quadratic(a, b)[-1]
+        assert all(a[i] == b[j] for i, j in pairs)
+        assert all(p < q and i < j for (p, i), (q, j) in zip(pairs, pairs[1:], strict=False))
+    long = list(range(60_000))
+    assert len(alignment.common(long, long[:20_000] + [-1] + long[20_500:])) == 59_500
+
+
+def test_spans_rebuild_both_extractions(spark):
+    pages = lambda rows: spark.createDataFrame(rows, "key string, page_no int, body string")
+    a = pages([("k", 0, "one\ntwo\nthree"), ("k", 1, "four"), ("only a", 0, "x"), ("null", 0, None), ("same", 0, "p\nq")])
+    b = pages([("k", 0, "one"), ("k", 5, "2\nthree\nfour"), ("k", 6, "five"), ("only b", 0, "y\nz"), ("null", 3, ""), ("same", 7, "p\nq")])
+    spans = alignment.align(a, b)
+    got = sorted(tuple(r) for r in spans.where("key = 'k'").collect())
+    assert sorted(got, key=lambda r: (r[2], r[4])) == [
+        ("k", True, 0, 1, 0, 1, 0, 0), ("k", False, 1, 1, 1, 1, 0, 5), ("k", True, 2, 2, 2, 2, 0, 5), ("k", False, 4, 0, 4, 1, None, 6),
+    ]
+    rest = {r.key: (r.n_a, r.n_b, r.n_same, r.similarity) for r in alignment.similarity(spans).collect()}
+    assert rest["only a"] == (1, 0, 0, 0.0)
+    assert rest["only b"] == (0, 2, 0, 0.0)
+    assert rest["null"] == (1, 1, 1, 1.0)
+    assert rest["same"] == (2, 2, 2, 1.0)
+
+
+def test_contents_lead_to_pages_in_order(spark):
+    bodies = ["Contents", "# The  Start\ntext", "x", "Middle\ny", "The Start\nagain", "## END", None]
+    pages = spark.createDataFrame([("k", i, b) for i, b in enumerate(bodies)] + [("other", 0, "Middle")], "key string, page_no int, body string")
+    entries = spark.createDataFrame([("k", 0, "The Start .... 1"), ("k", 1, "middle 3"), ("k", 2, "Missing .. 4"), ("k", 3, "End"), ("k", 4, ""), ("none", 0, "Middle")], "key string, pos int, title string")
+    got = alignment.place_entries(entries, pages).orderBy("key", "pos").collect()
+    assert [r.page_no for r in got] == [1, 3, None, 5, None, None]
+    heads = spark.createDataFrame([("k", i, level) for i, level in enumerate([2, 1, 2, 3, 3, 2, 6, 1])], "key string, pos int, level int")
+    assert [r.parent for r in alignment.with_parents(heads, "key").orderBy("pos").collect()] == [None, None, 1, 2, 2, 1, 5, None]
