@@ -122,7 +122,8 @@ def score(docs: DataFrame, k: float = K) -> DataFrame:
     """docs (doc_id, held_out, text) → doc_id, held_out and SCORES.
 
     Learns from rows with held_out false. Null texts count as empty: one end token. Without
-    training rows each token has the root's weight with N = V = 0. Repeated rows are scored each.
+    training rows each token has the root's weight with N = V = 0. Repeated rows are scored each;
+    a long text is a block of its own and is scored whole. An empty table gives no rows.
     """
     blocks = in_blocks(docs.select("doc_id", "held_out", raw_text().alias("raw")))
     counts = corpus_counts(blocks, keys_of, slices_for(blocks))

@@ -83,7 +83,8 @@ def compiled(rules=RULES) -> Column:
 
 
 def judge(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
-    """docs with measures, ``base_failed`` and ``kept``. Columns of the same name are replaced."""
+    """docs (doc_id, text) → doc_id, the measures, ``base_failed`` and ``kept``; other columns end here. Null and empty texts have no
+    words and fail; rows that stand twice are judged each; a text of any length is read whole. An empty table gives no rows."""
     d = measures(docs.select("doc_id", text), text).drop(text)
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return d.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & compiled(rules))

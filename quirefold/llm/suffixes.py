@@ -289,6 +289,7 @@ def dedup(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), with_text: bool
     Null texts count as empty, and so give the digest of no bytes; their ``kept`` is null. Of
     rows with one doc_id the order is that of the input, and a null id comes first. Texts below
     SPAN bytes lose nothing. RESULT is of bytes: a cut may fall inside a character.
+    An empty table gives no rows.
     """
     rest = [F.col(c).alias(f"_{c}") for c in keep]
     blocks = in_blocks(docs.select("doc_id", raw_text().alias("raw"), *rest))

@@ -23,7 +23,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_tokens:
 
     Null texts count as empty. Null ids come first; rows with one id follow the hash of
     their text. A block holds whole documents and closes at ``block_tokens`` ids, so a
-    task's memory is bounded by that and by its longest document.
+    task's memory is bounded by that and by its longest document. An empty table gives an empty file.
     """
     rows = docs.select("doc_id", raw_text().alias("raw")).withColumn("h", F.xxhash64("raw"))
     ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")

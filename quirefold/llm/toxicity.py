@@ -125,7 +125,8 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ot
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
-    """Columns of docs but those named so, then score and predicted. Null and empty texts get the intercept's score."""
+    """Columns of docs but those named so, then score and predicted. Null and empty texts get the intercept's score; rows
+    that stand twice are scored each; a text of any length is read whole. An empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep, raw = without(docs, "score", "predicted"), free(docs, "_raw")
     schema = docs.select(keep).withColumns({"score": F.lit(0.0), "predicted": F.lit(1)}).schema
