@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from quirefold.llm.blocks import corpus_counts, in_blocks, reply, slices_for, with_replies
-from quirefold.llm.common import arrow, BASE, batch, binaries, BYTE_VALUE, distinct, distinct_counts, INVERSE, mix, places, powers, raw_text, runs, stored, sweep
+from quirefold.llm.common import arrow, BASE, batch, binaries, BYTE_VALUE, discard, distinct, distinct_counts, INVERSE, mix, places, powers, raw_text, runs, stored, sweep
 
 SPAN = 100
 ANCHOR = 40
@@ -295,7 +295,9 @@ def dedup(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), with_text: bool
     blocks = in_blocks(docs.select("doc_id", raw_text().alias("raw"), *rest))
     counts = corpus_counts(blocks, keys_of, slices_for(blocks, each=1))
     sweep(docs.sparkSession)
-    gone = across_boundaries(stored(sort_buckets(candidates(blocks, counts)), "repeats"))
+    repeats = stored(sort_buckets(candidates(blocks, counts)), "repeats")
+    discard(counts)
+    gone = across_boundaries(repeats)
     sweep(docs.sparkSession)
     kinds = [pa.int64()] * 3 + [pa.string()] + [pa.binary()] * with_text
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
