@@ -445,13 +445,14 @@ def segment_offsets(spark, d):
 def sync_three_way(spark, d):
     """Snapshot, left and right side of documents: absent, as recorded or changed, in all 27 combinations; changes of labelled
     documents of good quality are the same on both sides."""
-    rows = _table(spark, d, "documents").select("doc_id", "text").join(_labels(spark, d), "doc_id", "left")
-    old = identity.digest(F.coalesce("text", F.lit("")).cast("binary"))
-    other = lambda tag: identity.digest(F.concat(F.coalesce("text", F.lit("")), tag).cast("binary"))
+    mark = lambda tag: identity.digest(F.concat(F.coalesce("text", F.lit("")), F.lit(tag)).cast("binary"))
+    digests = _table(spark, d, "documents").select("doc_id", mark("").alias("old"), mark("l").alias("l"), mark("r").alias("r"))  # texts don't travel
+    rows = digests.join(_labels(spark, d), "doc_id", "left")
     place = lambda n: F.floor(F.col("doc_id") / n) % 3
-    base = rows.where(place(1) > 0).select("doc_id", old.alias("digest"), (place(1) == 2).alias("deleted"))
-    left = rows.where(place(3) > 0).select("doc_id", F.when(place(3) == 1, old).otherwise(other(F.lit("l"))).alias("digest"))
-    right = rows.where(place(9) > 0).select("doc_id", F.when(place(9) == 1, old).otherwise(other(F.when(F.col("quality") == 1, "l").otherwise("r"))).alias("digest"))
+    base = digests.where(place(1) > 0).select("doc_id", F.col("old").alias("digest"), (place(1) == 2).alias("deleted"))
+    left = digests.where(place(3) > 0).select("doc_id", F.when(place(3) == 1, F.col("old")).otherwise(F.col("l")).alias("digest"))
+    other = F.when(F.col("quality") == 1, F.col("l")).otherwise(F.col("r"))
+    right = rows.where(place(9) > 0).select("doc_id", F.when(place(9) == 1, F.col("old")).otherwise(other).alias("digest"))
     return decisions.sync_three_way(base, left, right, "doc_id")
 
 
