@@ -5,7 +5,9 @@ the shared folder. Each block sends its distinct 64-bit keys, sorted, in slices
 key space; the task of a slice adds the counts of all blocks and answers each with
 the totals in the block's own key order, which need no keys. So a key that is in every
 document meets once a block, and no vocabulary is collected or broadcast. A block sends a row a
-slice that it has keys of, so rows grow with blocks times slices up to a row a key, and not beyond.
+slice that it has keys of. Beyond DEEP_SLICES, where that would be many small rows, blocks
+first meet in groups of about the root of their number: a group sends the union of its keys, and
+its blocks are answered from the group's totals.
 """
 
 from collections.abc import Callable, Iterator
@@ -20,6 +22,9 @@ from pyspark.sql import functions as F
 from quirefold.llm.common import arrow, batch, release, stored
 
 BLOCK_BYTES = 8 << 20
+DEEP_SLICES = 1 << 13
+#: Blocks whose keys a task of a group holds at a time, about.
+HELD_BLOCKS = 8
 U64 = np.uint64
 _ZSTD = "zstd"
 
@@ -101,6 +106,71 @@ def unpack_counts(data: bytes) -> np.ndarray:
 KeyMaker = Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]
 
 
+SENT = pa.schema([("slice", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+ANSWER = pa.schema([("block", pa.int64()), ("slice", pa.int32()), ("totals", pa.binary()), ("distinct", pa.int64()), ("total", pa.int64()), ("even", pa.int64()), ("even_total", pa.int64())])
+ANSWER_SQL = "block long, slice int, totals binary, distinct long, total long, even long, even_total long"
+
+
+def in_slices(block: int, keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Ascending keys as a row for each slice, of 2**bits, that has some."""
+    own = keys >> U64(64 - bits) if bits else np.zeros(len(keys), U64)
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))  # slices without a key cost nothing
+    edge = [*first.tolist(), len(keys)]
+    rows = [(s, block, pack_keys(keys[a:z]), pack_counts(counts[a:z])) for s, a, z in zip(own[first].tolist(), edge[:-1], edge[1:], strict=True)]
+    return batch(SENT, list(zip(*rows, strict=True)))
+
+
+def united(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of several ascending lists once, and the place there of each key of theirs."""
+    flat = np.concatenate(parts)
+    order = np.argsort(flat)
+    ranked = flat[order]
+    first = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    at = np.empty(len(flat), np.int64)
+    at[order] = np.cumsum(first) - 1
+    return ranked[first], at
+
+
+def added(key, table):
+    """One slice: the totals for each block that has sent keys, and a row of block -1 with the slice's sums."""
+    s = key[0].as_py()
+    parts = [unpack_keys(k) for k in table["keys"].to_pylist()]
+    counts = [unpack_counts(c) for c in table["counts"].to_pylist()]
+    blocks_ = table["block"].to_pylist()
+    distinct, at = united(parts)
+    sums = np.bincount(at, np.concatenate(counts), len(distinct)).astype(np.int64)
+    used = sums > 0
+    even = used & (distinct & U64(1) == 0)
+    back, lo = [], 0
+    for p in parts:
+        back.append(pack_counts(sums[at[lo : lo + len(p)]]))
+        lo += len(p)
+    n = len(parts)
+    return pa.table(
+        [
+            pa.array([*blocks_, -1], pa.int64()), pa.array([s] * (n + 1), pa.int32()), pa.array([*back, b""], pa.binary()),
+            pa.array([0] * n + [int(used.sum())], pa.int64()), pa.array([0] * n + [int(sums.sum())], pa.int64()),
+            pa.array([0] * n + [int(even.sum())], pa.int64()), pa.array([0] * n + [int(sums[even].sum())], pa.int64()),
+        ],
+        schema=ANSWER,
+    )
+
+
+def sent_keys(blocks: DataFrame, keys_of: KeyMaker, bits: int) -> DataFrame:
+    """slice, block, keys, counts of all blocks."""
+
+    def send(batches):
+        for b in batches:
+            for block, payload in zip(b["block"].to_pylist(), b["payload"].to_pylist(), strict=True):
+                keys, counts = keys_of(unpack(payload))
+                if len(keys):
+                    yield in_slices(block, keys, counts, bits)
+                del keys, counts
+                release()
+
+    return blocks.select("block", "payload").transform(arrow(send, "slice int, block long, keys binary, counts binary"))
+
+
 def corpus_counts(blocks: DataFrame, keys_of: KeyMaker, slices: int) -> DataFrame:
     """keys_of(table) → a block's distinct keys ascending and what each adds.
 
@@ -110,54 +180,46 @@ def corpus_counts(blocks: DataFrame, keys_of: KeyMaker, slices: int) -> DataFram
     """
     bits = slices.bit_length() - 1
     assert slices == 1 << bits
-    kinds = pa.schema([("slice", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+    if slices > DEEP_SLICES:
+        return grouped_counts(blocks, keys_of, bits)
+    answered = sent_keys(blocks, keys_of, bits).groupBy("slice").applyInArrow(added, ANSWER_SQL)
+    return stored(answered, "counts")
 
-    def send(batches):
-        for b in batches:
-            for block, payload in zip(b["block"].to_pylist(), b["payload"].to_pylist(), strict=True):
-                keys, counts = keys_of(unpack(payload))
-                if len(keys):
-                    own = keys >> U64(64 - bits) if bits else np.zeros(len(keys), U64)
-                    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))  # slices without a key cost nothing
-                    edge = [*first.tolist(), len(keys)]
-                    rows = [(s, block, pack_keys(keys[a:z]), pack_counts(counts[a:z])) for s, a, z in zip(own[first].tolist(), edge[:-1], edge[1:], strict=True)]
-                    yield batch(kinds, list(zip(*rows, strict=True)))
-                del rows, keys, counts
-                release()
 
-    out = pa.schema([("block", pa.int64()), ("slice", pa.int32()), ("totals", pa.binary()), ("distinct", pa.int64()), ("total", pa.int64()), ("even", pa.int64()), ("even_total", pa.int64())])
-
-    def add(key, table):
-        s = key[0].as_py()
-        parts = [unpack_keys(k) for k in table["keys"].to_pylist()]
-        counts = [unpack_counts(c) for c in table["counts"].to_pylist()]
-        blocks_ = table["block"].to_pylist()
-        flat = np.concatenate(parts)
-        order = np.argsort(flat)
-        ranked = flat[order]
-        first = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-        distinct, at = ranked[first], np.empty(len(flat), np.int64)
-        at[order] = np.cumsum(first) - 1
-        sums = np.bincount(at, np.concatenate(counts), len(distinct)).astype(np.int64)
-        used = sums > 0
-        even = used & (distinct & U64(1) == 0)
-        back, lo = [], 0
+def grouped_counts(blocks: DataFrame, keys_of: KeyMaker, bits: int) -> DataFrame:
+    """The same by way of groups. With n blocks there are about sqrt(n) groups of as many blocks; a block sends a row a coarse slice,
+    of which a group's tasks take one each, and a group a row a slice: some n * sqrt(n) rows either way, of many
+    keys each. The keys that were sent are stored, as they are read again when the totals come back."""
+    n = blocks.count()
+    groups = 1 << ((n - 1).bit_length() // 2)
+    coarse = min(bits, max(0, (n // groups // HELD_BLOCKS).bit_length()))
+    group = F.pmod(F.xxhash64("block"), F.lit(groups)).alias("g")
+    sent = stored(sent_keys(blocks, keys_of, coarse).select("slice", "block", "keys", "counts", group), "sent")
+
+    def unite(key, t):
+        keys, at = united([unpack_keys(k) for k in t["keys"].to_pylist()])
+        sums = np.bincount(at, np.concatenate([unpack_counts(c) for c in t["counts"].to_pylist()]), len(keys)).astype(np.int64)
+        return pa.Table.from_batches([in_slices(key[0].as_py(), keys, sums, bits)])
+
+    unions = sent.groupBy("g", "slice").applyInArrow(unite, "slice int, block long, keys binary, counts binary")
+    totals = stored(unions.groupBy("slice").applyInArrow(added, ANSWER_SQL), "group-counts")
+
+    def answer(key, own, back):
+        if not len(own):
+            return ANSWER.empty_table()
+        parts = [unpack_keys(k) for k in own["keys"].to_pylist()]
+        _, at = united(parts)
+        sums, out, lo = reply(back), [], 0
         for p in parts:
-            back.append(pack_counts(sums[at[lo : lo + len(p)]]))
+            out.append(pack_counts(sums[at[lo : lo + len(p)]]))
             lo += len(p)
-        n = len(parts)
-        return pa.table(
-            [
-                pa.array([*blocks_, -1], pa.int64()), pa.array([s] * (n + 1), pa.int32()), pa.array([*back, b""], pa.binary()),
-                pa.array([0] * n + [int(used.sum())], pa.int64()), pa.array([0] * n + [int(sums.sum())], pa.int64()),
-                pa.array([0] * n + [int(even.sum())], pa.int64()), pa.array([0] * n + [int(sums[even].sum())], pa.int64()),
-            ],
-            schema=out,
-        )
-
-    sent = blocks.select("block", "payload").transform(arrow(send, "slice int, block long, keys binary, counts binary"))
-    answered = sent.groupBy("slice").applyInArrow(add, "block long, slice int, totals binary, distinct long, total long, even long, even_total long")
-    return stored(answered, "counts")
+        none = [0] * len(parts)
+        cols = [own["block"].to_pylist(), [key[1].as_py()] * len(parts), out, none, none, none, none]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, ANSWER, strict=True)], schema=ANSWER)
+
+    back = totals.where("block >= 0").select(F.col("block").alias("g"), F.shiftright("slice", bits - coarse).alias("c"), "slice", "totals")
+    mine = sent.withColumnRenamed("slice", "c").groupBy("g", "c").cogroup(back.groupBy("g", "c"))
+    return stored(mine.applyInArrow(answer, ANSWER_SQL).unionByName(totals.where("block = -1")), "counts")
 
 
 def slices_for(blocks: DataFrame, least: int = 16, each: int = 2) -> int:
