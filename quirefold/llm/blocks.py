@@ -27,11 +27,14 @@ DEEP_SLICES = 1 << 13
 HELD_BLOCKS = 8
 U64 = np.uint64
 _ZSTD = "zstd"
+#: Of a block, which is written once and travels twice or thrice.
+LEVEL = 5
 
 
 def _pack(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=_ZSTD)) as w:
+    codec = pa.Codec(_ZSTD, compression_level=LEVEL)
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=codec)) as w:
         w.write_table(table)
     return sink.getvalue().to_pybytes()
 
