@@ -103,7 +103,9 @@ def similarity(spans: DataFrame) -> DataFrame:
 def entry_title(line: Column) -> Column:
     """A contents entry or a page's head to compare: lower case, no Markdown signs, leaders or page number at its end, white
     space joined."""
-    bare = F.regexp_replace(F.coalesce(line, F.lit("")), r"^[ \t]*[#*>-]*[ \t]*|[ .\t]*[0-9]*[ \t]*$", "")
+    bare = F.regexp_replace(F.coalesce(line, F.lit("")), r"^[ \t]*[#*>-]*[ \t]*", "")
+    for end in (" \t", "0123456789", " .\t"):  # from the end: white space, the number, the leaders; anchored, so lines aren't scanned for them
+        bare = F.rtrim(bare, F.lit(end))
     return strip(F.regexp_replace(F.lower(bare), "[ \t]+", " "))
 
 
