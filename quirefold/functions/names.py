@@ -1,4 +1,6 @@
-"""Naming rules: sanitized keys, chunk tags, image names, output folders."""
+"""Naming rules: sanitized keys, chunk tags, image names, output folders, letter case."""
+
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +22,29 @@ def strip(c: Column | str) -> Column:
     return F.regexp_replace(_c(c), EDGES, "")
 
 
+def _capital(letter: str) -> str:
+    """One letter: the title case where the capital is several (ᾳ: ᾼ), the letter itself where that is too (ﬁ)."""
+    return "ẞ" if letter == "ß" else next((x for x in (letter.upper(), letter.title()) if len(x) == 1), letter)
+
+
+@cache
+def _letters() -> dict[str, tuple[str, str]]:
+    """Letters and what stands for them in ``upper`` and ``lower``; none is beyond U+1FFFF."""
+    all_ = [chr(i) for i in range(0x20000) if not 0xD800 <= i < 0xE000]
+    both = {"upper": _capital, "lower": lambda x: x.lower()[0]}
+    return {k: tuple(map("".join, zip(*[(x, f(x)) for x in all_ if f(x) != x], strict=True))) for k, f in both.items()}
+
+
+def upper(c: Column | str) -> Column:
+    """Letter by letter, so that the length stays (``F.upper`` makes SS of ß)."""
+    return F.translate(_c(c), *_letters()["upper"])
+
+
+def lower(c: Column | str) -> Column:
+    """Letter by letter, whatever stands beside it (``F.lower`` ends words with ς, and makes two characters of İ)."""
+    return F.translate(_c(c), *_letters()["lower"])
+
+
 def sanitize(c: Column | str) -> Column:
     """Delete what is no word character, space or hyphen; strip; join runs by ``_``."""
     return F.regexp_replace(strip(F.regexp_replace(blank(c), NOT_NAME, "")), RUNS, "_")

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirefold.functions.names import strip
+from quirefold.functions.names import lower, strip
 
 LONG_PAGES = 30
 SAMPLE = 200
@@ -95,15 +95,22 @@ def _rarest(texts: DataFrame, text: str, frequency: DataFrame, n: Column) -> Dat
     return rows.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= F.col("_n") * GRAM + 1).select(text, "gram", "no")
 
 
-def nearest_titles(requests: DataFrame, titles: DataFrame, wanted: str, title: str, n: int = 3) -> DataFrame:
+def _bytes(text: str) -> Column:
+    """A character for each byte of the text's UTF-8 form."""
+    return F.decode(F.col(text).cast("binary"), "ISO-8859-1")
+
+
+def nearest_titles(requests: DataFrame, titles: DataFrame, wanted: str, title: str, n: int = 3, in_bytes: bool = False) -> DataFrame:
     """requests (…, wanted) and titles (title) → requests' rows with near titles: title, distance, rank (from 1, ties by title),
     n at most; a request that finds none has none.
 
-    Case and white space at the ends don't count. Exact for up to ``edits_allowed`` edits: two texts that near share one of their
-    rarest grams (GRAM for each edit and one more), so only titles that do, and of a length that fits, are measured.
+    Case, letter by letter, and white space at the ends don't count. An edit is of a character, or ``in_bytes`` of a byte in UTF-8; as
+    many edits of bytes change no more characters than that, so candidates are the same. Exact for up to ``edits_allowed`` edits: two
+    texts that near share one of their rarest grams (GRAM for each edit and one more), so only titles that do, and of a length that
+    fits, are measured.
     Equal titles, and equal requests, are one before anything is joined.
     """
-    low = lambda c: F.lower(strip(F.coalesce(c, F.lit(""))))
+    low = lambda c: lower(strip(F.coalesce(c, F.lit(""))))
     asked = requests.withColumn("_w", low(F.col(wanted)))
     have = titles.select(low(F.col(title)).alias("_t")).distinct().where("_t <> ''")
     want = asked.select("_w").distinct().where("_w <> ''")
@@ -112,7 +119,8 @@ def nearest_titles(requests: DataFrame, titles: DataFrame, wanted: str, title: s
     right = _rarest(have, "_t", frequency, F.lit(MOST_EDITS))
     k = edits_allowed(F.col("_w"))
     pairs = left.join(right, ["gram", "no"]).where(F.abs(F.length("_w") - F.length("_t")) <= k).select("_w", "_t").distinct()
-    found = pairs.withColumn("distance", F.levenshtein("_w", "_t", MOST_EDITS)).where((F.col("distance") >= 0) & (F.col("distance") <= k))
+    measured = (_bytes("_w"), _bytes("_t")) if in_bytes else ("_w", "_t")
+    found = pairs.withColumn("distance", F.levenshtein(*measured, MOST_EDITS)).where((F.col("distance") >= 0) & (F.col("distance") <= k))
     best = found.withColumn("rank", F.row_number().over(Window.partitionBy("_w").orderBy("distance", "_t"))).where(F.col("rank") <= n)
     return asked.join(best, "_w").select(*requests.columns, F.col("_t").alias("title"), "distance", "rank")
 
